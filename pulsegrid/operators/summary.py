@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .align import near_join
 from .grid import dense_bins, ratio
 from .keys import col, join_on, keyed
 from .ordered import fill, framed, lagged, numbered, running
@@ -13,22 +14,23 @@ from .quantiles import nearest, quantiles, rounded, summarise, average_rank  # n
 
 
 def n_if(cond) -> Column:
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    return F.sum(F.when(col(cond), 1).otherwise(0)).cast("bigint")
 
 
 def round_half(c, digits: int) -> Column:
     return F.round(col(c), digits)
 
 
-def phase_summary(df: DataFrame, by: Sequence[str], ok: str, values: Sequence[str], approx: bool = False) -> DataFrame:
-    """Latency profile of the successful rows of each key (null keys kept), 3 decimals; success rate, 6."""
+def phase_summary(df: DataFrame, by: Sequence[str], ok: str, values: Sequence[str], approx: bool = False,
+                  digits: int = 3) -> DataFrame:
+    """Latency profile of the successful rows of each key (null keys kept), rounded; success rate to 6."""
     aggs, specs = {"rows": F.count(F.lit(1)), "success_rate": F.round(F.avg(F.col(ok).cast("double")), 6)}, {}
     for v in values:
         good = F.when(F.col(ok), F.col(v))
-        aggs |= {f"{v}_mean": F.round(F.avg(good), 3), f"{v}_max": F.round(F.max(good), 3)}
+        aggs |= {f"{v}_mean": F.round(F.avg(good), digits), f"{v}_max": F.round(F.max(good), digits)}
         specs |= {f"{v}_p50": (good, .5), f"{v}_p95": (good, .95), f"{v}_p99": (good, .99)}
     out = summarise(df, by, aggs, specs, approx=approx)
-    return out.select(*[F.round(c, 3).alias(c) if c in specs else F.col(c) for c in out.columns])
+    return out.select(*[F.round(c, digits).alias(c) if c in specs else F.col(c) for c in out.columns])
 
 
 def two_level_medians(df: DataFrame, inner: Sequence[str], outer: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -304,7 +306,7 @@ def feature_profile(df: DataFrame, features: Sequence[str], load: str) -> DataFr
     levels = quantiles(long.filter(F.col("__load").isNotNull()), ["feature", load], {"__m": ("value", .5)})
     text = levels.groupBy("feature").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(load), F.round("__m", 4).alias("m")))),
-        lambda s: F.concat_ws(":", s[load].cast("string"), F.format_number(s["m"], "0.0000"))), "; ").alias("median_by_load"))
+        lambda s: F.concat_ws(":", s[load].cast("string"), F.format_string("%.4f", s["m"]))), "; ").alias("median_by_load"))
     return join_on(stats, text, ["feature"], "left")
 
 
@@ -338,7 +340,7 @@ def time_thirds(df: DataFrame, by: Sequence[str], t: str, values: Sequence[str],
     return summarise(tagged, [*by, "segment"], {"rows": F.count(F.lit(1))}, {f"{v}_median": (v, .5) for v in values})
 
 
-def terciles(df: DataFrame, by: Sequence[str], t: str, ok: str, values: Sequence[str]) -> DataFrame:
+def terciles(df: DataFrame, by: Sequence[str], t: str, ok: str, values: Sequence[str], digits: int = 3) -> DataFrame:
     """Summary of the parts below, between and above the tercile cut points of ``t``."""
     cuts = quantiles(df, by, {"__q1": (t, 1 / 3), "__q2": (t, 2 / 3)})
     tagged = join_on(df, cuts, by).withColumn(
@@ -346,7 +348,7 @@ def terciles(df: DataFrame, by: Sequence[str], t: str, ok: str, values: Sequence
     good = {v: F.when(F.col(ok), F.col(v)) for v in values}
     return summarise(tagged, [*by, "segment"], {
         "rows": F.count(F.lit(1)), "success_rows": n_if(F.col(ok)),
-        **{f"{v}_mean": F.avg(c) for v, c in good.items()}}, {f"{v}_p95": (c, .95) for v, c in good.items()}, digits=3)
+        **{f"{v}_mean": F.avg(c) for v, c in good.items()}}, {f"{v}_p95": (c, .95) for v, c in good.items()}, digits=digits)
 
 
 def segment_summary(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], *, n: int = 3,
@@ -413,15 +415,16 @@ def empirical_distribution(df: DataFrame, by: Sequence[str], value: str) -> Data
 def event_study(df: DataFrame, onsets: DataFrame, by: Sequence[str], t: str, onset: str, lo, hi, step,
                 values: Sequence[str]) -> DataFrame:
     """Medians in bins of time relative to the onsets of the same key (bins round half to even)."""
-    rel = join_on(df, onsets, by).withColumn("__rel", F.col(t) - F.col(onset)) \
-        .filter(F.col("__rel").between(lo, hi)).withColumn("rel_bin", F.bround(F.col("__rel") / step) * step)
+    rel = near_join(df, onsets, by, t, onset, lo, hi).withColumn(
+        "rel_bin", F.bround((F.col(t) - F.col(onset)) / step) * step)
     return summarise(rel, ["rel_bin"], {"rows": F.count(F.lit(1))}, {f"{v}_median": (v, .5) for v in values})
 
 
 def event_windows(df: DataFrame, onsets: DataFrame, by: Sequence[str], t: str, onset: str,
                   windows: Sequence[tuple[float, float]], values: Sequence[str]) -> DataFrame:
     """Median and p90 in named half-open windows around each onset."""
-    rel = join_on(df, onsets, by).withColumn("__rel", F.col(t) - F.col(onset))
+    rel = near_join(df, onsets, by, t, onset, min(a for a, _ in windows), max(b for _, b in windows)) \
+        .withColumn("__rel", F.col(t) - F.col(onset))
     label = F.coalesce(*[F.when((F.col("__rel") >= a) & (F.col("__rel") < b), f"{a}_to_{b}") for a, b in windows])
     tagged = rel.withColumn("window", label).filter(F.col("window").isNotNull())
     return summarise(tagged, ["window"], {"rows": F.count(F.lit(1))}, {
