@@ -87,7 +87,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, t: str, start: str, e
     ``point_key`` by interval ``order``; without ``pick`` every containing interval gives a row.
     """
     iv = intervals.filter(F.col(start) <= F.col(end)).select(
-        *by, F.col(start).alias("__s"), F.col(end).alias("__e"), F.struct(*[F.col(c) for c in [*order, *payload]]).alias("__iv"),
+        *by, F.col(start).alias("__s"), F.col(end).alias("__e"), F.struct(*[F.col(c) for c in dict.fromkeys([*order, *payload])]).alias("__iv"),
         F.explode(F.sequence(F.floor(F.col(start) / bucket).cast("bigint"),
                              F.floor(F.col(end) / bucket).cast("bigint"))).alias("__bk"))
     iv, keys = keyed(iv, by)

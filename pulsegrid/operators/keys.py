@@ -51,3 +51,23 @@ def value_code(value) -> Column:
     v = col(value).cast("double")
     magnitude = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(8192.0))
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude).cast("bigint")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store an intermediate result in the shared checkpoint folder, so later steps do not recompute it.
+
+    The folder is the session's ``spark.checkpoint.dir``. Local sessions without one get a temporary
+    folder; a cluster without one goes on uncut, because a machine's own folder would not survive it.
+    """
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if named:
+            sc.setCheckpointDir(named)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
+        else:
+            return df
+    return df.checkpoint()

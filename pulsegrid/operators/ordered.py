@@ -97,29 +97,43 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     return running(df, by, order, {name: F.lit(1).cast("bigint")}, width=width, slice_col=slice_col)
 
 
+BLOCK = "__blk"
+
+
+def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str, *, before: int, after: int, width=None,
+            slice_col: Column | None = None, block: int = 200_000) -> DataFrame:
+    """Cut keys into blocks of ``block`` consecutive rows, numbered by ``rn`` (from 1; added if absent).
+
+    Rows near an edge are copied into the neighbouring blocks whose frames reach them, so the copies cost
+    (before + after) / block. ``core`` tells the rows that belong to a block from the copies.
+    """
+    if rn not in df.columns:
+        df = numbered(df, keys, order, rn, width=width, slice_col=slice_col)
+    pos = F.col(rn) - 1
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((pos - after) / block))
+    last = F.floor((pos + before) / block)
+    return df.withColumn(BLOCK, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+
+
+def core(rn: str, block: int) -> Column:
+    return F.col(BLOCK) == F.floor((F.col(rn) - 1) / block)
+
+
 def framed(df: DataFrame, by: Sequence[str], order: Sequence[str], exprs: Callable[[W], Mapping[str, Column]], *,
            before: int = 0, after: int = 0, width=None, slice_col: Column | None = None,
            block: int = 200_000, index: str | None = None) -> DataFrame:
     """Window expressions whose frames reach at most ``before`` rows back and ``after`` rows ahead.
 
-    ``exprs(w)`` receives the ordered window specification and returns name -> column. Keys are cut into
-    blocks of ``block`` consecutive rows; rows near a block's edge are copied into the neighbour that
-    needs them and dropped again afterwards, so the copies cost (before + after) / block.
+    ``exprs(w)`` receives the ordered window specification and returns name -> column. ``index`` names a
+    row number the frame already has.
     """
     df, keys = keyed(df, by)
     rn = index or "__rn"
-    if index is None or index not in df.columns:
-        df = numbered(df, keys, order, rn, width=width, slice_col=slice_col)
-    pos = F.col(rn) - 1
-    first = F.greatest(F.lit(0).cast("bigint"), F.floor((pos - after) / block))
-    last = F.floor((pos + before) / block)
-    copies = df.withColumn("__blk", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
-    spec = W.partitionBy(*keys, "__blk").orderBy(rn)
-    added = exprs(spec)
+    copies = blocked(df, keys, order, rn, before=before, after=after, width=width, slice_col=slice_col, block=block)
+    added = exprs(W.partitionBy(*keys, BLOCK).orderBy(rn))
     out = copies.select(*[c for c in copies.columns if c not in added],
-                        *[c.alias(n) for n, c in added.items()])
-    out = out.filter(F.col("__blk") == F.floor((F.col(rn) - 1) / block))
-    return out.drop("__blk", "__all", *([] if index else ["__rn"]))
+                        *[c.alias(n) for n, c in added.items()]).filter(core(rn, block))
+    return out.drop(BLOCK, "__all", *([] if index else ["__rn"]))
 
 
 def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[str, tuple[str, int]], *,

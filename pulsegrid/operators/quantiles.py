@@ -40,7 +40,7 @@ def upper_middle() -> Callable[[Column], Column]:
 def top_share_median(share: float) -> Callable[[Column], Column]:
     """Median of the largest ``share`` of the values (at least one)."""
     def position(n: Column) -> Column:
-        k = F.greatest(F.lit(1), F.floor(n * F.lit(share)))
+        k = F.greatest(F.lit(1), F.ceil(n * F.lit(share)))
         return (n - k) + (k - 1) * F.lit(0.5)
     return position
 

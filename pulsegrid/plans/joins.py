@@ -69,12 +69,12 @@ def _(t):
     return A.asof_join(left, right, "us", "tel_us", ["run_id"], width=2 * DAY, payload=["temp"], order="tel_id")
 
 
-@query("d04_tolerance_sensitivity", sql=f"""WITH {SIDES}, x AS (SELECT *, unnest([3.6e9, 1.8e10, 8.64e10]) AS tolerance FROM nr), y AS (SELECT *, CASE WHEN abs(us - tel_us) <= tolerance THEN abs(us - tel_us)::DOUBLE END AS o FROM x)
-SELECT run_id, tolerance, count(*) AS bins, count(o) AS matched_bins, round(count(o) / count(*), 6) AS matched_rate, {_q('o', .5)} AS offset_p50, {_q('o', .95)} AS offset_p95 FROM y GROUP BY 1, 2""")
+@query("d04_tolerance_sensitivity", sql=f"""WITH {SIDES}, x AS (SELECT *, unnest([3.6e3, 1.8e4, 8.64e4]::DOUBLE[]) AS tolerance FROM nr), y AS (SELECT *, CASE WHEN abs(us - tel_us) / 1e6 <= tolerance THEN abs(us - tel_us) / 1e6 END AS o FROM x)
+SELECT run_id, tolerance, count(*) AS bins, count(o) AS matched_bins, round(count(o) / count(*), 8) AS matched_rate, {_q('o', .5, d=8)} AS offset_p50, {_q('o', .95, d=8)} AS offset_p95 FROM y GROUP BY 1, 2""")
 def _(t):
     left, right = sides(t)
     m = A.asof_join(left, right, "us", "tel_us", ["run_id"], width=2 * DAY, payload=["temp"], order="tel_id", offset="off")
-    return rounded(A.tolerance_sensitivity(m, ["run_id"], "off", [3.6e9, 1.8e10, 8.64e10]))
+    return rounded(A.tolerance_sensitivity(m.withColumn("off", F.col("off") / 1e6), ["run_id"], "off", [3.6e3, 1.8e4, 8.64e4]), 8)
 
 
 @query("d05_invalidate_far_matches", sql=f"""WITH {SIDES} SELECT event_id, us - tel_us AS off, CASE WHEN NOT abs(us - tel_us) > 7200000000 THEN temp END AS temp FROM nr""")
@@ -141,12 +141,12 @@ def _(t):
 
 
 @query("d10_window_midpoint", sql="""WITH w AS (SELECT date_trunc('month', o_orderdate) AS m, epoch_us(min(o_orderdate)) AS s, epoch_us(max(o_orderdate)) AS e FROM orders WHERE o_totalprice > 490000 GROUP BY 1),
-p AS (SELECT o_orderkey, epoch_us(o_orderdate) + CAST(o_totalprice AS BIGINT) * 1000 // 2 AS mid FROM orders) SELECT o_orderkey, mid, strftime(m, '%Y-%m') AS window_id FROM p JOIN w ON mid >= s AND mid <= e""")
+p AS (SELECT o_orderkey, epoch_us(o_orderdate) + CAST(floor(o_totalprice) AS BIGINT) * 500 AS mid FROM orders) SELECT o_orderkey, mid, strftime(m, '%Y-%m') AS window_id FROM p JOIN w ON mid >= s AND mid <= e""")
 def _(t):
     us = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
     o = t.orders
     w = o.filter("o_totalprice > 490000").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("window_id")).agg(F.min(us).alias("s"), F.max(us).alias("e"))
-    pts = o.select("o_orderkey", (us + F.floor(F.round("o_totalprice").cast("bigint") * 1000 / 2)).alias("mid"))
+    pts = o.select("o_orderkey", (us + F.floor("o_totalprice") * 500).alias("mid"))
     return A.interval_join(pts, w, "mid", "s", "e", bucket=30 * DAY, closed="both", how="inner", payload=["window_id"])
 
 
@@ -244,12 +244,12 @@ a AS (SELECT run_id, count(*) AS request_rows, count(*) FILTER (ok) AS success_r
 b AS (SELECT run_id, count(*) AS telemetry_rows, count(DISTINCT cyc) AS cycle_count, string_agg(DISTINCT phase, ',' ORDER BY phase) AS phases, min(us) AS a, max(us) AS z FROM (SELECT *, 'p' || (k % 3) AS phase FROM v) GROUP BY 1),
 bins AS (SELECT DISTINCT run_id, us // 3600000000 * 3600000000 AS bin FROM r), m AS (SELECT bins.run_id, bin, min(abs(bin - v.us)) AS o FROM bins LEFT JOIN v ON bins.run_id = v.run_id GROUP BY 1, 2),
 q AS (SELECT run_id, avg(CASE WHEN o <= 86400000000 THEN 1.0 ELSE 0.0 END) AS mr, quantile_cont(o / 1e6, .95) FILTER (o <= 86400000000) AS p95 FROM m GROUP BY 1),
-x AS (SELECT a.run_id, request_rows, success_rows, sr, coalesce(telemetry_rows, 0) AS telemetry_rows, coalesce(cycle_count, 0) AS cycle_count, phases, (least(a.z, b.z) - greatest(a.a, b.a)) / 1e6 AS overlap_s, mr, p95,
+x AS (SELECT a.run_id, request_rows, success_rows, sr, coalesce(telemetry_rows, 0) AS telemetry_rows, coalesce(cycle_count, 0) AS cycle_count, phases, CASE WHEN b.run_id IS NOT NULL THEN (least(a.z, b.z) - greatest(a.a, b.a)) / 1e6 END AS overlap_s, mr, p95,
  (SELECT quantile_cont(g / 1e6, .5) FROM ri WHERE ri.run_id = a.run_id) AS ri, (SELECT quantile_cont(g / 1e6, .5) FROM vi WHERE vi.run_id = a.run_id) AS vi FROM a LEFT JOIN b USING (run_id) LEFT JOIN q USING (run_id))"""
 
 
-@query("e13_run_inventory", sql=f"""WITH {_INV} SELECT run_id, request_rows, success_rows, round(sr, 6) AS success_rate, telemetry_rows, cycle_count, phases, round(ri, 6) AS request_interval_s, round(vi, 6) AS telemetry_interval_s, round(mr, 6) AS matched_rate,
- round(p95, 6) AS offset_p95_s, round(overlap_s, 6) AS overlap_s, telemetry_rows > 0 AND coalesce(overlap_s, 0) > 2000000 AS suitable_for_time,
+@query("e13_run_inventory", sql=f"""WITH {_INV} SELECT run_id, request_rows, success_rows, round(sr, 8) AS success_rate, telemetry_rows, cycle_count, phases, round(ri, 8) AS request_interval_s, round(vi, 8) AS telemetry_interval_s, round(mr, 8) AS matched_rate,
+ round(p95, 8) AS offset_p95_s, round(overlap_s, 8) AS overlap_s, telemetry_rows > 0 AND coalesce(overlap_s, 0) > 2000000 AS suitable_for_time,
  telemetry_rows > 0 AND coalesce(overlap_s, 0) > 2000000 AND cycle_count >= 1 AND success_rows >= 38 AND coalesce(mr, 0) >= 0.6 AS suitable_for_modeling,
  concat_ws('; ', CASE WHEN telemetry_rows = 0 THEN 'missing telemetry' END, CASE WHEN coalesce(overlap_s, 0) <= 2000000 THEN 'insufficient overlap' END, CASE WHEN success_rows < 38 THEN 'insufficient successes' END,
  CASE WHEN coalesce(mr, 0) < 0.6 THEN 'weak alignment' END) AS exclude_reason FROM x""")
@@ -257,4 +257,4 @@ def _(t):
     r = requests(t).withColumn("cyc", F.floor(F.col("us") / (7 * DAY))).withColumn("phase", F.concat(F.lit("p"), F.col("k") % 3))
     req, tel = r.filter("event_type <> 'view'"), r.filter("event_type = 'view' AND run_id % 10 <> 0")
     return rounded(A.alignment_inventory(req, tel, ["run_id"], "us", "ok", "cyc", "phase", width=2 * DAY, bin_width=HOUR, tolerance=DAY,
-                                         min_overlap=2000000, min_success=38, min_match=0.6, unit=1e6))
+                                         min_overlap=2000000, min_success=38, min_match=0.6, unit=1e6), 8)

@@ -19,14 +19,14 @@ def _q(c, q, f="", d=6):
 @query("e05_phase_cycle_summary", sql=f"""WITH {REQ}
 SELECT run_id % 10 AS grp, CAST(floor(us / 6.048e11) AS BIGINT) AS cycle, CASE WHEN k >= 10 THEN event_type END AS phase,
  count(*) AS rows, round(avg(CAST(k % 7 <> 0 AS DOUBLE)), 6) AS success_rate,
- round(avg(latency_ms) FILTER (k % 7 <> 0), 6) AS latency_ms_mean, max(latency_ms) FILTER (k % 7 <> 0) AS latency_ms_max,
- {_q('latency_ms', .5, ' FILTER (k % 7 <> 0)')} AS latency_ms_p50, {_q('latency_ms', .95, ' FILTER (k % 7 <> 0)')} AS latency_ms_p95,
- {_q('latency_ms', .99, ' FILTER (k % 7 <> 0)')} AS latency_ms_p99 FROM req GROUP BY 1, 2, 3""")
+ round(avg(latency_ms) FILTER (k % 7 <> 0), 9) AS latency_ms_mean, max(latency_ms) FILTER (k % 7 <> 0) AS latency_ms_max,
+ {_q('latency_ms', .5, ' FILTER (k % 7 <> 0)', 9)} AS latency_ms_p50, {_q('latency_ms', .95, ' FILTER (k % 7 <> 0)', 9)} AS latency_ms_p95,
+ {_q('latency_ms', .99, ' FILTER (k % 7 <> 0)', 9)} AS latency_ms_p99 FROM req GROUP BY 1, 2, 3""")
 def _(t):
     r = requests(t).select(
         (F.col("run_id") % 10).alias("grp"), F.floor(F.col("us") / 6.048e11).alias("cycle"),
         F.when(F.col("k") >= 10, F.col("event_type")).alias("phase"), (F.col("k") % 7 != 0).alias("success"), "latency_ms")
-    return S.phase_summary(r, ["grp", "cycle", "phase"], "success", ["latency_ms"], digits=6)
+    return S.phase_summary(r, ["grp", "cycle", "phase"], "success", ["latency_ms"], digits=9)
 
 
 @query("e06_two_level_medians", sql=f"""WITH a AS (
@@ -282,11 +282,11 @@ _FEAT = ("l_extendedprice", "l_discount", "l_tax")
     f"SELECT '{c}' AS feature, l_linenumber AS lv, {c} AS value FROM lineitem" for c in _FEAT) + f"""),
 m AS (SELECT feature, lv, quantile_cont(value, .5) AS md FROM u GROUP BY 1, 2),
 x AS (SELECT feature, string_agg(lv || ':' || printf('%.4f', md), '; ' ORDER BY lv) AS txt FROM m GROUP BY 1)
-SELECT feature, count(*) AS rows, count(value) AS non_missing, count(DISTINCT value) AS unique_count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
- min(value) AS min, max(value) AS max, round(corr(lv, value), 6) AS pearson_with_load, {_q('value', .5)} AS median, round(1 - count(value) / count(*), 6) AS missing_rate,
+SELECT feature, count(*) AS rows, count(value) AS non_missing, count(DISTINCT value) AS unique_count, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS std,
+ min(value) AS min, max(value) AS max, round(corr(lv, value), 8) AS pearson_with_load, {_q('value', .5)} AS median, round(1 - count(value) / count(*), 6) AS missing_rate,
  any_value(txt) AS median_by_load FROM u JOIN x USING (feature) GROUP BY 1""")
 def _(t):
-    return rounded(S.feature_profile(t.lineitem, _FEAT, "l_linenumber"))
+    return rounded(S.feature_profile(t.lineitem, _FEAT, "l_linenumber"), 8)
 
 
 @query("e32_fold_features", sql="WITH f AS (SELECT 'fold_' || h AS fold, l_suppkey, l_suppkey % 5 = h AS is_test FROM (SELECT DISTINCT l_suppkey FROM lineitem) CROSS JOIN range(5) t(h)),"
