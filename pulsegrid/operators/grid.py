@@ -162,3 +162,12 @@ def trailing_quantiles(df: DataFrame, by: Sequence[str], t: str, value: str, win
         F.when(enough, "ok").otherwise(f"insufficient_completion_count<{min_samples}").alias("quality_status"),
         *[F.when(enough, F.col(c)).alias(f"rolling_latency_{c}") for c in ("p50", "mean", "p95", "p99")])
     return out if by else out.drop("__all")
+
+
+def elapsed_axis(df: DataFrame, by: Sequence[str], t: str, elapsed: str | None = None, unit: float = 1.0) -> DataFrame:
+    """Add ``elapsed_s``: the named column where the frame has it, else time since the key's first row."""
+    if elapsed and elapsed in df.columns:
+        return df.withColumn("elapsed_s", F.col(elapsed).cast("double"))
+    base, keys = keyed(df, by)
+    first = base.groupBy(*keys).agg(F.min(t).alias("__t0"))
+    return join_on(base, first, keys).withColumn("elapsed_s", (F.col(t) - F.col("__t0")) / unit).drop("__t0", "__all")

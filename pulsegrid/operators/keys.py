@@ -53,21 +53,28 @@ def value_code(value) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude).cast("bigint")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store an intermediate result in the shared checkpoint folder, so later steps do not recompute it.
-
-    The folder is the session's ``spark.checkpoint.dir``. Local sessions without one get a temporary
-    folder; a cluster without one goes on uncut, because a machine's own folder would not survive it.
-    """
+def shared_folder(spark) -> str | None:
+    """The session's checkpoint folder. Local sessions without one get a temporary folder; a cluster
+    without one gets none, because a machine's own folder would not survive the machine."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        named = spark.conf.get("spark.checkpoint.dir", "")
         if named:
             sc.setCheckpointDir(named)
         elif sc.master.startswith("local"):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
-        else:
-            return df
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def scratch_folder(spark) -> str:
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{folder}/scratch"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store an intermediate result in the shared folder, so later steps do not compute it again."""
+    return df.checkpoint() if shared_folder(df.sparkSession) else df

@@ -104,8 +104,8 @@ def replicate_summary(df: DataFrame, level: str, values: Sequence[str], complete
 
 
 def freshness(age: Column, strict_s: float = 5.0, caution_s: float = 30.0) -> Column:
-    return F.when(age.isNull(), "missing").when(age <= strict_s, "strict_pass") \
-        .when(age <= caution_s, "caution").otherwise("stale")
+    return F.when(age.isNull(), "missing").when(age <= strict_s, "ok_for_10_30s_warning") \
+        .when(age <= caution_s, "caution_for_10_30s_warning").otherwise("not_primary_for_10_30s_warning")
 
 
 def sample_age_summary(samples: DataFrame, by: Sequence[str], strict_s: float = 5, caution_s: float = 30) -> DataFrame:

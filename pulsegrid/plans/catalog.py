@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import grids, joins, rollups, sequences, summaries  # noqa: F401
+from . import grids, joins, rollups, scalars, sequences, sources_q, summaries  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]

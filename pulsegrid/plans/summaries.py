@@ -134,7 +134,7 @@ def _(t):
 SELECT query_index, min(result_count) AS result_count_min, max(result_count) AS result_count_max, count(*) FILTER (error <> '') AS error_count,
  count(*) FILTER (stamp IS NULL) AS missing_ts_count, count(age) AS observations, round(max(age), 6) AS age_max_s, round(max(dur), 6) AS duration_max_s,
  {_q('age', .5)} AS age_p50_s, {_q('age', .95)} AS age_p95_s, {_q('dur', .5)} AS duration_p50_s, {_q('dur', .95)} AS duration_p95_s,
- CASE WHEN max(age) IS NULL THEN 'missing' WHEN max(age) <= 5 THEN 'strict_pass' WHEN max(age) <= 30 THEN 'caution' ELSE 'stale' END AS decision
+ CASE WHEN max(age) IS NULL THEN 'missing' WHEN max(age) <= 5 THEN 'ok_for_10_30s_warning' WHEN max(age) <= 30 THEN 'caution_for_10_30s_warning' ELSE 'not_primary_for_10_30s_warning' END AS decision
 FROM s GROUP BY 1""")
 def _(t):
     shown = F.col("event_type") != "signup"
