@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .keys import col, join_on, keyed
+from .keys import col, join_on, keyed, spare
 from .ordered import fill
 from .quantiles import quantiles, summarise
 
@@ -98,7 +98,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, t: str, start: str, e
     condition &= (F.col(t) <= F.col("__e")) if closed == "both" else (F.col(t) < F.col("__e"))
     for i, c in enumerate(on):
         condition &= pts[c].eqNullSafe(right[f"__r{i}"])
-    joined = pts.join(right, condition, how).drop(*[f"__r{i}" for i in range(len(on))], "__bk", "__s", "__e", "__all")
+    joined = pts.join(right, condition, how).drop(*[f"__r{i}" for i in range(len(on))], "__bk", "__s", "__e", *spare(by))
     if pick:
         best = F.min_by if pick == "first" else F.max_by
         rank = F.struct(*[F.col("__iv")[c] for c in order])

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .keys import col, join_on, keyed
+from .keys import col, join_on, keyed, spare
 from .quantiles import quantiles
 
 
@@ -44,7 +44,7 @@ def trim_to(df: DataFrame, other: DataFrame, by: Sequence[str], t: str, other_t:
     left, keys = keyed(df, by)
     right, _ = keyed(other, by)
     out = join_on(left, right.groupBy(*keys).agg(F.max(other_t).alias("__z")), keys)
-    return out.filter(F.col(t) <= F.col("__z")).drop("__z", "__all")
+    return out.filter(F.col(t) <= F.col("__z")).drop("__z", *spare(by))
 
 
 def eligibility(df: DataFrame, t: str, warmup, telemetry: Sequence[str], samples: str, min_samples: int) -> DataFrame:
@@ -59,7 +59,7 @@ def eligibility(df: DataFrame, t: str, warmup, telemetry: Sequence[str], samples
 def clip(df: DataFrame, by: Sequence[str], value: str, q: float, drop: bool = False) -> DataFrame:
     """Cap the values of each key at a quantile, or drop the rows above it."""
     base, keys = keyed(df, by)
-    out = join_on(base, quantiles(base, keys, {"__cap": (value, q)}), keys, "left").drop("__all")
+    out = join_on(base, quantiles(base, keys, {"__cap": (value, q)}), keys, "left").drop(*spare(by))
     if drop:
         return out.filter(F.col(value) <= F.col("__cap")).drop("__cap")
     return out.withColumn(value, F.when(F.col(value).isNotNull(), F.least(value, "__cap"))).drop("__cap")
@@ -82,7 +82,7 @@ def first_with_rows(df: DataFrame, by: Sequence[str], name: str, alternatives: S
     ranked = df.withColumn("__rank", rank).filter(F.col("__rank").isNotNull())
     base, keys = keyed(ranked, by)
     best = base.groupBy(*keys).agg(F.min("__rank").alias("__best"))
-    return join_on(base, best, keys).filter(F.col("__rank") == F.col("__best")).drop("__rank", "__best", "__all")
+    return join_on(base, best, keys).filter(F.col("__rank") == F.col("__best")).drop("__rank", "__best", *spare(by))
 
 
 def select_labels(df: DataFrame, labels: str, equals: Mapping[str, str] | None = None, differs: Mapping[str, str] | None = None,

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .keys import col, join_on, keyed
+from .keys import col, join_on, keyed, spare
 from .quantiles import summarise
 
 
@@ -170,4 +170,4 @@ def elapsed_axis(df: DataFrame, by: Sequence[str], t: str, elapsed: str | None =
         return df.withColumn("elapsed_s", F.col(elapsed).cast("double"))
     base, keys = keyed(df, by)
     first = base.groupBy(*keys).agg(F.min(t).alias("__t0"))
-    return join_on(base, first, keys).withColumn("elapsed_s", (F.col(t) - F.col("__t0")) / unit).drop("__t0", "__all")
+    return join_on(base, first, keys).withColumn("elapsed_s", (F.col(t) - F.col("__t0")) / unit).drop("__t0", *spare(by))

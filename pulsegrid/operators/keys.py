@@ -42,6 +42,11 @@ def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("__all", F.lit(0)), ["__all"]
 
 
+def spare(by: Sequence[str]) -> list[str]:
+    """The constant key that ``keyed`` added, to be dropped again."""
+    return [] if by else ["__all"]
+
+
 def value_code(value) -> Column:
     """Coarse order-preserving bucket of a number: equal or larger values never get a smaller code.
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .keys import col, join_on, keyed
+from .keys import col, join_on, keyed, spare
 
 SLICE = "__slice"
 
@@ -62,7 +62,7 @@ def fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[s
         *[c for c in df.columns if c not in names],
         *[F.coalesce(F.last(f"__h_{n}", ignorenulls=True).over(within), F.col(f"__c_{n}"))["v"].alias(n)
           for n in names])
-    return out.drop(SLICE, "__all")
+    return out.drop(SLICE, *spare(by))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str] | None = None,
@@ -88,7 +88,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
         *[(F.coalesce(F.col(f"__cs_{n}"), zero) + F.coalesce(F.sum(f"__s_{n}").over(within), zero)).alias(n)
           for n in sums],
         *[F.greatest(F.col(f"__cm_{n}"), F.max(f"__m_{n}").over(within)).alias(n) for n in maxima])
-    return out.drop(SLICE, "__all")
+    return out.drop(SLICE, *spare(by))
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn", *, width=None,
@@ -133,7 +133,7 @@ def framed(df: DataFrame, by: Sequence[str], order: Sequence[str], exprs: Callab
     added = exprs(W.partitionBy(*keys, BLOCK).orderBy(rn))
     out = copies.select(*[c for c in copies.columns if c not in added],
                         *[c.alias(n) for n, c in added.items()]).filter(core(rn, block))
-    return out.drop(BLOCK, "__all", *([] if index else ["__rn"]))
+    return out.drop(BLOCK, *spare(by), *([] if index else ["__rn"]))
 
 
 def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[str, tuple[str, int]], *,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .align import interval_join, last_event
 from .grid import ratio
-from .keys import col, cut, join_on, keyed
+from .keys import col, cut, join_on, keyed, spare
 from .ordered import BLOCK, blocked, core, fill, framed, lagged, numbered, running
 from .quantiles import average_rank, quantiles, summarise, top_share_median
 
@@ -75,7 +75,7 @@ def exponential_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], val
     means = cut.groupBy(*keys, BLOCK).applyInPandas(smooth, schema)
     out = join_on(placed, means, [*keys, "__pos"], "left")
     out = fill(out, keys, order, {name: name}, width=width)
-    return out.drop("__pos", "__all")
+    return out.drop("__pos", *spare(by))
 
 
 def forecast_frame(df: DataFrame, by: Sequence[str], order: Sequence[str], target: str, horizon: int, *, width,
@@ -493,7 +493,7 @@ def drop_from_baseline(df: DataFrame, by: Sequence[str], value: str, normal: Col
     stats = summarise(base, keys, {"__n": F.count(norm)}, {"__m": (norm, .5), "__top": (value, top_share_median(share))})
     b = F.coalesce(F.when((F.col("__n") >= min_rows) & (F.col("__m") > 0), F.col("__m")), F.col("__top"), F.lit(1.0))
     out = join_on(base, stats, keys, "left").withColumn(name, F.greatest((b - F.col(value)) / b * 100.0, F.lit(0.0)))
-    return out.drop("__n", "__m", "__top", "__all")
+    return out.drop("__n", "__m", "__top", *spare(by))
 
 
 def event_timing(df: DataFrame, events: DataFrame, by: Sequence[str], order: Sequence[str], temp: str, clock: str, latency: str,

@@ -374,9 +374,9 @@ def exceedance_timing(df: DataFrame, by: Sequence[str], t: str, flag: str, warmu
 
 
 def forecast_metrics(df: DataFrame, by: Sequence[str], actual: str, predicted: str) -> DataFrame:
-    """MAE, RMSE, bias and R² over the rows that have both sides."""
+    """MAE, RMSE, bias (actual minus predicted) and R² over the rows that have both sides."""
     rows = df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    err = F.col(predicted) - F.col(actual)
+    err = F.col(actual) - F.col(predicted)
     sst = F.var_pop(actual) * F.count(F.lit(1))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),

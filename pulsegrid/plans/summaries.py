@@ -350,7 +350,7 @@ def _(t):
 
 
 @query("e36_forecast_metrics", sql="""SELECT l_returnflag, l_linenumber, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias,
- round(1 - sum(e * e) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM (SELECT *, l_quantity * 1500 - l_extendedprice AS e FROM lineitem) GROUP BY 1, 2""")
+ round(1 - sum(e * e) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM (SELECT *, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) GROUP BY 1, 2""")
 def _(t):
     return rounded(S.forecast_metrics(t.lineitem.withColumn("p", F.col("l_quantity") * 1500), ["l_returnflag", "l_linenumber"], "l_extendedprice", "p"))
 
