@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .align import interval_join, last_event
 from .grid import ratio
+from .grouped import map_groups
 from .keys import col, cut, join_on, keyed, spare
 from .ordered import BLOCK, blocked, core, fill, framed, lagged, numbered, running
 from .quantiles import average_rank, quantiles, summarise, top_share_median
@@ -57,22 +58,19 @@ def exponential_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], val
     seen = fill(seen, keys, order, {"__before": "__pos"}, width=width, strict=True)
     seen = seen.select(*keys, "__pos", F.least(F.col("__pos") - F.coalesce(F.col("__before"), F.col("__pos") - 1),
                                                F.lit(reach)).alias("__gap"), F.col(value).cast("double").alias("__v"), *[c for c in order if c not in keys])
-    cut = blocked(seen, keys, order, "__rn", before=reach, after=0, width=width, block=block)
-    cut = cut.select(*keys, BLOCK, "__rn", "__pos", "__gap", "__v")
-    schema = T.StructType([*[cut.schema[k] for k in keys], T.StructField("__pos", T.LongType()), T.StructField(name, T.DoubleType())])
+    near = blocked(seen, keys, order, "__rn", before=reach, after=0, width=width, block=block)
 
-    def smooth(pdf):
+    def smooth(rn, pos, gap, value, blk):
         import numpy as np
         import pandas as pd
-        pdf = pdf.sort_values("__rn")
-        at = pdf["__gap"].cumsum().to_numpy()
+        at = np.cumsum(gap)
         full = pd.Series(np.nan, index=np.arange(at[0], at[-1] + 1))
-        full.loc[at] = pdf["__v"].to_numpy()
-        pdf[name] = full.ewm(span=span, adjust=False).mean().loc[at].to_numpy()
-        own = pdf[BLOCK] == (pdf["__rn"] - 1) // block
-        return pdf.loc[own, [*keys, "__pos", name]]
+        full.loc[at] = value
+        own = (rn - 1) // block == blk
+        return pos[own], full.ewm(span=span, adjust=False).mean().loc[at].to_numpy()[own]
 
-    means = cut.groupBy(*keys, BLOCK).applyInPandas(smooth, schema)
+    means = map_groups(near, [*keys, BLOCK], ["__rn"], ["__rn", "__pos", "__gap", "__v", BLOCK], smooth,
+                       [T.StructField("__pos", T.LongType()), T.StructField(name, T.DoubleType())]).drop(BLOCK)
     out = join_on(placed, means, [*keys, "__pos"], "left")
     out = fill(out, keys, order, {name: name}, width=width)
     return out.drop("__pos", *spare(by))
@@ -204,61 +202,56 @@ def debounce(df: DataFrame, by: Sequence[str], t: str, flag: str, refractory, *,
     if width < refractory:
         raise ValueError("a slice must be at least as long as the refractory time")
     alerts = df.filter(F.coalesce(F.col(flag), F.lit(False)) & F.col(t).isNotNull()).groupBy(*by, t).agg(
-        *[F.min(c).alias(c) for c in carry]).withColumn("__slice", F.floor(F.col(t) / width).cast("bigint"))
+        F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in carry]).drop("__n")
+    alerts = alerts.withColumn("__slice", F.floor(F.col(t) / width).cast("bigint"))
     alerts = cut(alerts)
-    keys = [alerts.schema[k] for k in by]
     moment = T.DoubleType()
 
     def jumps(times):
         import numpy as np
         return np.searchsorted(times, times + refractory, side="left")
 
-    def transitions(pdf):
+    def transitions(times, part):
         import numpy as np
-        times = np.sort(pdf[t].to_numpy(dtype="float64"))
+        times = times.astype("float64")
         nxt = jumps(times)
         last = np.where(nxt < len(times), nxt, np.arange(len(times)))
         while not np.array_equal(last, last[last]):
             last = last[last]
-        start = pdf["__slice"].iloc[0] * width
-        reach = min(len(times), int(np.searchsorted(times, start + refractory, side="left")) + 1)
+        reach = min(len(times), int(np.searchsorted(times, part[0] * width + refractory, side="left")) + 1)
         exits = times[last[:reach]] + refractory
         edge = np.append(exits[1:] != exits[:-1], True)
-        head = {k: pdf[k].iloc[0] for k in by}
-        return pd.DataFrame({**head, "__slice": pdf["__slice"].iloc[0], "__upto": times[:reach][edge], "__exit": exits[edge]})
+        return times[:reach][edge], exits[edge]
 
-    steps = alerts.groupBy(*by, "__slice").applyInPandas(transitions, T.StructType(
-        [*keys, T.StructField("__slice", T.LongType()), T.StructField("__upto", moment), T.StructField("__exit", moment)]))
+    steps = map_groups(alerts, [*by, "__slice"], [t], [t, "__slice"], transitions,
+                       [T.StructField("__upto", moment), T.StructField("__exit", moment)])
 
-    def chain(pdf):
+    def chain(part, upto, leave):
         import numpy as np
-        free, out = -math.inf, []
-        for s, part in pdf.sort_values(["__slice", "__upto"]).groupby("__slice", sort=True):
-            out.append((s, free))
-            i = int(np.searchsorted(part["__upto"].to_numpy(), free, side="left"))
-            if i < len(part):
-                free = float(part["__exit"].iloc[i])
-        res = pd.DataFrame(out, columns=["__slice", "__free"])
-        for k in by:
-            res[k] = pdf[k].iloc[0]
-        return res
-
-    entry = steps.groupBy(*by).applyInPandas(chain, T.StructType(
-        [*keys, T.StructField("__slice", T.LongType()), T.StructField("__free", moment)]))
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        free, entry = -math.inf, []
+        for a, z in zip(first, np.append(first[1:], len(part))):
+            entry.append(free)
+            i = a + int(np.searchsorted(upto[a:z], free, side="left"))
+            if i < z:
+                free = float(leave[i])
+        return part[first], np.array(entry)
+
+    entry = map_groups(steps, by, ["__slice", "__upto"], ["__slice", "__upto", "__exit"], chain,
+                       [T.StructField("__slice", T.LongType()), T.StructField("__free", moment)])
     rows = join_on(alerts, entry, [*by, "__slice"])
 
-    def mark(pdf):
+    def mark(times, free, *others):
         import numpy as np
-        pdf = pdf.sort_values(t)
-        times = pdf[t].to_numpy(dtype="float64")
-        nxt, kept = jumps(times), []
-        i = int(np.searchsorted(times, pdf["__free"].iloc[0], side="left"))
-        while i < len(times):
+        at = times.astype("float64")
+        nxt, kept = jumps(at), []
+        i = int(np.searchsorted(at, free[0], side="left"))
+        while i < len(at):
             kept.append(i)
             i = int(nxt[i])
-        return pdf.iloc[kept][[*by, t, *carry]]
+        return [c[kept] for c in (times, *others)]
 
-    return rows.groupBy(*by, "__slice").applyInPandas(mark, T.StructType([rows.schema[c] for c in (*by, t, *carry)]))
+    return map_groups(rows, [*by, "__slice"], [t], [t, "__free", *carry], mark, [rows.schema[c] for c in (t, *carry)]).drop("__slice")
 
 
 def match_alerts(onset_rows: DataFrame, alerts: DataFrame, by: Sequence[str], onset: str, alert: str, min_lead, max_lead, *,
@@ -278,13 +271,10 @@ def match_alerts(onset_rows: DataFrame, alerts: DataFrame, by: Sequence[str], on
                          how="inner", payload=["chain"])
     both = chained.select(*by, "chain", F.col(t).cast("double").alias("__t"), F.lit(1).alias("__side")).unionByName(
         near.select(*by, "chain", F.col(alert).cast("double").alias("__t"), F.lit(0).alias("__side")))
-    schema = T.StructType([*[both.schema[k] for k in by], T.StructField("onset", T.DoubleType()), T.StructField("alert", T.DoubleType())])
 
-    def greedy(pdf):
+    def greedy(times, side):
         import numpy as np
-        import pandas as pd
-        warn = np.sort(pdf.loc[pdf["__side"] == 0, "__t"].to_numpy())
-        start = np.sort(pdf.loc[pdf["__side"] == 1, "__t"].to_numpy())
+        warn, start = times[side == 0], times[side == 1]
         low = np.searchsorted(warn, start - max_lead, side="left")
         high = np.searchsorted(warn, start - min_lead, side="right")
         used, got = 0, np.full(len(start), np.nan)
@@ -292,9 +282,10 @@ def match_alerts(onset_rows: DataFrame, alerts: DataFrame, by: Sequence[str], on
             j = max(used, low[i])
             if j < high[i]:
                 got[i], used = warn[j], j + 1
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "onset": start, "alert": got})
+        return start, got
 
-    out = both.groupBy(*by, "chain").applyInPandas(greedy, schema)
+    out = map_groups(both, [*by, "chain"], ["__t", "__side"], ["__t", "__side"], greedy,
+                     [T.StructField("onset", T.DoubleType()), T.StructField("alert", T.DoubleType())])
     found = ~F.isnan("alert") & F.col("alert").isNotNull()
     return out.select(*by, "onset", F.when(found, F.col("alert")).alias("alert"), found.alias("detected"),
                       F.when(found, F.col("onset") - F.col("alert")).alias("lead"))
