@@ -38,7 +38,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_t: str, right_t: str, by:
                     F.struct(*[F.col(c) for c in lcols]).alias("__l"))
     both = l.unionByName(r, allowMissingColumns=True)
     if direction in ("nearest", "backward"):
-        both = fill(both, by, ["__t", "__side"], {"__b": "__r"}, width=width)
+        both = fill(both, by, ["__t", "__side"], {"__b": "__r"}, width=width, keep_slice=direction == "nearest")
     if direction in ("nearest", "forward"):
         # Right rows sort before left rows of the same time, so a forward look needs the reverse placement.
         both = both.withColumn("__side2", 1 - F.col("__side"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+CONSTANT = "__all"  # key of frames without keys; right sides joined on it alone are global aggregates
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -15,9 +18,12 @@ def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     """Equi-join on ``by`` where a null key equals a null key; the key columns appear once.
 
     No side is hinted: Spark broadcasts a side only when its measured size is under the session's
-    threshold, and otherwise shuffles with adaptive skew handling.
+    threshold, and otherwise shuffles with adaptive skew handling. The one exception is a right side
+    grouped by the constant key alone, which has one row at most.
     """
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in by else F.col(c) for c in right.columns])
+    if list(by) == [CONSTANT]:
+        renamed = F.broadcast(renamed)
     condition = None
     for c in by:
         term = left[c].eqNullSafe(renamed[f"__r_{c}"])
@@ -39,12 +45,12 @@ def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Give a key-less frame one constant key so that grouped operators serve it too."""
     if by:
         return df, list(by)
-    return df.withColumn("__all", F.lit(0)), ["__all"]
+    return df.withColumn(CONSTANT, F.lit(0)), [CONSTANT]
 
 
 def spare(by: Sequence[str]) -> list[str]:
     """The constant key that ``keyed`` added, to be dropped again."""
-    return [] if by else ["__all"]
+    return [] if by else [CONSTANT]
 
 
 def value_code(value) -> Column:

@@ -26,6 +26,8 @@ def slice_of(order_col, width) -> Column:
 
 
 def _sliced(df: DataFrame, order: Sequence[str], width, slice_col) -> DataFrame:
+    if SLICE in df.columns:  # kept by the scan before, together with the partitioning of its rows
+        return df
     return df.withColumn(SLICE, slice_col if slice_col is not None else slice_of(order[0], width))
 
 
@@ -35,10 +37,11 @@ def _order(order: Sequence[str], reverse: bool = False) -> list[Column]:
 
 def fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[str, Column | str], *,
          width=None, slice_col: Column | None = None, direction: str = "previous",
-         strict: bool = False) -> DataFrame:
+         strict: bool = False, keep_slice: bool = False) -> DataFrame:
     """Add, per output name, the nearest non-null value at or before (after) each row of its key.
 
-    ``strict`` leaves the row itself out, which makes ``fill`` a null-skipping lag or lead.
+    ``strict`` leaves the row itself out, which makes ``fill`` a null-skipping lag or lead. With
+    ``keep_slice`` a scan that follows finds the rows partitioned as it needs them.
     """
     back = direction == "previous"
     df, keys = keyed(df, by)
@@ -62,12 +65,12 @@ def fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[s
         *[c for c in df.columns if c not in names],
         *[F.coalesce(F.last(f"__h_{n}", ignorenulls=True).over(within), F.col(f"__c_{n}"))["v"].alias(n)
           for n in names])
-    return out.drop(SLICE, *spare(by))
+    return out.drop(*([] if keep_slice else [SLICE]), *spare(by))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str] | None = None,
             *, maxima: Mapping[str, Column | str] | None = None, width=None, slice_col: Column | None = None,
-            strict: bool = False) -> DataFrame:
+            strict: bool = False, keep_slice: bool = False) -> DataFrame:
     """Add running sums (0 when nothing precedes) and running maxima (null when nothing precedes)."""
     sums, maxima = dict(sums or {}), dict(maxima or {})
     df, keys = keyed(df, by)
@@ -88,7 +91,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
         *[(F.coalesce(F.col(f"__cs_{n}"), zero) + F.coalesce(F.sum(f"__s_{n}").over(within), zero)).alias(n)
           for n in sums],
         *[F.greatest(F.col(f"__cm_{n}"), F.max(f"__m_{n}").over(within)).alias(n) for n in maxima])
-    return out.drop(SLICE, *spare(by))
+    return out.drop(*([] if keep_slice else [SLICE]), *spare(by))
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn", *, width=None,

@@ -138,7 +138,7 @@ def episodes(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str,
     if eligible:
         df = df.withColumn(flag, F.col(flag) & F.col(eligible))
     runs = cut(islands(df, by, order, flag, width=width).filter(F.col("end") - F.col("start") + unit >= min_duration))
-    prev = fill(runs, by, ["start"], {"__pe": "end"}, width=width, strict=True)
+    prev = fill(runs, by, ["start"], {"__pe": "end"}, width=width, strict=True, keep_slice=True)
     fresh = (F.col("__pe").isNull() | (F.col("start") - F.col("__pe") > refractory)).cast("int")
     grouped = running(prev.withColumn("__new", fresh), by, ["start"], {"__ep": "__new"}, width=width)
     return grouped.groupBy(*by, "__ep").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__ep")
@@ -263,7 +263,7 @@ def match_alerts(onset_rows: DataFrame, alerts: DataFrame, by: Sequence[str], on
     """
     t = onset
     onset_rows, alerts = cut(onset_rows), cut(alerts)
-    prev = fill(onset_rows.select(*by, t), by, [t], {"__po": t}, width=width, strict=True)
+    prev = fill(onset_rows.select(*by, t), by, [t], {"__po": t}, width=width, strict=True, keep_slice=True)
     fresh = (F.col("__po").isNull() | (F.col(t) - max_lead > F.col("__po") - min_lead)).cast("int")
     chained = cut(running(prev.withColumn("__new", fresh), by, [t], {"chain": "__new"}, width=width))
     chains = chained.groupBy(*by, "chain").agg((F.min(t) - max_lead).alias("__a"), (F.max(t) - min_lead).alias("__z"))
@@ -316,7 +316,7 @@ def event_metrics(matches: DataFrame, alerts: DataFrame, healthy: DataFrame, by:
 
 def failure_streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], failed: str, name: str, *, width) -> DataFrame:
     """Number of failures in a row up to and including each row; a good row resets it to 0."""
-    counted = running(df, by, order, {"__n": F.lit(1)}, width=width)
+    counted = running(df, by, order, {"__n": F.lit(1)}, width=width, keep_slice=True)
     reset = fill(counted, by, order, {"__ok": F.when(~F.col(failed), F.col("__n"))}, width=width)
     return reset.withColumn(name, F.col("__n") - F.coalesce("__ok", F.lit(0))).drop("__n", "__ok")
 
@@ -350,7 +350,7 @@ def outages(df: DataFrame, by: Sequence[str], t: str, instance: str, failed: str
         .filter((F.col("__i") >= min_instances) & (F.col("__n") >= min_failures))
     seconds = join_on(seconds, bounds, keys).filter(F.col("__t") <= F.col("__last")).select(*keys, "__t")
     seconds = cut(seconds)
-    prev = fill(seconds, keys, ["__t"], {"__p": "__t"}, width=width, strict=True)
+    prev = fill(seconds, keys, ["__t"], {"__p": "__t"}, width=width, strict=True, keep_slice=True)
     fresh = (F.col("__p").isNull() | (F.col("__t") - F.col("__p") > merge_gap)).cast("int")
     grouped = running(prev.withColumn("__new", fresh), keys, ["__t"], {"outage_no": "__new"}, width=width)
     win = grouped.groupBy(*keys, "outage_no").agg((F.min("__t") - (window - 1)).alias("core_start"), F.max("__t").alias("core_end"))
@@ -370,7 +370,7 @@ def clean_segments(df: DataFrame, windows: DataFrame, by: Sequence[str], t: str,
     """What is left of each run outside the merged windows, if at least ``min_length`` long."""
     runs = df.groupBy(*by).agg(F.min(t).cast("double").alias("__a"), F.max(t).cast("double").alias("__z"))
     w = windows.select(*by, F.col(start).cast("double").alias("__s"), F.col(end).cast("double").alias("__e"))
-    high = running(w, by, ["__s", "__e"], maxima={"__m": "__e"}, width=width, strict=True)
+    high = running(w, by, ["__s", "__e"], maxima={"__m": "__e"}, width=width, strict=True, keep_slice=True)
     fresh = (F.col("__m").isNull() | (F.col("__s") > F.col("__m"))).cast("int")
     merged = running(high.withColumn("__new", fresh), by, ["__s", "__e"], {"__g": "__new"}, width=width) \
         .groupBy(*by, "__g").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e"))
@@ -388,7 +388,7 @@ def interpolate(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Se
     """Fill gaps linearly in time; before the first and after the last known value, with that value."""
     t = order[0]
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).cast("double").alias("v"))) for c in cols}
-    out = fill(df, by, order, {f"__b_{c}": k for c, k in known.items()}, width=width)
+    out = fill(df, by, order, {f"__b_{c}": k for c, k in known.items()}, width=width, keep_slice=True)
     out = fill(out, by, order, {f"__a_{c}": k for c, k in known.items()}, width=width, direction="next")
 
     def value(c):
@@ -400,7 +400,7 @@ def interpolate(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Se
 
 def filled(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], *, width) -> DataFrame:
     """Forward fill, then backward fill what is left at the start."""
-    out = fill(df, by, order, {f"__f_{c}": c for c in cols}, width=width)
+    out = fill(df, by, order, {f"__f_{c}": c for c in cols}, width=width, keep_slice=True)
     out = fill(out, by, order, {f"__b_{c}": c for c in cols}, width=width, direction="next")
     return out.select(*[F.coalesce(f"__f_{c}", f"__b_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 

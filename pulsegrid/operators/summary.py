@@ -10,6 +10,7 @@ from .align import near_join
 from .grid import dense_bins, ratio
 from .keys import col, join_on, keyed
 from .ordered import fill, framed, lagged, numbered, running
+from .selection import last_n
 from .quantiles import nearest, quantiles, rounded, summarise, average_rank  # noqa: F401
 
 
@@ -123,23 +124,16 @@ def sample_age_summary(samples: DataFrame, by: Sequence[str], strict_s: float =
     return out.withColumn("decision", freshness(F.col("age_max_s"), strict_s, caution_s))
 
 
-def sample_record(samples: Column, finished: Column, head: int = 20) -> dict[str, Column]:
-    """Age statistics of one query's array of sample timestamps, as columns of that row."""
-    ages = F.array_sort(F.transform(samples, lambda x: finished - x))
-    n = F.size(ages)
-    mid = (n - 1) / 2
-    at = lambda i: F.element_at(ages, (i + 1).cast("int"))
-    distinct = F.array_sort(F.array_distinct(F.transform(samples, lambda x: F.round(x, 6))))
-    some = n > 0
-    return {
-        "result_count": n,
-        "age_min_s": F.when(some, F.array_min(ages)),
-        "age_p50_s": F.when(some, (at(F.floor(mid)) + at(F.ceil(mid))) / 2),
-        "age_max_s": F.when(some, F.array_max(ages)),
-        "distinct_count": F.size(distinct),
-        "distinct_head": F.slice(distinct, 1, head),
-        "distinct_omitted": F.greatest(F.lit(0), F.size(distinct) - head),
-    }
+def sample_records(samples: DataFrame, by: Sequence[str], stamp: str, finished: str, head: int = 20) -> DataFrame:
+    """One record per query: its age quantiles, and its distinct timestamps with the first of them listed."""
+    age = F.col(finished) - F.col(stamp)
+    stats = summarise(samples, by, {"result_count": F.count(F.lit(1)), "age_min_s": F.min(age), "age_max_s": F.max(age)}, {"age_p50_s": (age, .5)})
+    distinct = samples.filter(F.col(stamp).isNotNull()).select(*by, F.round(stamp, 6).alias("__ts")).distinct()
+    sizes = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_count"))
+    first = last_n(distinct.withColumn("__neg", -F.col("__ts")), by, ["__neg"], head)
+    heads = first.groupBy(*by).agg(F.array_sort(F.collect_list("__ts")).alias("distinct_head"))
+    out = join_on(join_on(stats, sizes, by, "left"), heads, by, "left").fillna(0, ["distinct_count"])
+    return out.withColumn("distinct_omitted", F.greatest(F.lit(0), F.col("distinct_count") - head))
 
 
 def freshness_probe(df: DataFrame, by: Sequence[str], order: Sequence[str], ok: str, age: str, stamp: str,

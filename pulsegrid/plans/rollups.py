@@ -97,16 +97,15 @@ def _(t):
         F.col("s_acctbal") > 2000, F.when(F.col("s_suppkey") % 2 == 0, F.lit("Running")), F.col("s_suppkey") % 3 != 0).alias("status"))
 
 
-@query("e47_snapshot_means", sql="""WITH l AS (SELECT l_orderkey, l_returnflag, min_by(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS q FROM lineitem GROUP BY 1, 2),
-s AS (SELECT o_orderkey, o_orderpriority, (SELECT q FROM l WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') AS cpu, (SELECT q FROM l WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS mem FROM orders)
-SELECT o_orderpriority, count(*) AS snapshots, round(avg(cpu), 6) AS cpu_mean, round(avg(mem), 6) AS mem_mean FROM s GROUP BY 1""")
+@query("e47_snapshot_means", sql="""SELECT l_linenumber, count(*) AS snapshots, round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 6) AS cpu_mean, round(avg(l_tax), 6) AS mem_mean FROM lineitem GROUP BY 1""")
 def _(t):
-    # The members of one snapshot are one small array by nature: the lines of one order.
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_returnflag").alias("name")))).alias("deployments"))
-    snaps = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        "o_orderpriority", R.named_member("deployments", "A", "l_quantity").alias("cpu"), R.named_member("deployments", "R", "l_quantity").alias("mem"))
-    return rounded(R.snapshot_means(snaps, ["o_orderpriority"], ["cpu", "mem"]))
+    li = t.lineitem
+    doc = F.array(F.struct(F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("usage")), F.struct(F.lit("mem").alias("name"), F.col("l_tax").alias("usage")),
+                  F.struct(F.lit("A").alias("name"), F.lit(-1.0).alias("usage")).alias("late"))
+    snaps = li.select("l_linenumber", doc.alias("deployments"), "l_returnflag").select(
+        "l_linenumber", R.named_member("deployments", "A", "usage").alias("cpu"), R.named_member("deployments", "mem", "usage").alias("mem")) \
+        .withColumn("cpu", F.when(F.col("cpu") >= 0, F.col("cpu")))
+    return rounded(R.snapshot_means(snaps, ["l_linenumber"], ["cpu", "mem"]))
 
 
 @query("e48_fleet_summary", sql=f"""WITH {PODS}, h AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 'offline' WHEN c_acctbal > 9000 THEN 'degraded' ELSE 'healthy' END AS health FROM pods)

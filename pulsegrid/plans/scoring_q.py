@@ -128,7 +128,7 @@ def _(t):
 
 
 _GRID = REQ + """, gr AS (SELECT run_id, us // 86400000000 AS d, quantile_cont(latency_ms, .5) AS lat, avg(CAST(ok AS DOUBLE)) AS sr, avg(CAST(NOT ok AS DOUBLE)) AS fr, avg(CAST(NOT ok AND k < 30 AS DOUBLE)) AS tr FROM req GROUP BY 1, 2),
-hs AS (SELECT * FROM gr WHERE run_id < 120 AND sr >= 0.99 AND fr <= 0.01 AND tr <= 0.01),
+st AS (SELECT *, sr >= 0.99 AND fr <= 0.01 AND tr <= 0.01 AS strict FROM gr WHERE run_id < 120), hs AS (SELECT * FROM st WHERE strict OR (SELECT count(*) FILTER (strict) FROM st) < 300),
 b AS (SELECT count(*) AS n, quantile_cont(lat, .5) AS lm, quantile_cont(lat, .99) AS l99, quantile_cont(sr, .01) AS s01, quantile_cont(fr, .5) AS fm, quantile_cont(fr, .99) AS f99, quantile_cont(tr, .5) AS tm, quantile_cont(tr, .99) AS t99 FROM hs),
 dv AS (SELECT quantile_cont(abs(lat - lm), .5) AS ld, quantile_cont(abs(fr - fm), .5) AS fd, quantile_cont(abs(tr - tm), .5) AS td FROM hs, b),
 th AS (SELECT n AS stable_rows, greatest(l99, lm + 6 * CASE WHEN ld > 0 THEN ld ELSE 5 END, lm + 50) AS latency_threshold, least(0.95::DOUBLE, greatest(0, s01 - 0.05)) AS success_low,

@@ -230,12 +230,13 @@ def _(t):
     return out.select("s_suppkey", "overlay_loaded", "active_bitfile", "ip_count", "has_dma", "temperature_c")
 
 
-@query("a23_range_matrix", sql="SELECT o_orderkey, 'c' || l_linenumber AS pod, (o_orderkey * 10 + i)::DOUBLE AS ts_s, l_quantity + i AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey, (SELECT unnest([0, 1]) AS i)")
+@query("a23_range_matrix", sql="SELECT o_orderkey, pod, (o_orderkey * 10 + i)::DOUBLE AS ts_s, CASE pod WHEN 'a' THEN o_totalprice ELSE o_custkey + i END AS value FROM orders, (SELECT unnest([0, 1]) AS i), (SELECT unnest(['a', 'b']) AS pod)")
 def _(t):
-    point = lambda i: F.array((F.col("l_orderkey") * 10 + i).cast("string"), (F.col("l_quantity") + i).cast("string"))
-    series = F.struct(F.create_map(F.lit("pod"), cc(F.lit("c"), S("l_linenumber"))).alias("metric"), F.array(point(0), point(1)).alias("values"))
-    # One saved answer holds the lines of one order.
-    docs = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.struct(F.struct(F.collect_list(series).alias("result")).alias("data"))).alias("doc"))
+    k = F.col("o_orderkey")
+    at = lambda i, v: F.array((k * 10 + i).cast("string"), v.cast("string"))
+    one = lambda pod, values: F.struct(F.create_map(F.lit("pod"), F.lit(pod)).alias("metric"), values.alias("values"))
+    result = F.array(one("a", F.array(at(0, F.col("o_totalprice")), at(1, F.col("o_totalprice")))), one("b", F.array(at(0, F.col("o_custkey")), at(1, F.col("o_custkey") + 1))))
+    docs = t.orders.select("o_orderkey", F.to_json(F.struct(F.struct(result.alias("result")).alias("data"))).alias("doc"))
     return P.range_matrix(docs, "doc", ["o_orderkey"]).select("o_orderkey", F.col("labels")["pod"].alias("pod"), "ts_s", "value")
 
 

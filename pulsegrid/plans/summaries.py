@@ -151,11 +151,10 @@ SELECT o_custkey, len(ages) AS result_count, round(ages[1], 6) AS age_min_s, rou
  len(ds) AS distinct_count, greatest(0, len(ds) - 5) AS distinct_omitted, array_to_string(list_transform(ds[1:5], lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS head
 FROM (SELECT *, (ages[1 + CAST(floor((len(ages) - 1) / 2) AS BIGINT)] + ages[1 + CAST(ceil((len(ages) - 1) / 2) AS BIGINT)]) / 2 AS quantile_cont_l FROM a)""")
 def _(t):
-    day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86400e6)
-    # One query result per customer: the samples of one answer are one array by nature.
-    rows = t.orders.groupBy("o_custkey").agg(F.collect_list(day).alias("samples"), (F.max(day) + 1).alias("finished"))
-    rec = S.sample_record(F.col("samples"), F.col("finished"), head=5)
-    out = rows.select("o_custkey", *[c.alias(n) for n, c in rec.items()])
+    from pulsegrid.operators.keys import join_on
+    o = t.orders.select("o_custkey", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86400e6)).alias("stamp"))
+    ends = o.groupBy("o_custkey").agg((F.max("stamp") + 1).alias("finished"))
+    out = S.sample_records(join_on(o, ends, ["o_custkey"]), ["o_custkey"], "stamp", "finished", head=5)
     return rounded(out.withColumn("head", F.array_join(F.transform("distinct_head", lambda x: x.cast("bigint").cast("string")), ","))
                    .drop("distinct_head"))
 
