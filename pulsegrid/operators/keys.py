@@ -53,6 +53,19 @@ def spare(by: Sequence[str]) -> list[str]:
     return [] if by else [CONSTANT]
 
 
+PACKED = "__k"
+
+
+def packed(keys: Sequence[str]) -> Column:
+    """All keys as one struct. It is never null, and structs with equal nulls are equal, so plain equality
+    joins on it keep null keys together and reuse the partitioning of a grouping by it."""
+    return F.struct(*[F.col(c) for c in keys]).alias(PACKED)
+
+
+def unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col(PACKED)[c].alias(c) for c in keys]
+
+
 def value_code(value) -> Column:
     """Coarse order-preserving bucket of a number: equal or larger values never get a smaller code.
 

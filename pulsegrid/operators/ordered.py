@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .keys import col, join_on, keyed, spare
+from .keys import PACKED, col, keyed, packed, spare
 
 SLICE = "__slice"
 
@@ -25,10 +25,10 @@ def slice_of(order_col, width) -> Column:
     return F.floor(col(order_col) / F.lit(width)).cast("bigint")
 
 
-def _sliced(df: DataFrame, order: Sequence[str], width, slice_col) -> DataFrame:
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], width, slice_col) -> DataFrame:
     if SLICE in df.columns:  # kept by the scan before, together with the partitioning of its rows
         return df
-    return df.withColumn(SLICE, slice_col if slice_col is not None else slice_of(order[0], width))
+    return df.select("*", packed(keys), (slice_col if slice_col is not None else slice_of(order[0], width)).alias(SLICE))
 
 
 def _order(order: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -45,27 +45,27 @@ def fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[s
     """
     back = direction == "previous"
     df, keys = keyed(df, by)
-    df = _sliced(df, order, width, slice_col)
+    df = _sliced(df, keys, order, width, slice_col)
     names = list(cols)
     held = df.select("*", *[F.when(col(c).isNotNull(), F.struct(col(c).alias("v"))).alias(f"__h_{n}")
                             for n, c in cols.items()])
     position = F.struct(*[F.col(c) for c in order])
     pick = F.max_by if back else F.min_by
-    edges = held.groupBy(*keys, SLICE).agg(
+    edges = held.groupBy(PACKED, SLICE).agg(
         *[pick(F.col(f"__h_{n}"), F.when(F.col(f"__h_{n}").isNotNull(), position)).alias(f"__e_{n}")
           for n in names])
-    across = W.partitionBy(*keys).orderBy(F.col(SLICE).asc() if back else F.col(SLICE).desc()) \
+    across = W.partitionBy(PACKED).orderBy(F.col(SLICE).asc() if back else F.col(SLICE).desc()) \
         .rowsBetween(W.unboundedPreceding, -1)
-    carries = edges.select(*keys, SLICE, *[F.last(f"__e_{n}", ignorenulls=True).over(across).alias(f"__c_{n}")
+    carries = edges.select(PACKED, SLICE, *[F.last(f"__e_{n}", ignorenulls=True).over(across).alias(f"__c_{n}")
                                           for n in names])
-    within = W.partitionBy(*keys, SLICE).orderBy(*_order(order, reverse=not back)) \
+    within = W.partitionBy(PACKED, SLICE).orderBy(*_order(order, reverse=not back)) \
         .rowsBetween(W.unboundedPreceding, -1 if strict else 0)
-    joined = join_on(held, carries, [*keys, SLICE], "left")
+    joined = held.join(carries, [PACKED, SLICE], "left")
     out = joined.select(
         *[c for c in df.columns if c not in names],
         *[F.coalesce(F.last(f"__h_{n}", ignorenulls=True).over(within), F.col(f"__c_{n}"))["v"].alias(n)
           for n in names])
-    return out.drop(*([] if keep_slice else [SLICE]), *spare(by))
+    return out.drop(*([] if keep_slice else [SLICE, PACKED]), *spare(by))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str] | None = None,
@@ -74,24 +74,24 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     """Add running sums (0 when nothing precedes) and running maxima (null when nothing precedes)."""
     sums, maxima = dict(sums or {}), dict(maxima or {})
     df, keys = keyed(df, by)
-    df = _sliced(df, order, width, slice_col)
+    df = _sliced(df, keys, order, width, slice_col)
     held = df.select("*", *[col(c).alias(f"__s_{n}") for n, c in sums.items()],
                      *[col(c).alias(f"__m_{n}") for n, c in maxima.items()])
-    edges = held.groupBy(*keys, SLICE).agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums],
+    edges = held.groupBy(PACKED, SLICE).agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums],
                                            *[F.max(f"__m_{n}").alias(f"__m_{n}") for n in maxima])
-    across = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carries = edges.select(*keys, SLICE, *[F.sum(f"__s_{n}").over(across).alias(f"__cs_{n}") for n in sums],
+    across = W.partitionBy(PACKED).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    carries = edges.select(PACKED, SLICE, *[F.sum(f"__s_{n}").over(across).alias(f"__cs_{n}") for n in sums],
                            *[F.max(f"__m_{n}").over(across).alias(f"__cm_{n}") for n in maxima])
-    within = W.partitionBy(*keys, SLICE).orderBy(*_order(order)) \
+    within = W.partitionBy(PACKED, SLICE).orderBy(*_order(order)) \
         .rowsBetween(W.unboundedPreceding, -1 if strict else 0)
-    joined = join_on(held, carries, [*keys, SLICE], "left")
+    joined = held.join(carries, [PACKED, SLICE], "left")
     zero = F.lit(0)
     out = joined.select(
         *[c for c in df.columns if c not in sums and c not in maxima],
         *[(F.coalesce(F.col(f"__cs_{n}"), zero) + F.coalesce(F.sum(f"__s_{n}").over(within), zero)).alias(n)
           for n in sums],
         *[F.greatest(F.col(f"__cm_{n}"), F.max(f"__m_{n}").over(within)).alias(n) for n in maxima])
-    return out.drop(*([] if keep_slice else [SLICE]), *spare(by))
+    return out.drop(*([] if keep_slice else [SLICE, PACKED]), *spare(by))
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn", *, width=None,

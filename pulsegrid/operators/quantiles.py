@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .keys import col, join_on, keyed, value_code
+from .keys import PACKED, col, join_on, keyed, packed, spare, unpacked, value_code
 
 # Position rules: 0-based, possibly fractional, position of the answer among n sorted values.
 
@@ -58,6 +58,12 @@ def quantiles(df: DataFrame, by: Sequence[str], specs: Mapping[str, Spec]) -> Da
     Groups in which a spec has no value get null, and groups without any value do not appear.
     """
     df, keys = keyed(df, by)
+    found = _quantiles(df.select("*", packed(keys)), specs)
+    return found.select(*unpacked(keys), *specs).drop(*spare(by))
+
+
+def _quantiles(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
+    """``quantiles`` of a frame whose keys are packed; every step shares that key."""
     values: list[Column] = []
     texts: list[str] = []
     which: dict[str, int] = {}
@@ -67,14 +73,16 @@ def quantiles(df: DataFrame, by: Sequence[str], specs: Mapping[str, Spec]) -> Da
             texts.append(text)
             values.append(col(value).cast("double"))
         which[name] = texts.index(text)
-    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.alias("v"))
-                                                for i, v in enumerate(values)])).alias("__x"))
-    rows = rows.select(*keys, F.col("__x.m").alias("__m"), (F.col("__x.v") + F.lit(0.0)).alias("__v")) \
+    rows = df.select(PACKED, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.alias("v"))
+                                                 for i, v in enumerate(values)])).alias("__x"))
+    rows = rows.select(PACKED, F.col("__x.m").alias("__m"), (F.col("__x.v") + F.lit(0.0)).alias("__v")) \
         .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    counted = rows.groupBy(*keys, "__m", "__v").agg(F.count(F.lit(1)).alias("__n")) \
+    counted = rows.groupBy(PACKED, "__m", "__v").agg(F.count(F.lit(1)).alias("__n")) \
         .withColumn("__b", value_code("__v"))
-    buckets = counted.groupBy(*keys, "__m", "__b").agg(F.sum("__n").alias("__bn"))
-    group = W.partitionBy(*keys, "__m")
+    # Nothing is null here; saying so up front keeps both uses of the counts alike, so they share one shuffle.
+    counted = counted.filter(F.col("__m").isNotNull() & F.col("__b").isNotNull())
+    buckets = counted.groupBy(PACKED, "__m", "__b").agg(F.sum("__n").alias("__bn"))
+    group = W.partitionBy(PACKED, "__m")
     ordered = group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     buckets = buckets.withColumn("__total", F.sum("__bn").over(group)) \
         .withColumn("__upto", F.sum("__bn").over(ordered))
@@ -88,10 +96,10 @@ def quantiles(df: DataFrame, by: Sequence[str], specs: Mapping[str, Spec]) -> Da
 
     hit = reduce(lambda a, b: a | b,
                  [wanted(n, f(position(n))) for n in specs for f in (F.floor, F.ceil)])
-    chosen = buckets.filter(hit).select(*keys, "__m", "__b", "__total",
+    chosen = buckets.filter(hit).select(PACKED, "__m", "__b", "__total",
                                         (F.col("__upto") - F.col("__bn")).alias("__below"))
-    near = join_on(counted, chosen, [*keys, "__m", "__b"])
-    inside = W.partitionBy(*keys, "__m", "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = counted.join(chosen, [PACKED, "__m", "__b"])
+    inside = W.partitionBy(PACKED, "__m", "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = near.withColumn("__end", F.col("__below") + F.sum("__n").over(inside)) \
         .withColumn("__start", F.col("__end") - F.col("__n"))
 
@@ -104,10 +112,8 @@ def quantiles(df: DataFrame, by: Sequence[str], specs: Mapping[str, Spec]) -> Da
         p = position(n)
         parts += [at(n, F.floor(p)).alias(f"__lo_{n}"), at(n, F.ceil(p)).alias(f"__hi_{n}"),
                   F.max(F.when(F.col("__m") == which[n], p - F.floor(p))).alias(f"__fr_{n}")]
-    found = near.groupBy(*keys).agg(*parts)
-    out = found.select(*keys, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))
-                                 * F.col(f"__fr_{n}")).alias(n) for n in specs])
-    return out if by else out.drop("__all")
+    found = near.groupBy(PACKED).agg(*parts)
+    return found.select(PACKED, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__fr_{n}")).alias(n) for n in specs])
 
 
 def summarise(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], specs: Mapping[str, Spec] | None = None,
@@ -121,15 +127,17 @@ def summarise(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], spec
     if approx and specs:
         aggs = {**aggs, **{n: F.percentile_approx(col(v), F.lit(float(q)), 10000) for n, (v, q) in specs.items()}}
         specs = {}
-    out = base.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]) if aggs \
-        else base.select(*keys).distinct()
+    base = base.select("*", packed(keys))
+    out = base.groupBy(PACKED).agg(*[c.alias(n) for n, c in aggs.items()]) if aggs \
+        else base.select(PACKED).distinct()
     if specs:
-        out = join_on(out, quantiles(base, keys, specs), keys, "left")
+        out = out.join(_quantiles(base, specs), PACKED, "left")
+    out = out.select(*unpacked(keys), *aggs, *specs)
     if digits is not None:
         kinds = dict(out.dtypes)
         out = out.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" and c not in keys else F.col(c)
                            for c in out.columns])
-    return out if by else out.drop("__all")
+    return out.drop(*spare(by))
 
 
 def average_rank(df: DataFrame, by: Sequence[str], values: Mapping[str, str]) -> DataFrame:

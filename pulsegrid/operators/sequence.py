@@ -258,34 +258,71 @@ def match_alerts(onset_rows: DataFrame, alerts: DataFrame, by: Sequence[str], on
                  width) -> DataFrame:
     """Give each onset, in order, the earliest unused alert in ``[onset - max_lead, onset - min_lead]``.
 
-    Onsets whose reach does not overlap cannot compete for an alert, so each chain of overlapping ones is
-    matched on its own.
+    Alerts of a key have distinct times, as debounced ones do. Onsets are cut into slices of time, and a
+    slice depends on those before it only through the last alert they used. As in ``debounce``, pass 1
+    gives the last alert a slice hands on for each it may receive, pass 2 chains the slices of a key, and
+    pass 3 matches slice by slice.
     """
-    t = onset
-    onset_rows, alerts = cut(onset_rows), cut(alerts)
-    prev = fill(onset_rows.select(*by, t), by, [t], {"__po": t}, width=width, strict=True, keep_slice=True)
-    fresh = (F.col("__po").isNull() | (F.col(t) - max_lead > F.col("__po") - min_lead)).cast("int")
-    chained = cut(running(prev.withColumn("__new", fresh), by, [t], {"chain": "__new"}, width=width))
-    chains = chained.groupBy(*by, "chain").agg((F.min(t) - max_lead).alias("__a"), (F.max(t) - min_lead).alias("__z"))
-    near = interval_join(alerts.select(*by, alert), chains, alert, "__a", "__z", by, bucket=width, closed="both",
-                         how="inner", payload=["chain"])
-    both = chained.select(*by, "chain", F.col(t).cast("double").alias("__t"), F.lit(1).alias("__side")).unionByName(
-        near.select(*by, "chain", F.col(alert).cast("double").alias("__t"), F.lit(0).alias("__side")))
-
-    def greedy(times, side):
+    width = float(max(width, max_lead))
+    onset_rows, alerts = cut(onset_rows.select(*by, onset)), alerts.select(*by, alert).distinct()
+    cell = lambda c: F.floor(c / width).cast("bigint")
+    starts = onset_rows.select(*by, cell(F.col(onset)).alias("__slice"), F.col(onset).cast("double").alias("__t"), F.lit(1).alias("__side"))
+    near = alerts.select(*by, F.explode(F.sequence(cell(F.col(alert) + min_lead), cell(F.col(alert) + max_lead))).alias("__slice"),
+                         F.col(alert).cast("double").alias("__t"), F.lit(0).alias("__side"))
+    near = join_on(near, starts.select(*by, "__slice").distinct(), [*by, "__slice"], "left_semi")
+    both = cut(starts.unionByName(near))
+    moment = T.DoubleType()
+
+    def reach(times, side):
         import numpy as np
         warn, start = times[side == 0], times[side == 1]
-        low = np.searchsorted(warn, start - max_lead, side="left")
-        high = np.searchsorted(warn, start - min_lead, side="right")
-        used, got = 0, np.full(len(start), np.nan)
+        return (warn, start, np.searchsorted(warn, start - max_lead, side="left"), np.searchsorted(warn, start - min_lead, side="right"))
+
+    def transitions(times, side, part):
+        import numpy as np
+        warn, start, low, high = reach(times, side)
+        # Earlier slices can have used alerts up to this slice's first possible one only.
+        k = int(np.searchsorted(warn, part[0] * width - min_lead, side="right"))
+        free, place = np.arange(k + 1), np.arange(k + 1)
+        for i in range(len(start)):
+            j = np.maximum(free, low[i])
+            free = np.where(j < high[i], j + 1, free)
+            if i % 32 == 31:  # states that have met stay together
+                free, back = np.unique(free, return_inverse=True)
+                place = back[place]
+        padded = np.append(-np.inf, warn)
+        leave = padded[free[place]]
+        edge = np.append(True, leave[1:] != leave[:-1])
+        return padded[:k + 1][edge], leave[edge]
+
+    steps = map_groups(both, [*by, "__slice"], ["__t", "__side"], ["__t", "__side", "__slice"], transitions,
+                       [T.StructField("__from", moment), T.StructField("__exit", moment)])
+
+    def chain(part, since, leave):
+        import numpy as np
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        used, entry = -math.inf, []
+        for a, z in zip(first, np.append(first[1:], len(part))):
+            entry.append(used)
+            used = max(used, float(leave[a + int(np.searchsorted(since[a:z], used, side="right")) - 1]))
+        return part[first], np.array(entry)
+
+    entry = map_groups(steps, by, ["__slice", "__from"], ["__slice", "__from", "__exit"], chain,
+                       [T.StructField("__slice", T.LongType()), T.StructField("__used", moment)])
+
+    def greedy(times, side, used):
+        import numpy as np
+        warn, start, low, high = reach(times, side)
+        free, got = int(np.searchsorted(warn, used[0], side="right")), np.full(len(start), np.nan)
         for i in range(len(start)):
-            j = max(used, low[i])
+            j = max(free, low[i])
             if j < high[i]:
-                got[i], used = warn[j], j + 1
+                got[i], free = warn[j], j + 1
         return start, got
 
-    out = map_groups(both, [*by, "chain"], ["__t", "__side"], ["__t", "__side"], greedy,
-                     [T.StructField("onset", T.DoubleType()), T.StructField("alert", T.DoubleType())])
+    rows = join_on(both, entry, [*by, "__slice"])
+    out = map_groups(rows, [*by, "__slice"], ["__t", "__side"], ["__t", "__side", "__used"], greedy,
+                     [T.StructField("onset", moment), T.StructField("alert", moment)])
     found = ~F.isnan("alert") & F.col("alert").isNotNull()
     return out.select(*by, "onset", F.when(found, F.col("alert")).alias("alert"), found.alias("detected"),
                       F.when(found, F.col("onset") - F.col("alert")).alias("lead"))

@@ -107,20 +107,24 @@ def test_debounce_equals_the_loop(hot, refractory, width):
     assert got == sorted(want)
 
 
-def test_greedy_match_equals_the_loop(spark):
+@pytest.mark.parametrize("lead,width", [((5, 40), 40), ((0, 90), 95), ((5, 40), 5000)])
+def test_greedy_match_equals_the_loop(spark, lead, width):
+    """More onsets than alerts, in one unbroken chain, over many slices."""
     rng = np.random.default_rng(3)
-    on = sorted(set(rng.integers(0, 600, 60).tolist()))
-    al = sorted(set(rng.integers(0, 600, 40).tolist()))
-    used, want = set(), []
-    for o in on:
-        cand = [a for a in al if o - 40 <= a <= o - 5 and a not in used]
-        if cand:
-            used.add(cand[0])
-        want.append((float(o), float(cand[0]) if cand else None))
-    odf = spark.createDataFrame([("r", o) for o in on], "k string, o long")
-    adf = spark.createDataFrame([("r", a) for a in al], "k string, a long")
-    got = [(r["onset"], r["alert"]) for r in Q.match_alerts(odf, adf, ["k"], "o", "a", 5, 40, width=50).orderBy("onset").collect()]
-    assert got == want
+    lo, hi = lead
+    odf, adf, want = [], [], []
+    for k, n, m in (("r", 400, 300), ("s", 30, 60)):
+        on = sorted(set(rng.integers(0, 1500, n).tolist()))
+        al = sorted(set(rng.integers(0, 1500, m).tolist()))
+        used = set()
+        for o in on:
+            cand = [a for a in al if o - hi <= a <= o - lo and a not in used]
+            used.update(cand[:1])
+            want.append((k, float(o), float(cand[0]) if cand else None))
+        odf += [(k, o) for o in on]
+        adf += [(k, a) for a in al]
+    got = Q.match_alerts(spark.createDataFrame(odf, "k string, o long"), spark.createDataFrame(adf, "k string, a long"), ["k"], "o", "a", lo, hi, width=width)
+    assert [(r["k"], r["onset"], r["alert"]) for r in got.orderBy("k", "onset").collect()] == want
 
 
 @pytest.mark.parametrize("direction", ["nearest", "backward", "forward"])
