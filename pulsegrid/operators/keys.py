@@ -53,7 +53,7 @@ def spare(by: Sequence[str]) -> list[str]:
     return [] if by else [CONSTANT]
 
 
-PACKED = "__k"
+PACKED = "__key"
 
 
 def packed(keys: Sequence[str]) -> Column:
