@@ -47,9 +47,8 @@ def fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[s
     df, keys = keyed(df, by)
     df = _sliced(df, keys, order, width, slice_col)
     names = list(cols)
-    held = df.select("*", *[F.when(col(c).isNotNull(), F.struct(col(c).alias("v"))).alias(f"__h_{n}")
-                            for n, c in cols.items()])
-    position = F.struct(*[F.col(c) for c in order])
+    held = df.select("*", *[col(c).alias(f"__h_{n}") for n, c in cols.items()])
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     pick = F.max_by if back else F.min_by
     edges = held.groupBy(PACKED, SLICE).agg(
         *[pick(F.col(f"__h_{n}"), F.when(F.col(f"__h_{n}").isNotNull(), position)).alias(f"__e_{n}")
@@ -63,7 +62,7 @@ def fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Mapping[s
     joined = held.join(carries, [PACKED, SLICE], "left")
     out = joined.select(
         *[c for c in df.columns if c not in names],
-        *[F.coalesce(F.last(f"__h_{n}", ignorenulls=True).over(within), F.col(f"__c_{n}"))["v"].alias(n)
+        *[F.coalesce(F.last(f"__h_{n}", ignorenulls=True).over(within), F.col(f"__c_{n}")).alias(n)
           for n in names])
     return out.drop(*([] if keep_slice else [SLICE, PACKED]), *spare(by))
 

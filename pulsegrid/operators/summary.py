@@ -455,6 +455,24 @@ def rule_table(facts: DataFrame, by: Sequence[str], rules: Sequence[tuple[str, C
         for name, passed, observed, required in rules])).alias("__r")).select(*by, "__r.*")
 
 
+def abort_conditions(arrival: DataFrame, telemetry: DataFrame, by: Sequence[str], temperature: str, *, limit: float = 0.2,
+                     max_temperature: float | None = None) -> DataFrame:
+    """Whether a run must stop, and why: telemetry or arrivals missing, too hot, or a bin with too many drops,
+    timeouts or errors."""
+    heat = telemetry.groupBy(*by).agg(F.count(F.lit(1)).alias("telemetry_rows"), F.max(temperature).alias("temperature_max"))
+    bins = arrival.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__bins"),
+        F.max(F.col("dropped_max_inflight_count") / F.greatest(F.col("scheduled_request_count"), F.lit(1))).alias("drop_max"),
+        F.max("timeout_rate").alias("timeout_max"), F.max("fail_rate").alias("fail_max"))
+    out = join_on(bins, heat, by, "full_outer").fillna(0, ["__bins", "telemetry_rows"])
+    hot = F.col("temperature_max") > max_temperature if max_temperature is not None else F.lit(False)
+    rules = [("missing_gpu_telemetry", F.col("telemetry_rows") == 0), ("gpu_temperature_over_operator_limit", hot),
+             ("client_max_inflight_saturation", F.col("drop_max") > limit), ("timeout_burst", F.col("timeout_max") > limit),
+             ("error_burst", F.col("fail_max") > limit), ("missing_arrival_summary", F.col("__bins") == 0)]
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])), ",")
+    return out.withColumn("reasons", reasons).withColumn("abort", F.col("reasons") != "").drop("__bins")
+
+
 def semantic_audit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Whether two sources report the same quantity: correlation, mean and median absolute difference."""
     diff = F.abs(F.col(x) - F.col(y))

@@ -67,10 +67,13 @@ def _(t):
     return rounded(out.select("fold", "target", "intercept", F.col("coefficients")[0].alias("slope"), "train_rows", "model_type"))
 
 
-@query("m03_expected_behaviour_wide")
+@query("m03_expected_behaviour_wide", sql=f"""WITH {_FOLD.replace("l_linenumber, l_partkey, l_quantity,", "l_linenumber, l_partkey, l_quantity, l_discount,")}, c AS (SELECT fold, target, count(observed) AS n, avg(observed) AS y, avg(l_quantity) FILTER (observed IS NOT NULL) AS x1, avg(l_discount) FILTER (observed IS NOT NULL) AS x2,
+ var_pop(l_quantity) FILTER (observed IS NOT NULL) AS s11, var_pop(l_discount) FILTER (observed IS NOT NULL) AS s22, covar_pop(l_quantity, l_discount) FILTER (observed IS NOT NULL) AS s12, covar_pop(l_quantity, observed) AS s1, covar_pop(l_discount, observed) AS s2 FROM lg WHERE NOT is_test GROUP BY 1, 2),
+b AS (SELECT *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) AS b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c)
+SELECT fold, target, round(y - b1 * x1 - b2 * x2, 4) AS intercept, round(b1, 4) AS quantity, round(b2, 4) AS discount, n AS train_rows FROM b""")
 def _(t):
     out = M.expected_behaviour(_fold_rows(t), ["l_quantity", "l_discount"], TARGETS)
-    return rounded(out.withColumn("coefficients", F.array_join(F.transform("coefficients", lambda c: F.format_string("%.6f", c)), ",")))
+    return rounded(out.select("fold", "target", "intercept", F.col("coefficients")[0].alias("quantity"), F.col("coefficients")[1].alias("discount"), "train_rows"), 4)
 
 
 @query("m04_residual_thresholds", sql=f"WITH {_FOLD} SELECT fold, target, round(threshold, 6) AS threshold, round(center, 6) AS center, round(scale, 6) AS scale FROM th")

@@ -439,6 +439,17 @@ def _(t):
                                                ("latency_limit", mx <= 250, mx, "<= 250")]))
 
 
+@query("e45_abort_conditions", sql=f"""WITH {OPEN}, b AS (SELECT run_id, floor(scheduled_s / 24) AS bin, count(*) AS n, count(*) FILTER (dropped) AS d, count(*) FILTER (error_type = 'timeout') AS t, count(*) FILTER (NOT success) AS f FROM ol GROUP BY 1, 2),
+a AS (SELECT run_id, max(d / n) AS dm, max(t / n) AS tm, max(f / n) AS fm FROM b GROUP BY 1), h AS (SELECT run_id, count(*) AS n, max(k) AS mx FROM ol WHERE event_type = 'view' AND run_id % 9 <> 0 GROUP BY 1),
+x AS (SELECT a.run_id, dm, tm, fm, coalesce(n, 0) AS n, mx FROM a LEFT JOIN h USING (run_id)), r AS (SELECT *, concat_ws(',', CASE WHEN n = 0 THEN 'missing_gpu_telemetry' END, CASE WHEN mx > 97 THEN 'gpu_temperature_over_operator_limit' END,
+ CASE WHEN dm > 0.4 THEN 'client_max_inflight_saturation' END, CASE WHEN tm > 0.4 THEN 'timeout_burst' END, CASE WHEN fm > 0.4 THEN 'error_burst' END) AS reasons FROM x)
+SELECT run_id, round(dm, 6) AS drop_max, round(tm, 6) AS timeout_max, round(fm, 6) AS fail_max, n AS telemetry_rows, mx AS temperature_max, reasons, reasons <> '' AS abort FROM r""")
+def _(t):
+    ol = openloop(t)
+    heat = ol.filter("event_type = 'view' AND run_id % 9 <> 0")
+    return rounded(S.abort_conditions(grid.arrival_bins(ol, ["run_id"], bucket_s=24), heat, ["run_id"], "k", limit=0.4, max_temperature=97))
+
+
 @query("e45_replicate_shift", sql=f"""WITH {REQ}, m AS (SELECT run_id % 5 AS grp, run_id, quantile_cont(latency_ms, .5) AS l, quantile_cont(k, .5) AS k FROM req GROUP BY 1, 2)
 SELECT grp, round(max(l) - min(l), 6) AS latency_spread, round(max(k) - min(k), 6) AS temp_spread,
  CASE WHEN max(l) - min(l) > 15 AND max(k) - min(k) <= 33 THEN 'normal service baseline shift dominates' ELSE 'insufficient evidence' END AS classification FROM m GROUP BY 1""")
