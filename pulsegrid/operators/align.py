@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .keys import col, join_on, keyed, spare
-from .ordered import fill
+from .ordered import fill, running
 from .quantiles import quantiles, summarise
 
 
@@ -77,34 +77,60 @@ def invalidate(df: DataFrame, offset: str, tolerance, cols: Sequence[str]) -> Da
     return df.select(*[F.when(keep, F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _winners(iv: DataFrame, keys: Sequence[str], closed: str, pick: str, order: Sequence[str], width) -> DataFrame:
+    """Cut overlapping intervals to the stretches they win, so that no two hold the same point.
+
+    An interval wins from where every interval starting before it has ended (``first``), or until the first
+    start among the intervals that end after it (``last``). Both bounds come from an ordered scan.
+    """
+    if pick == "first":
+        scan = running(iv, keys, ["__s", *order], maxima={"__m": "__e"}, width=width, strict=True)
+        late = F.coalesce(F.col("__m") >= F.col("__s"), F.lit(False))
+        out = scan.withColumn("__s", F.when(late, F.col("__m")).otherwise(F.col("__s"))).withColumn("__after", late & F.lit(closed == "both"))
+        keep = (F.col("__s") < F.col("__e")) | (F.lit(closed == "both") & ~F.col("__after") & (F.col("__s") == F.col("__e")))
+        return out.withColumn("__at_end", F.lit(closed == "both")).filter(keep).drop("__m")
+    # Latest end first; among equal ends the last by ``order`` first.
+    flipped = iv.withColumn("__ne", -F.col("__e")).withColumn("__ns", -F.col("__s"))
+    back = []
+    for i, c in enumerate(order):
+        flipped = flipped.withColumn(f"__no{i}", -F.col(c))
+        back.append(f"__no{i}")
+    scan = running(flipped, keys, ["__ne", *back], maxima={"__m": "__ns"}, width=width, strict=True)
+    early = F.coalesce(-F.col("__m") <= F.col("__e"), F.lit(False))
+    out = scan.withColumn("__e", F.when(early, -F.col("__m")).otherwise(F.col("__e"))).withColumn("__at_end", ~early & F.lit(closed == "both"))
+    keep = (F.col("__s") < F.col("__e")) | (F.col("__at_end") & (F.col("__s") == F.col("__e")))
+    return out.withColumn("__after", F.lit(False)).filter(keep).drop("__m", "__ne", "__ns", *back)
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str, by: Sequence[str] = (), *,
                   bucket, closed: str = "left", how: str = "left", pick: str | None = None,
-                  order: Sequence[str] = (), point_key: Sequence[str] = (), payload: Sequence[str]) -> DataFrame:
+                  order: Sequence[str] = (), payload: Sequence[str]) -> DataFrame:
     """Attach the interval that holds each point.
 
     Intervals are spread over the time buckets they cover and meet points on (key, bucket). ``closed`` is
-    ``left`` (half-open) or ``both``. Where intervals may overlap, ``pick`` 'first' or 'last' keeps one per
-    ``point_key`` by interval ``order``; without ``pick`` every containing interval gives a row.
+    ``left`` (half-open) or ``both``. Where intervals may overlap, ``pick`` keeps the one that starts first
+    (``first``) or ends last (``last``), ties going to the first or last by the numeric columns ``order``;
+    in a schedule listed in time order these are its first and last match. The overlaps are resolved among
+    the intervals, before any point is seen. Without ``pick`` every containing interval gives a row.
     """
-    iv = intervals.filter(F.col(start) <= F.col(end)).select(
-        *by, F.col(start).alias("__s"), F.col(end).alias("__e"), F.struct(*[F.col(c) for c in dict.fromkeys([*order, *payload])]).alias("__iv"),
-        F.explode(F.sequence(F.floor(F.col(start) / bucket).cast("bigint"),
-                             F.floor(F.col(end) / bucket).cast("bigint"))).alias("__bk"))
-    iv, keys = keyed(iv, by)
-    pts, _ = keyed(points.withColumn("__bk", F.floor(F.col(t) / bucket).cast("bigint")), by)
+    held = list(dict.fromkeys([*order, *payload]))
+    iv, keys = keyed(intervals.filter(F.col(start) <= F.col(end)), by)
+    iv = iv.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(held)])
+    if pick:
+        iv = _winners(iv, keys, closed, pick, [f"__p{held.index(c)}" for c in order], bucket)
+    else:
+        iv = iv.withColumn("__after", F.lit(False)).withColumn("__at_end", F.lit(closed == "both"))
+    cell = lambda c: F.floor(F.col(c) / bucket).cast("bigint")
+    iv = iv.select(*keys, "__s", "__e", "__after", "__at_end", F.struct(*[F.col(f"__p{i}").alias(c) for i, c in enumerate(held)]).alias("__iv"),
+                   F.explode(F.sequence(cell("__s"), cell("__e"))).alias("__bk"))
+    pts, _ = keyed(points.withColumn("__bk", cell(t)), by)
     on = [*keys, "__bk"]
-    right = iv.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(on)], "__s", "__e", "__iv")
-    condition = F.col(t) >= F.col("__s")
-    condition &= (F.col(t) <= F.col("__e")) if closed == "both" else (F.col(t) < F.col("__e"))
+    right = iv.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(on)], "__s", "__e", "__after", "__at_end", "__iv")
+    condition = (F.col(t) > F.col("__s")) | ((F.col(t) == F.col("__s")) & ~F.col("__after"))
+    condition &= (F.col(t) < F.col("__e")) | ((F.col(t) == F.col("__e")) & F.col("__at_end"))
     for i, c in enumerate(on):
         condition &= pts[c].eqNullSafe(right[f"__r{i}"])
-    joined = pts.join(right, condition, how).drop(*[f"__r{i}" for i in range(len(on))], "__bk", "__s", "__e", *spare(by))
-    if pick:
-        best = F.min_by if pick == "first" else F.max_by
-        rank = F.struct(*[F.col("__iv")[c] for c in order])
-        kept = [c for c in points.columns if c not in point_key]
-        joined = joined.groupBy(*point_key).agg(
-            *[F.first(c).alias(c) for c in kept], best(F.col("__iv"), F.when(F.col("__iv").isNotNull(), rank)).alias("__iv"))
+    joined = pts.join(right, condition, how)
     return joined.select(*points.columns, *[F.col("__iv")[c].alias(c) for c in payload])
 
 
@@ -277,14 +303,14 @@ def alignment_inventory(requests: DataFrame, telemetry: DataFrame, by: Sequence[
 
 
 def label_windows(points: DataFrame, windows: DataFrame, t: str, by: Sequence[str], *, order: str, core: tuple[str, str],
-                  buffer, point_key: Sequence[str], bucket, default: str = "reachable",
+                  buffer, bucket, default: str = "reachable",
                   labels: tuple[str, str] = ("service_unreachable", "outage_buffer")) -> DataFrame:
-    """Label points by nested windows: the last window (by ``order``) whose buffered span holds a point
-    decides, and within it the core overrides the buffer. Both spans are closed."""
+    """Label points by nested windows: the last window whose buffered span holds a point decides, and within
+    it the core overrides the buffer. Both spans are closed; windows are numbered by ``order`` in time order."""
     w = windows.select(*by, order, F.col(core[0]).alias("__c0"), F.col(core[1]).alias("__c1"),
                        (F.col(core[0]) - buffer).alias("__b0"), (F.col(core[1]) + buffer).alias("__b1"))
     out = interval_join(points, w, t, "__b0", "__b1", by, bucket=bucket, closed="both", pick="last", order=[order],
-                        point_key=point_key, payload=[order, "__c0", "__c1"])
+                        payload=[order, "__c0", "__c1"])
     label = F.when(F.col(order).isNull(), default).when(F.col(t).between(F.col("__c0"), F.col("__c1")), labels[0]).otherwise(labels[1])
     return out.withColumn("label", label).drop("__c0", "__c1")
 

@@ -136,7 +136,7 @@ er AS (SELECT run_id, event_id, us FROM req WHERE event_type = 'error')"""
 SELECT event_id, coalesce('phase_' || (rn % 4), 'unknown') AS label FROM er LEFT JOIN m USING (event_id)""")
 def _(t):
     pts = requests(t).filter("event_type = 'error'").select("run_id", "event_id", "us")
-    out = A.interval_join(pts, phases(t), "us", "start", "end", ["run_id"], bucket=DAY, pick="first", order=["rn"], point_key=["event_id"], payload=["label"])
+    out = A.interval_join(pts, phases(t), "us", "start", "end", ["run_id"], bucket=DAY, pick="first", order=["rn"], payload=["label"])
     return out.select("event_id", F.coalesce("label", F.lit("unknown")).alias("label"))
 
 
@@ -156,7 +156,7 @@ SELECT event_id, win, CASE WHEN win IS NULL THEN 'reachable' ELSE CASE lab WHEN
 def _(t):
     pts = requests(t).filter("event_type = 'error'").select("run_id", "event_id", "us")
     win = phases(t).withColumnRenamed("rn", "win")
-    out = A.label_windows(pts, win, "us", ["run_id"], order="win", core=("start", "end"), buffer=6 * HOUR, point_key=["event_id"], bucket=2 * DAY)
+    out = A.label_windows(pts, win, "us", ["run_id"], order="win", core=("start", "end"), buffer=6 * HOUR, bucket=2 * DAY)
     return out.select("event_id", "win", "label")
 
 

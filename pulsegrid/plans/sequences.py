@@ -209,7 +209,7 @@ SELECT event_id, outage_no, st AS label, CASE WHEN st = 'outage_buffer' THEN 'ou
 def _(t):
     _, win = _outages(t)
     pts = requests(t).select("event_id", (F.col("run_id") % 3).alias("grp"), (F.col("us") / 3.6e9).alias("x"), "ok", "latency_ms")
-    lab = A.label_windows(pts, win, "x", ["grp"], order="outage_no", core=("core_start", "core_end"), buffer=10, point_key=["event_id"], bucket=48)
+    lab = A.label_windows(pts, win, "x", ["grp"], order="outage_no", core=("core_start", "core_end"), buffer=10, bucket=48)
     sample = F.when(F.col("label") == "outage_buffer", "outage_buffer") \
         .when((F.col("label") == "service_unreachable") & F.col("ok"), "success_inside_unreachable_window") \
         .when(F.col("label") == "service_unreachable", "failed_service_unreachable").when(~F.col("ok"), "isolated_request_failure") \

@@ -152,10 +152,25 @@ def test_interval_join_first_and_last(spark):
     pts = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, t double")
     iv = spark.createDataFrame([(1, 0.0, 10.0, "a"), (2, 5.0, 12.0, "b"), (3, 20.0, 25.0, "c")], "n long, s double, e double, label string")
     for pick, mid in (("first", "a"), ("last", "b")):
-        got = {r["id"]: r["label"] for r in A.interval_join(pts, iv, "t", "s", "e", [], bucket=3, pick=pick, order=["n"], point_key=["id"], payload=["label"]).collect()}
+        got = {r["id"]: r["label"] for r in A.interval_join(pts, iv, "t", "s", "e", [], bucket=3, pick=pick, order=["n"], payload=["label"]).collect()}
         assert len(got) == 30 and got[7] == mid and got[10] == "b" and got[12] is None and got[24] == "c" and got[25] is None
 
 
+@pytest.mark.parametrize("closed", ["left", "both"])
+@pytest.mark.parametrize("pick", ["first", "last"])
+def test_interval_join_resolves_overlaps(spark, pick, closed):
+    rng = np.random.default_rng(6)
+    iv = [(i, int(a), int(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 100, 40), rng.integers(0, 25, 40)))]
+    pts = [(i, int(t)) for i, t in enumerate(rng.integers(-5, 130, 150))]
+    got = {r["id"]: r["n"] for r in A.interval_join(spark.createDataFrame(pts, "id long, t long"), spark.createDataFrame(iv, "n long, s long, e long"), "t", "s", "e", [],
+                                                    bucket=7, closed=closed, pick=pick, order=["n"], payload=["n"]).collect()}
+    for i, t in pts:
+        inside = [x for x in iv if x[1] <= t and (t < x[2] or (closed == "both" and t == x[2]))]
+        want = None if not inside else min(inside, key=lambda x: (x[1], x[0]))[0] if pick == "first" else max(inside, key=lambda x: (x[2], x[0]))[0]
+        assert got[i] == want, (t, inside)
+    assert len(got) == len(pts)
+
+
 def test_outages_equal_the_scan(spark):
     rng = np.random.default_rng(4)
     n = 300
