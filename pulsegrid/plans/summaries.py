@@ -227,10 +227,10 @@ def _(t):
 
 @query("e24_smoothed_rate", sql=f"""WITH {_STEPS}, r AS (SELECT run_id, us // 86400000000 * 86400000000 AS w, sum(increase) / 86400.0 AS rate FROM inc GROUP BY 1, 2),
 s AS (SELECT run_id, w + unnest(range(0, 3)) * 86400000000 AS w, rate FROM r)
-SELECT r.run_id, r.w AS window_start, round(avg(s.rate), 6) AS smoothed, count(*) AS points FROM r JOIN s ON r.run_id = s.run_id AND r.w = s.w GROUP BY 1, 2""")
+SELECT r.run_id, r.w AS window_start, round(avg(s.rate), 9) AS smoothed, count(*) AS points FROM r JOIN s ON r.run_id = s.run_id AND r.w = s.w GROUP BY 1, 2""")
 def _(t):
     rates = S.counter_rate(requests(t), ["run_id", "event_type"], ["run_id"], ["us", "event_id"], "k", DAY, DAY, 1e6)
-    return rounded(S.smoothed_rate(rates, ["run_id"], "window_start", "rate", DAY, 3 * DAY))
+    return rounded(S.smoothed_rate(rates, ["run_id"], "window_start", "rate", DAY, 3 * DAY), 9)
 
 
 @query("e27_benchmark_result", sql=f"""WITH {REQ}, b AS (SELECT run_id, count(*) FILTER (ok) AS c, count(*) FILTER (NOT ok) AS f, round(greatest(max(latency_ms), 0.001), 3) AS el,
