@@ -32,8 +32,8 @@ def text_list(values) -> str:
 
 @query("op10_quality_rules", sql=f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
-  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 g AS (SELECT doc_id, i, i + 2 <= len(w) AND count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2], i + 2 <= len(w)) > 1 AS twice FROM p),
 c AS (SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM g),
@@ -41,7 +41,7 @@ r AS (SELECT doc_id, count(*) FILTER (WHERE covered) AS n FROM c GROUP BY doc_id
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS lines, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS up,
-  len(list_filter(w, x -> list_contains({text_list(quality.stop_forms())}, x))) AS stops
+  len(list_filter(w, lambda x: list_contains({text_list(quality.stop_forms())}, x))) AS stops
   FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
