@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import mix, quality, shards, topk, warc_zip
+from .shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,61 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document under the threshold table."""
     return quality.judged(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op2_virtual_slots")
+def op2_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes; ``next_shard`` is the shard after the map's edit for a ninth."""
+    out = shards.sharded(table(spark, folder, "documents"), new_folder(spark, "slot-map"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "vslot", "next_shard")
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query("op6_warc_packages", sql=f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('{BASE32}',
+  (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+  min(page_id) OVER (PARTITION BY x) AS f FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to FROM b""")
+def op6_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC records in packages and read back by ranges."""
+    manifest = warc_zip.write_archives(table(spark, folder, "pages"), new_folder(spark, "packages"))
+    return warc_zip.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def domain_of(source) -> Column:
+    """The documents have no column for the domain: three domains are dealt to the sources by name."""
+    return F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(source, F.lit("")).cast("binary")), F.lit(3)).cast("string"))
+
+
+MIX_WEIGHTS = {("domain0",): 0.5, ("domain1",): 0.3, ("domain2",): 0.2} | {
+    (d, lang): w for d in ("domain0", "domain1", "domain2") for lang, w in (("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2))}
+
+
+def source_mixture(docs: DataFrame, total: float, epochs: int) -> DataFrame:
+    named = docs.withColumn("domain", domain_of(F.col("source")))
+    return mix.mixed(named, ("domain", "lang", "source"), MIX_WEIGHTS, total, epochs=epochs, seed=7)
+
+
+@query("op7_source_mixture")
+def op7_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture of as many tokens as the documents have, from at most two epochs of any source."""
+    out = source_mixture(table(spark, folder, "documents"), 1.0, 2)
+    return out.select("doc_id", "epoch", "domain", "lang", "source", mix.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query("op8_top_products", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c
+  ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op8_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer products of every twentieth vector with all others."""
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
