@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, written and read back by ranges.
 
-Each task writes one package or more: a stored (uncompressed) member with the WARC records and a stored member with an index
-line per record. Reading never unpacks: the end of the file gives the central directory (through its ZIP64 records if the
+Each task writes one package or more: a stored member with the WARC records, each compressed by itself so that it can be read
+by itself, and a stored member with an index line per record. Reading never unpacks: the end of the file gives the central directory (through its ZIP64 records if the
 package needs them), the directory gives the place of the index, the index gives the place of every record, and records
 are read by range. Ranges of neighbouring records are joined up to ``range_bytes`` and dealt over all tasks.
 
@@ -18,6 +18,7 @@ the others revisit it. An empty table gives an empty manifest and no rows. Extra
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import stored
 
-RECORDS, INDEX = "archive/data.warc", "indexes/index.cdxj"
+RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MANIFEST = "archive string, records bigint, bytes bigint"
 ENTRIES = "archive string, start bigint, length bigint, sizes array<bigint>"
 PAGES = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -237,7 +238,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     package = Package(fs.open_output_stream(f"{root}/{name}"), zip64)
                     package.open(RECORDS)
                 digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                record = warc_record(r["page_id"], r["row"], r["url"], r["payload"], digest, r["refers_to"], r["first_row"], date)
+                record = gzip.compress(warc_record(r["page_id"], r["row"], r["url"], r["payload"], digest, r["refers_to"], r["first_row"], date), 1, mtime=0)
                 line = {"url": r["url"], "digest": digest, "offset": package.at - package.begin, "length": len(record), "filename": RECORDS}
                 index.append(f"- 20240101000000 {json.dumps(line)}\n".encode())
                 package.add(record)
@@ -299,7 +300,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int =
                     data = read_range(f, r["start"], r["length"])
                 rows, at = [], 0
                 for size in r["sizes"]:
-                    row = parse_record(data[at:at + size])
+                    row = parse_record(gzip.decompress(data[at:at + size]))
                     rows.append(row if payloads else (*row[:6], None))
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], schema.field(i).type) for i in range(7)], schema=schema)
