@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import mix, quality, shards, topk, warc_zip
-from .shared import new_folder
+import public_tokenizers
+
+from . import mix, pair_bpe, quality, shards, token_count, topk, warc_zip
+from .shared import new_folder, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +113,28 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op8_top_products(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 highest integer products of every twentieth vector with all others."""
     return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def tokenizer(name: str) -> str:
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document."""
+    counted = token_count.with_counts(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    return counted.select("doc_id", utf8_size(F.col("text")).alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    path = tokenizer("word_bpe_49k.json")
+    back = pair_bpe.decoded(pair_bpe.encoded(docs.select("doc_id", "text"), path).drop("text"), path)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op9_pair_index_bpe")
+def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document through the encoder and the decoder."""
+    return token_digests(table(spark, folder, "documents"))
