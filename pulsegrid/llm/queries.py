@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import mix, pair_bpe, quality, shards, token_count, topk, warc_zip
+from . import langid, mix, pair_bpe, quality, shards, token_count, topk, warc_zip
 from .shared import new_folder, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,13 @@ def token_digests(docs: DataFrame) -> DataFrame:
 def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document through the encoder and the decoder."""
     return token_digests(table(spark, folder, "documents"))
+
+
+@query("op1_ppm_language")
+def op1_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = langid.learn(docs.filter(~held_out))
+    out = langid.predicted(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "bits")
