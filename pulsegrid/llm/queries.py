@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import langid, mix, pair_bpe, quality, shards, token_count, topk, warc_zip
+from . import langid, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
 from .shared import new_folder, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,16 @@ def op1_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.learn(docs.filter(~held_out))
     out = langid.predicted(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
+@query("op3_personal_data")
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document: those of the fixed patterns, and with what the field adds."""
+    docs = table(spark, folder, "documents")
+    out = pii.found(docs.select("doc_id", "text"), pii.learn(docs))
+
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.startswith(kind + ":"))).cast("bigint").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[of_kind(k) for k in pii.KINDS], F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+                      F.array_join("spans", ",").alias("spans"))
