@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import langid, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
+from . import jaccard, langid, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
 from .shared import new_folder, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,19 @@ def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
     return out.select("doc_id", *[of_kind(k) for k in pii.KINDS], F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
                       F.array_join("spans", ",").alias("spans"))
+
+
+@query("op5_signature_tree_join", sql="""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+x AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT i, j FROM x JOIN s a ON a.doc_id = i JOIN s b ON b.doc_id = j WHERE 100 * n >= 80 * (len(a.g) + len(b.g) - n)),
+bi AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+r AS (SELECT doc_id AS i, doc_id AS j FROM s UNION SELECT r.i, bi.j FROM r JOIN bi ON r.j = bi.i)
+SELECT s.doc_id, len(any_value(g))::BIGINT AS n_shingles, min(r.j) AS component_id FROM s JOIN r ON r.i = s.doc_id GROUP BY s.doc_id""")
+def op5_signature_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose five-word shingles overlap by 80 per cent and more."""
+    return jaccard.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
