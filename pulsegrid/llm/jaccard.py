@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import stored
+from .shared import BLANKS, stored
 
 LONG, LOCAL_LONG = 256, 32  # longest list that is compared; longest in one batch
 BLOCK, BLOCK_MEMBERS = 256, 1 << 18
@@ -390,8 +390,8 @@ def _block_key(c, i, d, j):
 
 
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id``: every document with the size of its set, its class of equal sets, and the smallest
-    id that links reach from it."""
+    """``doc_id, tx, n_shingles, class_id, group_id, component_id``: every document with the hash of its text, the size of its set, its class
+    of equal sets, its group of linked classes, and the smallest id in the group."""
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).cast("binary").alias("text"))
     buckets = min(1 << 16, max(16, df.count() // 2000))
     late = df.sparkSession.sparkContext.broadcast(frequent(docs, width))
@@ -416,9 +416,22 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     smallest = of_docs.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     named = smallest.join(roots.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "root").select("cid", "component_id")
+    of_class = named.join(least, "root").select("cid", "root", "component_id")
     return of_docs.join(of_class, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.hex("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "tx", F.col("n").alias("n_shingles"), F.hex("cid").alias("class_id"), F.hex("root").alias("group_id"),
+        F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, one of every group: that with the smallest id, a null id only if there is no other. Texts without words all stay."""
+    found = stored(linked(df, key, text, width, percent).select("doc_id", "tx", "group_id"), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")
+    chosen = (found.filter("group_id is not null").groupBy("group_id").agg(F.min(order).alias("r")).select("r.doc_id", "r.tx")
+              .unionByName(found.filter("group_id is null").select("doc_id", "tx").distinct()))
+    rows = df.select(F.struct("*").alias("__row"), F.col(key).cast("bigint").alias("__id"), F.xxhash64(F.col(text)).alias("__tx"),
+                     F.coalesce(F.length(F.translate(F.col(text), BLANKS, "")) > 0, F.lit(False)).alias("__words"))
+    kept = rows.join(chosen, (F.col("__tx") == F.col("tx")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return (kept.filter("__words").dropDuplicates(["__id", "__tx"]).unionByName(kept.filter("not __words"))).select("__row.*")
 
 
 def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
