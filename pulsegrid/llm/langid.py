@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 START = 0  # the class of "before the text"; classes of bytes begin at 1, and the last one stands for bytes never learned
 UNIT = 1 << 16
-CHUNK = 1 << 20  # bytes that are scored at a time
+CHUNK, SLICE = 1 << 19, 1024  # bytes and texts that are scored at a time
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, max_tabl
             used[np.unique(seq // 257 ** k % 257)] = True
     learned = np.flatnonzero(used[1:])  # byte values
     width = len(learned) + 2
-    byte_class = np.full(256, width - 1, np.int64)
+    byte_class = np.full(256, width - 1, np.int32)
     byte_class[learned] = np.arange(1, len(learned) + 1)
     of_base = np.concatenate([[START], byte_class])
     bytes_of = np.ones(width)
@@ -168,27 +168,27 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code lengths (units of 2**-16 bit) of texts that lie one after the other in ``data``: texts x languages."""
-    n, pad, width = len(offsets) - 1, model.order, model.width
-    sizes = np.diff(offsets)
-    flat = np.zeros(int(sizes.sum()) + pad * n, np.int32)  # START before each text
-    starts = offsets[:-1] - offsets[0] + pad * np.arange(n)
-    at = np.arange(int(sizes.sum())) + np.repeat(pad * (np.arange(n) + 1), sizes)
-    flat[at] = model.byte_class[data[offsets[0]:offsets[-1]]]
-    del at
-    out = np.zeros((n, len(model.languages)), np.int64)
-    flat = np.concatenate([np.zeros(pad, np.int32), flat])
-    for lo in range(0, len(flat) - pad, CHUNK):
-        piece = flat[lo:lo + CHUNK + pad]
-        size = len(piece) - pad
-        code = piece[:size].astype(np.int32)
-        for k in range(1, pad):
-            code = code * np.int32(width) + piece[k:size + k]
-        cost = np.take(model.costs, model.context_of[code] * width + piece[pad:], axis=0)
-        first, last = np.searchsorted(starts, [lo, lo + size], side="right") - 1
-        first = max(first, 0)
-        cuts = np.maximum(starts[first:last + 1] - lo, 0)
-        keep = cuts < size
-        out[first:last + 1][keep] += np.add.reduceat(cost, cuts[keep], axis=0, dtype=np.int64)
+    out = np.zeros((len(offsets) - 1, len(model.languages)), np.int64)
+    starts = offsets[:-1]
+    for lo in range(int(offsets[0]), int(offsets[-1]), CHUNK):
+        hi = min(lo + CHUNK, int(offsets[-1]))
+        first = int(np.searchsorted(starts, lo, side="right")) - 1
+        last = int(np.searchsorted(starts, hi, side="left")) - 1
+        inside = starts[first:last + 1] - lo
+        begins = inside[(inside > -model.order) & (inside < hi - lo)]
+        code = np.zeros(hi - lo, np.int32)
+        for k in range(model.order, 0, -1):  # the byte k places before, or START before the text
+            back = np.full(hi - lo, START, np.int32)
+            src = data[max(lo - k, int(offsets[0])):hi - k]
+            back[hi - lo - len(src):] = model.byte_class[src]
+            for d in range(k):
+                at = begins + d
+                back[at[(at >= 0) & (at < hi - lo)]] = START
+            code = code * np.int32(model.width) + back
+        cost = np.take(model.costs, model.context_of[code] * np.int32(model.width) + model.byte_class[data[lo:hi]], axis=0)
+        ends = offsets[first + 1:last + 2] - lo
+        held = (ends > 0) & (ends > np.maximum(inside, 0))  # texts with a byte in this chunk
+        out[first:last + 1][held] += np.add.reduceat(cost, np.maximum(inside, 0)[held], axis=0, dtype=np.int64)
     return out
 
 
@@ -204,7 +204,7 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column("__text").cast(pa.large_binary())
             none = texts.is_null().to_numpy(zero_copy_only=False)
             _, where, data = texts.buffers()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from . import jaccard, langid, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
-from .shared import new_folder, utf8_size
+from .shared import new_folder, small_batches, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,12 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, folder)`` under ``name`` with the SQL of its expected result."""
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, folder)
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

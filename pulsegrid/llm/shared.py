@@ -22,10 +22,15 @@ def stored(df: DataFrame, kind: str = "step") -> DataFrame:
     """Write a step as Parquet in the shared folder and read it back: later steps neither compute it again nor
     depend on files that an executor keeps, and column pruning still reaches the stored copy."""
     folder = new_folder(df.sparkSession, kind)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Send Python workers batches of ``size`` bytes: their copies stay small beside an executor's memory, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, even where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
