@@ -230,8 +230,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             package.out.close()
             done.append((f"{folder}/{name}", len(index), package.at))
 
-        for batch in batches:
-            for r in batch.to_pylist():
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            for r in part.to_pylist():
                 if package is None:
                     name, index = f"{uuid.uuid4().hex}.wacz", []
                     fs.create_dir(root, recursive=True)
