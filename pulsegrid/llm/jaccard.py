@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .shared import BLANKS, stored
 
-LONG, LOCAL_LONG = 256, 32  # longest list that is compared; longest in one batch
+LONG, LOCAL_LONG = 32, 32  # longest list that is compared; longest in one batch
 BLOCK, BLOCK_MEMBERS = 256, 1 << 18
 FAN = 8
 ID = 12  # bytes of a class id
@@ -100,8 +100,8 @@ def class_id(members: np.ndarray) -> bytes:
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    """Two bits and more per member, hashed; a power of two, so that larger maps fold onto smaller ones."""
-    bits = 1 << max(7, (2 * len(members) - 1).bit_length())
+    """Four bits and more per member, hashed; a power of two, so that larger maps fold onto smaller ones."""
+    bits = 1 << max(7, (4 * len(members) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(members >> np.uint64(11)) & np.uint64(bits - 1)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -185,13 +185,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # ---- first pass: profiles and prefixes ---------------------------------------------------------------------------
 
-PROFILE = "kind int, doc_id bigint, tx bigint, n bigint, cid binary, bits binary, bucket int, tokens binary, members binary, hot binary"
-_PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tx", pa.int64()), ("n", pa.int64()), ("cid", pa.binary()), ("bits", pa.binary()),
-                      ("bucket", pa.int32()), ("tokens", pa.binary()), ("members", pa.binary()), ("hot", pa.binary())])
-
-
-def _rows(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+PROFILE = "doc_id bigint, tx bigint, n bigint, cid binary, bits binary"
+PREFIX = "bucket int, tokens binary, members binary, hot binary"
+_PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("members", pa.binary()), ("hot", pa.binary())])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
@@ -220,19 +216,26 @@ def frequent(docs: DataFrame, width: int, least: int = 8, most: int = 1 << 18) -
     return np.sort(table.column("s").to_numpy().view(np.uint64))
 
 
-def profiles(docs: DataFrame, width: int, percent: int, buckets: int, late) -> DataFrame:
-    """Rows of three kinds. 0: a document with its class, size and bitmap. 1: the prefix members of a slice of documents that fall in one
-    bucket, with their classes. 2: edges between classes that share a member which is frequent in the slice."""
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """Every document with its class, size and bitmap; no class for a text without words."""
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value
         for part in _slices(batches):
             sets = shingle_sets(part.column("text").to_pylist(), width)
-            ids = [class_id(s) if len(s) else None for s in sets]
-            yield _rows(_PROFILE, len(sets), kind=pa.array([0] * len(sets), pa.int32()), doc_id=part.column("doc_id"), tx=part.column("tx"),
-                        n=pa.array([len(s) for s in sets], pa.int64()), cid=pa.array(ids, pa.binary()),
-                        bits=pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()))
-            chosen = dict(zip(ids, sets))
-            chosen.pop(None, None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("tx"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([class_id(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "tx", "n", "cid", "bits"])
+
+    return docs.select("doc_id", "tx", "text").mapInArrow(profile, PROFILE)
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, buckets: int, late) -> DataFrame:
+    """Per slice of documents and bucket one row: the prefix members that fall in the bucket, with their classes. A member that more than
+    ``LOCAL_LONG`` classes of the slice share is sent for one of them, marked hot; rows without ``tokens`` hold edges from that one to the others."""
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = late.value
+        for part in _slices(batches):
+            chosen = {class_id(s): s for s in shingle_sets(part.column("text").to_pylist(), width) if len(s)}
             if not chosen:
                 continue
             firsts = []
@@ -255,27 +258,33 @@ def profiles(docs: DataFrame, width: int, percent: int, buckets: int, late) -> D
             hot = np.repeat(count > LOCAL_LONG, count)
             head = np.zeros(len(short), bool)
             head[start] = True
-            if hot.any():  # the first stands for all in this slice
-                center = np.repeat(owner[start], count)[hot & ~head]
-                pairs = np.unique(np.stack([center, owner[hot & ~head]], axis=1), axis=0)
+            if hot.any():
+                rest = hot & ~head
+                pairs = np.unique(np.stack([np.repeat(owner[start], count)[rest], owner[rest]], axis=1), axis=0)
                 edges = np.concatenate([names[pairs[:, 0]], names[pairs[:, 1]]], axis=1)
-                yield _rows(_PROFILE, 1, kind=pa.array([2], pa.int32()), members=pa.array([edges.tobytes()], pa.binary()))
+                spread = int(mix(np.array([int(pairs[0, 1]) + len(pairs)], np.uint64))[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), pa.nulls(1, pa.binary()), pa.array([edges.tobytes()], pa.binary()),
+                                                  pa.nulls(1, pa.binary())], schema=_PREFIX)
             keep = ~hot | head
             bucket, short, owner, hot = bucket[keep], short[keep], owner[keep], hot[keep]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             spans = list(zip(cuts[:-1], cuts[1:]))
-            yield _rows(_PROFILE, len(spans), kind=pa.array([1] * len(spans), pa.int32()), bucket=pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
-                        tokens=pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
-                        members=pa.array([names[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
-                        hot=pa.array([hot[a:b].astype(np.uint8).tobytes() for a, b in spans], pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
+                 pa.array([names[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
+                 pa.array([hot[a:b].astype(np.uint8).tobytes() for a, b in spans], pa.binary())], schema=_PREFIX)
 
-    return docs.select("doc_id", "tx", "text").mapInArrow(profile, PROFILE)
+    return docs.select("text").mapInArrow(prefix, PREFIX)
 
 
 # ---- lists of classes that share a prefix member -----------------------------------------------------------------
 
 def lists_of_bucket(table: pa.Table) -> pa.Table:
     """Of one bucket: the distinct lists of classes that share a member, and star edges for long lists."""
+    given = [e[k:k + 2 * ID] for t, e in zip(table.column("tokens").to_pylist(), table.column("members").to_pylist()) if t is None for k in range(0, len(e), 2 * ID)]
+    table = table.filter(table.column("tokens").is_valid())
+    if not table.num_rows:
+        return pa.table({"kind": pa.array([2] * len(given), pa.int32()), "members": pa.array(given, pa.binary())})
     token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), "<u4")
     names = np.frombuffer(b"".join(table.column("members").to_pylist()), np.uint8).reshape(-1, ID)
     hot = np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint8)
@@ -289,7 +298,7 @@ def lists_of_bucket(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     end = np.concatenate([start[1:], [len(token)]])
     is_hot = np.maximum.reduceat(hot, start)
-    found, edges = set(), set()
+    found, edges = set(), set(given)
     for a, b, h in zip(start.tolist(), end.tolist(), is_hot.tolist()):
         if b - a < 2:
             continue
@@ -376,13 +385,54 @@ def exact_edges(percent: int):
     return work
 
 
+# ---- which documents to read again -------------------------------------------------------------------------------
+
+CHUNK = 1 << 16  # bytes of the filter that tasks send as one row
+
+
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    h = h.view(np.uint64)
+    return np.concatenate([mix(h), mix(h ^ np.uint64(0x5851F42D4C957F2D))]) & np.uint64(bits - 1)
+
+
+def key_filter(keys: DataFrame, count: int, most: int = 1 << 30) -> np.ndarray:
+    """A filter of ``most`` bits at most that every key ``h`` passes, and few others: 16 bits per key, two of them set. Tasks send the parts
+    they touch, which are joined by OR; only the filter itself goes to the driver."""
+    bits = min(most, 1 << max(19, (16 * count).bit_length()))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = _places(batch.column("h").to_numpy(), bits)
+            np.bitwise_or.at(own, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        packed = own.reshape(-1, CHUNK)
+        used = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([packed[k].tobytes() for k in used], pa.binary())], names=["part", "data"])
+
+    def joined(rows: pa.Table) -> pa.Table:
+        data = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8).reshape(-1, CHUNK)
+        return pa.table({"part": rows.column("part")[:1], "data": pa.array([np.bitwise_or.reduce(data, axis=0).tobytes()], pa.binary())})
+
+    out = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
+    table = keys.mapInArrow(parts, "part bigint, data binary").groupBy("part").applyInArrow(joined, "part bigint, data binary").toArrow()
+    for part, data in zip(table.column("part").to_pylist(), table.column("data").to_pylist()):
+        out[part] = np.frombuffer(data, np.uint8)
+    return out.ravel()
+
+
+def passes(wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _places(h, 8 * len(wanted))
+    hit = (wanted[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    return (hit[:len(h)] & hit[len(h):]).astype(bool)
+
+
 # ---- the join ----------------------------------------------------------------------------------------------------
 
 EDGES = "a binary, b binary"
 
 
-def _cut_ids(members, size: int):
-    return F.transform(F.sequence(F.lit(0), (F.octet_length(members) / size).cast("int") - 1), lambda i: F.substring(members, i * size + 1, F.lit(size)))
+def _cut_ids(members):
+    return F.transform(F.sequence(F.lit(0), (F.octet_length(members) / ID).cast("int") - 1), lambda i: F.substring(members, i * ID + 1, F.lit(ID)))
 
 
 def _block_key(c, i, d, j):
@@ -395,17 +445,15 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).cast("binary").alias("text"))
     buckets = min(1 << 16, max(16, df.count() // 2000))
     late = df.sparkSession.sparkContext.broadcast(frequent(docs, width))
-    seen = stored(profiles(docs, width, percent, buckets, late), "profiles")
-    of_docs = seen.filter("kind = 0").select("doc_id", "tx", "n", "cid")
-    classes = seen.filter("kind = 0 and cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-
-    shared = stored(seen.filter("kind = 1").select("bucket", "tokens", "members", "hot").groupBy("bucket").applyInArrow(
-        lists_of_bucket, "kind int, members binary"), "lists")
-    stars = (seen.filter("kind = 2").select("members").unionByName(shared.filter("kind = 2").select("members"))
-             .select(F.explode(_cut_ids(F.col("members"), 2 * ID)).alias("e"))
-             .select(F.substring("e", 1, ID).alias("a"), F.substring("e", ID + 1, ID).alias("b")))
+    of_docs = stored(profiles(docs, width), "profiles")
+    classes = of_docs.filter("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    of_docs = of_docs.select("doc_id", "tx", "n", "cid")
+
+    shared = stored(prefixes(docs, width, percent, buckets, late).groupBy("bucket").applyInArrow(lists_of_bucket, "kind int, members binary"), "lists")
+    stars = shared.filter("kind = 2").select("members").distinct().select(
+        F.substring("members", 1, ID).alias("a"), F.substring("members", ID + 1, ID).alias("b"))
     lists = shared.filter("kind = 1").select("members").distinct().select(
-        F.md5("members").alias("list"), F.explode(_cut_ids(F.col("members"), ID)).alias("cid"))
+        F.md5("members").alias("list"), F.explode(_cut_ids(F.col("members"))).alias("cid"))
     likely = in_runs(lists.join(classes, "cid").select("list", "cid", "n", "bits"), "list", candidate_edges(percent), EDGES)
     groups = components(likely.unionByName(stars))
 
@@ -437,15 +485,20 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges between similar classes of the candidate groups, from the sets themselves."""
     chosen = (of_docs.join(live.select("cid"), "cid").groupBy("cid")
-              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("r")).select("cid", "r.doc_id", "r.tx"))
+              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("r"))
+              .select(F.xxhash64("r.doc_id", "r.tx").alias("h")))
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(chosen, live.count()))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            sets = shingle_sets(part.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
-
-    where = (docs["tx"] == chosen["tx"]) & docs["doc_id"].eqNullSafe(chosen["doc_id"])
-    sets = docs.join(chosen, where).select(chosen["cid"], docs["text"]).mapInArrow(members, "cid binary, members binary")
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column("h").to_numpy())))
+            for part in _slices([batch]):
+                sets = shingle_sets(part.column("text").to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=["cid", "members"])
+
+    # Keys that only seem to be wanted bring classes that no task asks for; the join on the class drops them.
+    sets = docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(members, "cid binary, members binary")
 
     sized = live.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     big = stored(sized.filter((F.col("m") > BLOCK) | (F.col("t") > BLOCK_MEMBERS)).select("comp"), "big")

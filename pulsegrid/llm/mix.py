@@ -63,7 +63,9 @@ def shared_out(amount: int, room: Mapping[Path, int], weights: Mapping[Path, flo
 
 def leaf_budgets(tokens: Mapping[Path, int], weights: Mapping[Path, float], total: int, epochs: int) -> dict[Path, int]:
     """Budgets of the leaves. ``weights`` maps a path, from the root down, to its share among its siblings (1 if absent)."""
-    depth = max((len(p) for p in tokens), default=0)
+    if not tokens:
+        return {}
+    depth = max(map(len, tokens))
     room: list[dict[Path, int]] = [{} for _ in range(depth + 1)]
     for path, n in tokens.items():
         for d in range(depth + 1):
