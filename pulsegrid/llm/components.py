@@ -14,8 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     or more; rounds go on until no label changes. Labels are stored after each round, which cuts the lineage. Vertices with very many edges
     meet partial minima on the map side and joins that adaptive execution splits. Loops and repeated edges do no harm.
     """
-    both = stored(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("u")))
-                  .distinct(), "edges")
+    once = stored(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).distinct(), "edges")  # the union reads it twice
+    both = once.unionByName(once.select(F.col("u").alias("v"), F.col("v").alias("u")))
     labels = stored(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), F.col("root").alias("r")), "u").groupBy("v").agg(F.min("r").alias("r"))

@@ -11,8 +11,8 @@ already set. Two sets below two nodes share at most the bits the nodes share plu
 the sizes, rule out the similarity, the dual traversal prunes the pair. What is left joins classes into candidate groups,
 and inside these a second traversal compares the sets themselves, skipping pairs that are already connected.
 
-Nothing grows with a group's pairs: lists and groups give spanning edges only. A list longer than ``LONG`` is not kept
-in one place (tasks send one member per batch and edges for the rest). A group larger than ``BLOCK`` classes or ``BLOCK_MEMBERS`` members is dealt in blocks
+Nothing grows with a group's pairs: lists and groups give spanning edges only. A list longer than ``LONG`` is parted
+by levels of size; what is still longer gives edges to its first class only, as do tasks for what they meet very often. A group larger than ``BLOCK`` classes or ``BLOCK_MEMBERS`` members is dealt in blocks
 of like sizes; pairs of blocks are compared only where the blocks are not yet wholly connected.
 
 Defined results: a null text is an empty one; a text without words has an empty set and is linked with nothing, so its component is its
@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .shared import BLANKS, stored
 
-LONG, LOCAL_LONG = 32, 32  # longest list that is compared; longest in one batch
+LONG, LOCAL_LONG = 128, 64  # longest list that is compared; longest of one level of size in a slice
 BLOCK, BLOCK_MEMBERS = 256, 1 << 18
 FAN = 8
+FINE = 8  # bits per member of the bitmaps that part large groups
+LEADERS = 8  # one class in so many of a first block leads
 ID = 12  # bytes of a class id
 
 _BLANK = np.zeros(256, bool)
@@ -53,6 +55,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def size_level(n: np.ndarray, percent: int) -> np.ndarray:
+    """Similar sets have the same level or neighbouring ones."""
+    return np.floor(np.log(n) / math.log(100 / percent)).astype(np.uint8)
+
+
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
@@ -99,9 +106,9 @@ def class_id(members: np.ndarray) -> bytes:
     return mix(np.array([low, high], np.uint64)).tobytes()[:ID]
 
 
-def bitmap(members: np.ndarray) -> np.ndarray:
-    """Four bits and more per member, hashed; a power of two, so that larger maps fold onto smaller ones."""
-    bits = 1 << max(7, (4 * len(members) - 1).bit_length())
+def bitmap(members: np.ndarray, per: int = 2) -> np.ndarray:
+    """``per`` bits and more per member, hashed; a power of two, so that larger maps fold onto smaller ones."""
+    bits = 1 << max(7, (per * len(members) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(members >> np.uint64(11)) & np.uint64(bits - 1)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -186,8 +193,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # ---- first pass: profiles and prefixes ---------------------------------------------------------------------------
 
 PROFILE = "doc_id bigint, tx bigint, n bigint, cid binary, bits binary"
-PREFIX = "bucket int, tokens binary, members binary, hot binary"
-_PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("members", pa.binary()), ("hot", pa.binary())])
+PREFIX = "bucket int, tokens binary, members binary, levels binary, hot binary"
+_PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("members", pa.binary()), ("levels", pa.binary()), ("hot", pa.binary())])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
@@ -201,14 +208,14 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 1 <
             at += upto
 
 
-def frequent(docs: DataFrame, width: int, least: int = 8, most: int = 1 << 18) -> np.ndarray:
-    """Shingles met in very many texts, for the order: those a task meets four times and more in a slice, added up over all texts. The
+def frequent(docs: DataFrame, width: int, least: int = 8, most: int = 1 << 20) -> np.ndarray:
+    """Shingles met in very many texts, for the order: those that two or more different texts of a slice hold, added up over all slices. The
     ``most`` most frequent go to the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 8192, 1 << 24):
-            sets = shingle_sets(part.column("text").to_pylist(), width)
-            shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            often = n >= 4
+            sets = {class_id(s): s for s in shingle_sets(part.column("text").to_pylist(), width)}
+            shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
+            often = n >= 2
             yield pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["s", "n"])
 
     table = (docs.select("text").mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -230,8 +237,8 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, buckets: int, late) -> DataFrame:
-    """Per slice of documents and bucket one row: the prefix members that fall in the bucket, with their classes. A member that more than
-    ``LOCAL_LONG`` classes of the slice share is sent for one of them, marked hot; rows without ``tokens`` hold edges from that one to the others."""
+    """Per slice of documents and bucket one row: the prefix members that fall in the bucket, with their classes and levels of size. A member
+    that more than ``LOCAL_LONG`` classes of a level share in the slice is sent for one of them, marked hot; rows without ``tokens`` hold edges from that one to the others."""
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = late.value
         for part in _slices(batches):
@@ -251,9 +258,10 @@ def prefixes(docs: DataFrame, width: int, percent: int, buckets: int, late) -> D
             names = np.frombuffer(b"".join(chosen), np.uint8).reshape(-1, ID)
             bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             short = (token & np.uint64(0xFFFFFFFF)).astype("<u4")
-            order = np.lexsort((short, bucket))
-            bucket, short, owner = bucket[order], short[order], owner[order]
-            start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (short[1:] != short[:-1])]))
+            level = size_level(np.array([len(c) for c in chosen.values()]), percent)[owner]
+            order = np.lexsort((level, short, bucket))
+            bucket, short, owner, level = bucket[order], short[order], owner[order], level[order]
+            start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (short[1:] != short[:-1]) | (level[1:] != level[:-1])]))
             count = np.diff(np.concatenate([start, [len(short)]]))
             hot = np.repeat(count > LOCAL_LONG, count)
             head = np.zeros(len(short), bool)
@@ -264,15 +272,14 @@ def prefixes(docs: DataFrame, width: int, percent: int, buckets: int, late) -> D
                 edges = np.concatenate([names[pairs[:, 0]], names[pairs[:, 1]]], axis=1)
                 spread = int(mix(np.array([int(pairs[0, 1]) + len(pairs)], np.uint64))[0] % np.uint64(buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), pa.nulls(1, pa.binary()), pa.array([edges.tobytes()], pa.binary()),
-                                                  pa.nulls(1, pa.binary())], schema=_PREFIX)
+                                                  pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], schema=_PREFIX)
             keep = ~hot | head
-            bucket, short, owner, hot = bucket[keep], short[keep], owner[keep], hot[keep]
+            bucket, short, owner, level, hot = bucket[keep], short[keep], owner[keep], level[keep], hot[keep]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             spans = list(zip(cuts[:-1], cuts[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
-                 pa.array([names[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
-                 pa.array([hot[a:b].astype(np.uint8).tobytes() for a, b in spans], pa.binary())], schema=_PREFIX)
+                [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
+                 *[pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (short, names[owner], level, hot.astype(np.uint8))]], schema=_PREFIX)
 
     return docs.select("text").mapInArrow(prefix, PREFIX)
 
@@ -287,14 +294,14 @@ def lists_of_bucket(table: pa.Table) -> pa.Table:
         return pa.table({"kind": pa.array([2] * len(given), pa.int32()), "members": pa.array(given, pa.binary())})
     token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), "<u4")
     names = np.frombuffer(b"".join(table.column("members").to_pylist()), np.uint8).reshape(-1, ID)
-    hot = np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint8)
+    hot, level = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("hot", "levels"))
     low = np.ascontiguousarray(names[:, :8]).view("<u8").ravel()
     high = np.ascontiguousarray(names[:, 8:]).view("<u4").ravel()
-    order = np.lexsort((high, low, token))
-    token, low, high, names, hot = token[order], low[order], high[order], names[order], hot[order]
+    order = np.lexsort((high, low, level, token))
+    token, low, high, names, hot, level = token[order], low[order], high[order], names[order], hot[order], level[order]
     fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-    any_hot = np.maximum.reduceat(hot, np.flatnonzero(fresh))
-    token, names, hot = token[fresh], names[fresh], any_hot
+    hot = np.maximum.reduceat(hot, np.flatnonzero(fresh))
+    token, names, level = token[fresh], names[fresh], level[fresh]
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     end = np.concatenate([start[1:], [len(token)]])
     is_hot = np.maximum.reduceat(hot, start)
@@ -302,11 +309,18 @@ def lists_of_bucket(table: pa.Table) -> pa.Table:
     for a, b, h in zip(start.tolist(), end.tolist(), is_hot.tolist()):
         if b - a < 2:
             continue
-        if h or b - a > LONG:
-            center = names[a].tobytes()
-            edges.update(center + names[k].tobytes() for k in range(a + 1, b))
-        else:
+        if not h and b - a <= LONG:
             found.add(names[a:b].tobytes())
+            continue
+        for at in np.unique(level[a:b]).tolist():  # classes of a level and the next
+            first, last = a + int(np.searchsorted(level[a:b], at)), a + int(np.searchsorted(level[a:b], at + 1, side="right"))
+            if last - first < 2:
+                continue
+            if last - first > LONG or hot[first:last].any():
+                center = names[first].tobytes()
+                edges.update(center + names[k].tobytes() for k in range(first + 1, last))
+            else:
+                found.add(names[first:last].tobytes())
     kind = [1] * len(found) + [2] * len(edges)
     return pa.table({"kind": pa.array(kind, pa.int32()), "members": pa.array([*found, *edges], pa.binary())})
 
@@ -349,15 +363,22 @@ def _edges(ids: list[bytes], groups: Groups) -> pa.RecordBatch | None:
 
 def candidate_edges(percent: int):
     def work(rows: pa.Table) -> pa.RecordBatch | None:
-        """A spanning forest of the pairs of a list that its signature tree does not rule out."""
-        ids = rows.column("cid").to_pylist()
-        tree, order = ordered_tree([np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()], rows.column("n").to_numpy())
+        """A spanning forest of the pairs of a list, of a group or between two blocks of one, that the signature tree does not rule out."""
+        first: dict[bytes, int] = {}
+        for k, c in enumerate(rows.column("cid").to_pylist()):
+            first.setdefault(c, k)
+        ids, at = list(first), list(first.values())
+        maps = rows.column("bits").to_pylist()
+        side = rows.column("side").to_numpy()[at] if "side" in rows.column_names else np.zeros(len(at), int)
+        across = bool((side == 0).any() and (side == 1).any())
+        tree, order = ordered_tree([np.frombuffer(maps[k], np.uint64) for k in at], rows.column("n").to_numpy()[at])
         groups = Groups(len(ids))
         i, j = tree.pairs(percent)
         for a, b in zip(order[i].tolist(), order[j].tolist()):
-            groups.join(a, b)
-            if groups.left == 1:
-                break
+            if not across or side[a] != side[b]:
+                groups.join(a, b)
+                if groups.left == 1:
+                    break
         return _edges(ids, groups)
     return work
 
@@ -482,26 +503,48 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     return (kept.filter("__words").dropDuplicates(["__id", "__tx"]).unionByName(kept.filter("not __words"))).select("__row.*")
 
 
-def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges between similar classes of the candidate groups, from the sets themselves."""
+def _sets_of(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, fine: bool) -> DataFrame:
+    """``cid, n`` and ``bits`` (fine bitmaps) or ``members`` of the classes of ``live``, from one document of each, read again. Documents that
+    only seem to be wanted bring classes that nobody asks for; joins on the class drop them."""
     chosen = (of_docs.join(live.select("cid"), "cid").groupBy("cid")
               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("r"))
               .select(F.xxhash64("r.doc_id", "r.tx").alias("h")))
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(chosen, live.count()))
+    name = "bits" if fine else "members"
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(passes(wanted.value, batch.column("h").to_numpy())))
             for part in _slices([batch]):
                 sets = shingle_sets(part.column("text").to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=["cid", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([(bitmap(s, FINE) if fine else s).tobytes() for s in sets], pa.binary())], names=["cid", "n", name])
 
-    # Keys that only seem to be wanted bring classes that no task asks for; the join on the class drops them.
-    sets = docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(members, "cid binary, members binary")
+    return docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(members, f"cid binary, n bigint, {name} binary")
 
+
+def _big(live: DataFrame) -> DataFrame:
     sized = live.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
-    big = stored(sized.filter((F.col("m") > BLOCK) | (F.col("t") > BLOCK_MEMBERS)).select("comp"), "big")
+    return stored(sized.filter((F.col("m") > BLOCK) | (F.col("t") > BLOCK_MEMBERS)).select("comp"), "big")
+
+
+def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges between similar classes of the candidate groups. Groups too large for one task are first parted by trees of finer bitmaps."""
+    big = _big(live)
+    if not big.isEmpty():
+        inside = live.join(big, "comp")
+        fine = _in_blocks(inside, big, _sets_of(docs, of_docs, inside, width, True), candidate_edges(percent), percent)
+        parts = components(fine).select(F.col("v").alias("cid"), F.col("root").alias("comp"))
+        live = stored(live.join(big, "comp", "left_anti").select("cid", "n", "comp").unionByName(
+            inside.select("cid", "n").join(parts, "cid").select("cid", "n", "comp")), "live")
+        big = _big(live)
+    return _in_blocks(live, big, _sets_of(docs, of_docs, live, width, False), exact_edges(percent), percent)
+
+
+def _in_blocks(live: DataFrame, big: DataFrame, sets: DataFrame, work, percent: int) -> DataFrame:
+    """Edges that ``work`` finds among the classes of every group, the groups of ``big`` in blocks."""
+    payload = [c for c in sets.columns if c != "cid"]
     step = math.log(100 / percent)
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
     in_big = live.join(big, "comp").withColumn("c", level)
@@ -513,15 +556,18 @@ def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int,
     def meeting(d, x, e, y, side: int):
         return F.struct(_block_key(d, x, e, y).alias("task"), F.lit(side).alias("side"))
 
+    # Every block meets some leaders of the first block of its sizes, and the first blocks of neighbouring sizes meet.
     zero = F.lit(0)
+    leads = (i == 0) & (F.pmod(F.xxhash64(F.lit(1), "cid"), F.lit(LEADERS)) == 0)
     first = F.concat(
         F.array(meeting(c, i, c, i, 0)),
-        F.when(i > 0, F.array(meeting(c, zero, c, i, 1))).otherwise(F.concat(
+        F.when(leads, F.concat(
             F.array(meeting(c, zero, c + 1, zero, 0), meeting(c - 1, zero, c, zero, 1)),
-            F.transform(F.filter(F.sequence(zero, k - 1), lambda j: j > 0), lambda j: meeting(c, zero, c, j, 0)))))
+            F.transform(F.filter(F.sequence(zero, k - 1), lambda j: j > 0), lambda j: meeting(c, j, c, j, 0)))).otherwise(F.array().cast(
+                "array<struct<task:string,side:int>>")))
     small = live.join(big, "comp", "left_anti").select("cid", F.hex("comp").alias("task"), F.lit(0).alias("side"))
     tasks = small.unionByName(blocks.select("cid", F.explode(first).alias("m")).select("cid", "m.task", "m.side"))
-    links = stored(in_runs(tasks.join(sets, "cid").select("task", "side", "cid", "members"), "task", exact_edges(percent), EDGES), "links")
+    links = stored(in_runs(tasks.join(sets, "cid").select("task", "side", "cid", *payload), "task", work, EDGES), "links")
     if big.isEmpty():
         return links
 
@@ -531,7 +577,7 @@ def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int,
              .groupBy("comp", "c", "i").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
     left = state.select("comp", "c", "i", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     right = state.select("comp", F.col("c").alias("d"), F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    unmet = ((F.col("d") == F.col("c")) & (F.col("i") > 0) & (F.col("j") > F.col("i"))) | ((F.col("d") == F.col("c") + 1) & (F.col("i") + F.col("j") > 0))
+    unmet = ((F.col("d") == F.col("c")) & (F.col("j") > F.col("i"))) | (F.col("d") == F.col("c") + 1)
     whole = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
     pairs = stored(left.join(right, "comp").filter(unmet & ~whole).withColumn(
         "task", _block_key(F.col("c"), F.col("i"), F.col("d"), F.col("j"))).select("comp", "c", "i", "d", "j", "task"), "pairs")
@@ -540,5 +586,5 @@ def _compared(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int,
     ends = pairs.select("comp", "c", "i", "task", F.lit(0).alias("side")).unionByName(
         pairs.select("comp", F.col("d").alias("c"), F.col("j").alias("i"), "task", F.lit(1).alias("side")))
     more = blocks.select("cid", "comp", "c", "i").join(ends, ["comp", "c", "i"]).select("cid", "task", "side")
-    rest = in_runs(more.join(sets, "cid").select("task", "side", "cid", "members"), "task", exact_edges(percent), EDGES)
+    rest = in_runs(more.join(sets, "cid").select("task", "side", "cid", *payload), "task", work, EDGES)
     return links.unionByName(rest)
