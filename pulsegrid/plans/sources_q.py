@@ -25,12 +25,22 @@ def folder(t) -> str:
 @query("a01_csv_scan", sql="SELECT event_id, user_id, value, NULL::DOUBLE AS server_latency_ms FROM events WHERE event_type = 'view'")
 def _(t):
     path = folder(t)
-    t.events.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 1 == 0, S("value")).alias("value"), "props").write.option("header", True).csv(path)
+    t.events.select("event_id", "user_id", "event_type", S("value").alias("value"), "props").write.option("header", True).csv(path)
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
                            T.StructField("value", T.DoubleType()), T.StructField("server_latency_ms", T.DoubleType())])
     return X.read_csv(t.spark, path, schema).filter("event_type = 'view'").drop("event_type")
 
 
+@query("a01_csv_mixed_headers", sql="SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN value END AS value, event_type FROM events WHERE event_type IN ('view', 'click', 'error')")
+def _(t):
+    path = folder(t)
+    e = t.events.withColumn("value", S("value"))
+    for kind, columns in (("view", ["event_id", "value", "event_type"]), ("click", ["value", "event_type", "event_id"]), ("error", ["event_type", "event_id"])):
+        e.filter(F.col("event_type") == kind).select(*columns).write.mode("append").option("header", True).csv(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("event_type", T.StringType())])
+    return X.read_csv(t.spark, path, schema)
+
+
 def _jsonl(t, spoil: bool):
     path = folder(t)
     good = F.to_json(F.struct("o_orderkey", "o_totalprice"))
@@ -118,6 +128,20 @@ def _(t):
     return out.select("event_id", "metric", F.col("labels")["run"].alias("run"), F.col("labels")["kind"].alias("kind"), "value", "ts")
 
 
+@query("a09_exposition_untimed", sql="SELECT event_id, 'm' AS metric, event_type AS kind, value, CAST(NULL AS TIMESTAMP) AS ts FROM events")
+def _(t):
+    text = cc(F.lit('m{kind="'), "event_type", F.lit('"} '), S("value"))
+    out = P.exposition(t.events.select("event_id", text.alias("value")))
+    return out.select("event_id", "metric", F.col("labels")["kind"].alias("kind"), "value", "ts")
+
+
+@query("a09_repeated_label", sql="SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b, 2 AS labels, value FROM events")
+def _(t):
+    text = cc(F.lit('m{a="first",b="'), S("user_id"), F.lit('",a="'), "event_type", F.lit('"} '), S("value"))
+    out = P.exposition(t.events.select("event_id", text.alias("value")))
+    return out.select("event_id", F.col("labels")["a"].alias("a"), F.col("labels")["b"].alias("b"), F.size("labels").alias("labels"), "value")
+
+
 @query("a10_chart_latest", sql="SELECT o_orderkey, d AS dimension, CASE d WHEN 'user' THEN o_totalprice ELSE o_custkey::DOUBLE END AS value, 'MiB' AS units FROM orders, (SELECT unnest(['user', 'system']) AS d)")
 def _(t):
     doc = F.to_json(F.struct(F.array(F.lit("time"), F.lit("user"), F.lit("system")).alias("labels"),
@@ -157,7 +181,10 @@ def _(t):
 
 @query("a14_log_scan", sql="SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 3")
 def _(t):
-    line = cc(F.substring(F.regexp_replace("text", r"\n", " "), 1, 40), F.when(F.col("doc_id") % 7 == 0, " was OOMKilled now").when(F.col("doc_id") % 11 == 3, " NODE-PRESSURE x").otherwise(" OOMKilledX"))
+    word = F.when(F.col("doc_id") % 7 == 0, " was OOMKilled now ").when(F.col("doc_id") % 11 == 3, " NODE-PRESSURE x ").otherwise(" OOMKilledX ")
+    text = F.regexp_replace("text", "\n", " ")
+    at = F.pmod(F.col("doc_id") * 31, F.length("text") + 1).cast("int")  # anywhere in the text, its end included
+    line = cc(F.substring(text, F.lit(1), at), word, F.substring(text, at + 1, F.length("text")))
     return P.scan_log(t.documents.select("doc_id", line.alias("line")), "line").select("doc_id")
 
 

@@ -17,14 +17,31 @@ def run_of(path: Column, level: int = 2) -> Column:
     return F.try_element_at(parts, F.lit(-level))
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType, run: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: T.StructType, run: str | None = None, one_header: bool = False) -> DataFrame:
     """CSV files with a header, as the wanted columns only: text is converted where it can be, and wanted
-    columns the files lack are null."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    have = {c.strip(): c for c in raw.columns}
-    cols = [F.col(f"`{have[f.name]}`").try_cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in schema.fields]
-    return raw.select(*cols, *([run_of(F.col("_metadata.file_path")).alias(run)] if run else []))
+    columns that a file lacks are null. Every file has its own header; files with equal ones are read together.
+
+    Finding the headers takes a scan of the lines; ``one_header`` spares it where all files are known to agree.
+    """
+    def part(files) -> DataFrame:
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(files)
+        have = {c.strip(): c for c in raw.columns}
+        cols = [F.col(f"`{have[f.name]}`").try_cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+                for f in schema.fields]
+        return raw.select(*cols, *([run_of(F.col("_metadata.file_path")).alias(run)] if run else []))
+
+    if one_header:
+        return part(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                                         F.monotonically_increasing_id().alias("i"))
+    first = lines.filter("b = 0 and trim(value) <> ''").groupBy("f").agg(F.min_by("value", "i").alias("h"))
+    files = first.groupBy("h").agg(F.collect_list("f").alias("f")).orderBy("h").collect()  # one entry per file, as the file index has anyway
+    if len(files) < 2:
+        return part(path)
+    whole = part(files[0]["f"])
+    for other in files[1:]:
+        whole = whole.unionByName(part(other["f"]))
+    return whole
 
 
 def read_jsonl(spark: SparkSession, path, schema: str, strict: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pulsegrid.operators.keys import col, join_on
 from pulsegrid.operators.ordered import fill, running
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
-EXPOSITION = r"^([A-Za-z_:][A-Za-z0-9_:]*)(\{.*\})?\s+(" + NUMBER + r")\s+(\d+)\s*$"
+EXPOSITION = r"^([A-Za-z_:][A-Za-z0-9_:]*)(\{.*\})?\s+(" + NUMBER + r")(?:\s+(\d+))?\s*$"
 LABEL = r'(\w+)="((?:\\.|[^"\\])*)"'
 BOARD_ALIASES = {  # Fixed values: names a board status may use for each field.
     "xrt_device_ready": ("xrt_device_ready", "device_ready", "xrt_ready"), "overlay_loaded": ("overlay_loaded", "is_overlay_loaded", "loaded"),
@@ -26,7 +26,8 @@ BOARD_HINTS = {"has_rfdc": "rfdc", "has_dma": "dma", "has_sysmon": "sysmon"}
 
 
 def exposition(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Metric exposition lines to (metric, labels, value, ts); comments and malformed lines are left out."""
+    """Metric exposition lines to (metric, labels, value, ts); comments and malformed lines are left out. Lines without a
+    timestamp have a null ``ts``; of a label given twice the last value holds."""
     x = F.col(line)
     rows = lines.filter(x.rlike(EXPOSITION) & ~x.startswith("#"))
     blob = F.regexp_extract(x, EXPOSITION, 2)
@@ -34,9 +35,12 @@ def exposition(lines: DataFrame, line: str = "value") -> DataFrame:
     raw = F.regexp_extract_all(blob, F.lit(LABEL), F.lit(2))
     values = F.transform(raw, lambda v: F.replace(F.replace(F.replace(F.replace(
         v, F.lit("\\\\"), F.lit("\0")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\")))
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    later = lambda i: F.slice(pairs, i + 2, F.size(pairs) - i - 1)
+    last = F.filter(pairs, lambda e, i: ~F.exists(later(i), lambda x: x["k"] == e["k"]))
     return rows.select(
         *[c for c in lines.columns if c != line], F.regexp_extract(x, EXPOSITION, 1).alias("metric"),
-        F.map_from_arrays(keys, values).alias("labels"), F.regexp_extract(x, EXPOSITION, 3).try_cast("double").alias("value"),
+        F.map_from_entries(last).alias("labels"), F.regexp_extract(x, EXPOSITION, 3).try_cast("double").alias("value"),
         F.timestamp_millis(F.regexp_extract(x, EXPOSITION, 4).try_cast("bigint")).cast("timestamp_ntz").alias("ts"))
 
 
@@ -52,7 +56,8 @@ def chart_latest(df: DataFrame, payload: str, keep: Sequence[str], newest: str =
     doc = F.from_json(F.col(payload), "labels array<string>, data array<array<double>>, units string")
     rows = df.select(*keep, doc.alias("__d"))
     row = F.try_element_at(F.col("__d.data"), F.lit(-1 if newest == "last" else 1))
-    pairs = F.slice(F.arrays_zip(F.col("__d.labels").alias("dimension"), row.alias("value")), 2, 10000)
+    every = F.arrays_zip(F.col("__d.labels").alias("dimension"), row.alias("value"))
+    pairs = F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))
     return rows.withColumn("__p", F.explode(F.when((F.size("__d.labels") >= 2) & row.isNotNull(), pairs))) \
         .select(*keep, F.col("__p.dimension").alias("dimension"), F.col("__p.value").alias("value"), F.col("__d.units").alias("units")) \
         .filter(F.col("dimension").isNotNull() & F.col("value").isNotNull())
@@ -74,7 +79,7 @@ def stations(lines: DataFrame, by: Sequence[str], order: Sequence[str], line: st
     position = F.struct(*[F.col(c) for c in order])
     return tagged.groupBy(*by, "station_no").agg(
         F.max("__mac").alias("mac"),
-        *[F.max_by(F.when(text.startswith(p), C.first_number(F.substring(text, len(p) + 1, 60))), F.when(text.startswith(p), position)).alias(n)
+        *[F.max_by(F.when(text.startswith(p), C.first_number(F.substring(text, F.lit(len(p) + 1), F.length(text)))), F.when(text.startswith(p), position)).alias(n)
           for n, p in fields.items()])
 
 
@@ -190,7 +195,7 @@ def tagged_json(lines: DataFrame, by: Sequence[str], order: Sequence[str], line:
     """Progress count and last summary of a log with tagged JSON lines. A last summary that cannot be read,
     or none at all, gives the missing-summary default."""
     x = C.strip(F.col(line))
-    body = lambda tag: C.strip(F.substring(x, len(tag) + 1, 1_000_000))
+    body = lambda tag: C.strip(F.substring(x, F.lit(len(tag) + 1), F.length(x)))
     good = lambda tag: x.startswith(tag) & F.json_object_keys(body(tag)).isNotNull()
     position = F.struct(*[F.col(c) for c in order])
     last = F.max_by(F.when(good(summary_tag), body(summary_tag)), F.when(x.startswith(summary_tag), position))
