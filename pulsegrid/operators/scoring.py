@@ -247,18 +247,20 @@ def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-def fit_forecaster(train: DataFrame, features: Sequence[str], target: str, kind: str = "ridge", seed: int = 7):
-    """A fitted pipeline (median imputation, scaling, ridge or boosted trees) that adds ``prediction``."""
+def fit_forecaster(train: DataFrame, features: Sequence[str], target: str, kind: str = "ridge", seed: int = 7, rounds: int = 200,
+                   step: float = 0.05, depth: int = 4):
+    """A fitted pipeline (median imputation, scaling, ``linear``, ``ridge`` or boosted ``trees``) that adds ``prediction``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
     rows = _doubles(train.filter(F.col(target).isNotNull()), [*features, target])
     if kind == "trees":
-        model = GBTRegressor(featuresCol="__x", labelCol=target, maxIter=20, stepSize=0.1, maxDepth=4, seed=seed)
+        model = GBTRegressor(featuresCol="__x", labelCol=target, maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
         return Pipeline(stages=[*_assembled(features, False), model]).fit(rows)
-    # An L2 penalty of 1 on the sum of squares is 1/n on the mean.
-    n = max(rows.count(), 1)
-    return Pipeline(stages=[*_assembled(features), LinearRegression(featuresCol="__z", labelCol=target, regParam=1.0 / n, solver="normal")]).fit(rows)
+    # A penalty of 1 on the sum of squares is 1/n on the mean; the solver works on the label over its deviation, which takes the penalty along.
+    n, spread = rows.agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop(target), F.lit(0.0))).first()
+    return Pipeline(stages=[*_assembled(features), LinearRegression(
+        featuresCol="__z", labelCol=target, regParam=(0.0 if kind == "linear" else spread / max(n, 1)), standardization=False, solver="normal")]).fit(rows)
 
 
 def forecast(model, df: DataFrame, features: Sequence[str], name: str) -> DataFrame:
@@ -266,7 +268,7 @@ def forecast(model, df: DataFrame, features: Sequence[str], name: str) -> DataFr
     return out.drop(*[c for c in out.columns if c.startswith("__i_") or c in ("__x", "__z")])
 
 
-def fit_warning(train: DataFrame, features: Sequence[str], label: str):
+def fit_warning(train: DataFrame, features: Sequence[str], label: str, iterations: int = 1000):
     """Balanced logistic classifier; one-class training gives that class as a constant.
 
     Returns a function that adds ``warning_score`` to a frame.
@@ -283,7 +285,7 @@ def fit_warning(train: DataFrame, features: Sequence[str], label: str):
     total = sum(counts.values())
     weight = F.when(F.col(label) == 1, total / (2.0 * counts[1.0])).otherwise(total / (2.0 * counts[0.0]))
     model = Pipeline(stages=[*_assembled(features), LogisticRegression(
-        featuresCol="__z", labelCol=label, weightCol="__w", maxIter=200, regParam=1.0 / total)]).fit(rows.withColumn("__w", weight))
+        featuresCol="__z", labelCol=label, weightCol="__w", maxIter=iterations, regParam=1.0 / total)]).fit(rows.withColumn("__w", weight))
 
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(_doubles(df, features)).withColumn("warning_score", vector_to_array("probability")[1])
