@@ -106,7 +106,7 @@ def class_id(members: np.ndarray) -> bytes:
     return mix(np.array([low, high], np.uint64)).tobytes()[:ID]
 
 
-def bitmap(members: np.ndarray, per: int = 2) -> np.ndarray:
+def bitmap(members: np.ndarray, per: int = 5) -> np.ndarray:
     """``per`` bits and more per member, hashed; a power of two, so that larger maps fold onto smaller ones."""
     bits = 1 << max(7, (per * len(members) - 1).bit_length())
     out = np.zeros(bits, bool)
