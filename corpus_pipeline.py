@@ -14,9 +14,11 @@ from pulsegrid.llm.shared import small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep all rules."""
+    """Documents that keep all rules. An explode drops the others: a filter would be pushed below the projection, and every rule would
+    compute the measures it names anew."""
     small_batches(spark)
-    return quality.judged(docs.select(F.struct("*").alias("__row"), "text")).filter("kept").select("__row.*")
+    judged = quality.judged(docs.select(F.struct("*").alias("__row"), "text"))
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
