@@ -1,7 +1,7 @@
 """Personal data in texts: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The patterns (e-mail, IP address, payment card, phone) always hold. Around other signs of such data (digits, at signs, spelled-out
-dots) the field scores whole segments of up to ``MAX_ATOMS`` atoms by features of the span: its shape, digits, checksum, cue words,
+dots, a spelled-out "at" before a dotted name) the field scores whole segments of up to ``MAX_ATOMS`` atoms by features of the span: its shape, digits, checksum, cue words,
 neighbours. Dynamic programming over the atoms, with entities of bounded length, picks boundaries and kinds together; spans
 that patterns found are walls it cannot cross. An entity must win by ``MARGIN``.
 
@@ -19,23 +19,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_ATOMS, MAX_CHARS, AROUND = 15, 80, 8
+MAX_ATOMS, MAX_CHARS = 15, 80
+CUED, REACH = 3, 240  # atoms before a segment whose cue words count; characters about a sign that are read, well over MAX_CHARS
 MARGIN = 1.0
-SLICE = 512
+PIECE, SLICE, AT_ONCE = 2 * MAX_ATOMS + 1, 512, 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_SIGN = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"\bdot\b", re.I)
+_SIGN = re.compile(r"[0-9]+|@")
+_DOT = re.compile(r"[dD][oO][tT](?<![^\W\d_]...)(?![^\W\d_])")
+_AT = re.compile(r"[aA][tT](?<![^\W\d_]..)(?![^\W\d_])[^\S\n]?[\])}>]?[^\S\n]{0,2}[^\W_][\w-]{0,62}(?:[\[({<]?\.[\])}>]?[^\W_][\w-]{0,62})")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 
 # Words that announce a kind of personal data.
@@ -104,50 +107,73 @@ _has_digit = re.compile("[0-9]").search
 
 @dataclass
 class Island:
-    """Atoms of a stretch of text around signs of personal data, and the segments that may be entities."""
+    """Atoms of a stretch of text around signs of personal data."""
     atoms: list[tuple[int, int, str]]  # start, end, kind: d digits, a letters, else the character
-    segments: list[tuple[int, int]]  # first atom, one after the last
+    marked: list[bool]  # atoms that are signs
 
 
-def islands(text: str, walls: list[tuple[int, int, int]]) -> Iterator[Island]:
-    """Stretches of ``AROUND`` atoms about every sign outside the walls; walls and line ends part stretches."""
-    signs = [m.start() for m in _SIGN.finditer(text)] if _SIGN.search(text) else []
-    if "dot" in text or "Dot" in text or "DOT" in text:
-        signs = sorted(signs + [m.start() for m in _SPELLED.finditer(text)])
-    w, done = 0, 0
-    for sign in signs:
-        while w < len(walls) and walls[w][1] <= sign:
+def signs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of runs of digits, at signs, spelled-out dots, and spelled-out "at" before a dotted name, ordered."""
+    out = [m.span() for m in _SIGN.finditer(text)]
+    spelled = [m.span() for m in _DOT.finditer(text)] + [(m.start(), m.start() + 2) for m in _AT.finditer(text)]
+    return sorted(out + spelled) if spelled else out
+
+
+def stretches(text: str, walls: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, set[int]]]:
+    """(start, end, starts of the signs): ``REACH`` characters about every sign outside the walls, joined where they meet; walls and
+    line ends part stretches. Linear in the text: signs and walls are passed once, in order."""
+    w, floor = 0, 0
+    low, high, inside = 0, -1, set()
+    for a, b in signs(text):
+        while w < len(walls) and walls[w][0] <= a:
+            floor = max(floor, walls[w][1])
             w += 1
-        if sign < done or any(a <= sign < b for a, b, _ in walls[max(0, w - 3):w + 4]):
+        if a < floor:
             continue
-        low = max([b for _, b, _ in walls[max(0, w - 4):w] if b <= sign] + [text.rfind("\n", 0, sign) + 1, done, sign - 240])
-        line_end = text.find("\n", sign, sign + 240)
-        high = min([a for a, _, _ in walls[w:w + 4] if a > sign] + [line_end if line_end >= 0 else len(text), sign + 240])
-        atoms = [(m.start(), m.end(), "d" if m.group()[0] in "0123456789" else "a" if m.group()[0].isalpha() else m.group()[0])
-                 for m in _ATOM.finditer(text, low, high)]
-        here = next(i for i, a in enumerate(atoms) if a[1] > sign)
-        first, last = max(0, here - AROUND), here
-        while last < len(atoms) and (last - here <= AROUND or atoms[last][2] in "d@"):
-            last += 1
-        atoms = atoms[first:last]
-        done = atoms[-1][1]
-        yield Island(atoms, candidates(text, atoms))
+        top = min(walls[w][0] if w < len(walls) else len(text), b + REACH)
+        end = text.find("\n", a, top)
+        first = max(floor, a - REACH, text.rfind("\n", max(0, a - REACH), a) + 1)
+        if first > high:
+            if inside:
+                yield low, high, inside
+            low, inside = first, set()
+        high = end if end >= 0 else top
+        inside.add(a)
+    if inside:
+        yield low, high, inside
 
 
-def candidates(text: str, atoms: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    marked = [k in "d@" or text[a:b].lower() == "dot" for a, b, k in atoms]
-    out = []
+def islands(text: str, walls: list[tuple[int, int, int]]) -> Iterator[Island]:
+    """The atoms about every sign: all that a segment with the sign can hold, and those that its features look at. Neighbourhoods that meet
+    are one island, so no segment crosses an island's edge."""
+    for low, high, inside in stretches(text, walls):
+        atoms = [(m.start(), m.end(), "d" if m.group()[0] in "0123456789" else "a" if m.group()[0].isalpha() else m.group()[0])
+                 for m in _ATOM.finditer(text, low, high)]
+        marked = [a in inside for a, _, _ in atoms]
+        first, last = 0, -1
+        for here in [k for k, is_sign in enumerate(marked) if is_sign]:
+            if here - MAX_ATOMS - CUED > last:
+                if last >= 0:
+                    yield Island(atoms[first:last], marked[first:last])
+                first = max(0, here - MAX_ATOMS - CUED)
+            last = min(len(atoms), here + MAX_ATOMS + 1)
+        if last >= 0:
+            yield Island(atoms[first:last], marked[first:last])
+
+
+def candidates(text: str, island: Island) -> Iterator[tuple[int, int]]:
+    """Segments that may be entities (first atom, one after the last), ordered."""
+    atoms, marked = island.atoms, island.marked
     for i, (start, _, kind) in enumerate(atoms):
         if kind not in "ad+(":
             continue
-        signs = 0
+        has_sign = False
         for j in range(i, min(i + MAX_ATOMS, len(atoms))):
             if j > i and atoms[j][0] - atoms[j - 1][1] > 2 or atoms[j][1] - start > MAX_CHARS:
                 break
-            signs += marked[j]
-            if signs and atoms[j][2] in "ad)":
-                out.append((i, j + 1))
-    return out
+            has_sign |= marked[j]
+            if has_sign and atoms[j][2] in "ad)":
+                yield i, j + 1
 
 
 def bucket(n: int, edges: Iterable[int]) -> int:
@@ -192,7 +218,7 @@ def features(text: str, island: Island, segment: tuple[int, int]) -> list[str]:
     right = island.atoms[j] if j < len(island.atoms) else None
     out.append(f"left{left[2] if left and left[1] == atoms[0][0] else ' '}")
     out.append(f"right{right[2] if right and right[0] == atoms[-1][1] else ' '}")
-    for a, b, _ in island.atoms[max(0, i - 3):i]:
+    for a, b, _ in island.atoms[max(0, i - CUED):i]:
         cue = _CUE.get(text[a:b].lower())
         if cue:
             out.append(f"cue {cue}")
@@ -260,27 +286,28 @@ def learn_field(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds:
     parsed, index = [], {}
     for text, spans in examples:
         for island in islands(text, []):
-            if not island.segments:
+            segments = list(candidates(text, island))
+            if not segments:
                 continue
-            rows = [[index.setdefault(n, len(index)) for n in features(text, island, s)] for s in island.segments]
+            rows = [[index.setdefault(n, len(index)) for n in features(text, island, s)] for s in segments]
             wanted = {(a, b): k for a, b, k in spans}
-            gold = [wanted.get((island.atoms[i][0], island.atoms[j - 1][1]), -1) for i, j in island.segments]
-            parsed.append((island, rows, np.array(gold)))
-    if not any((gold >= 0).any() for _, _, gold in parsed):
+            gold = [wanted.get((island.atoms[i][0], island.atoms[j - 1][1]), -1) for i, j in segments]
+            parsed.append((len(island.atoms), segments, rows, np.array(gold)))
+    if not any((gold >= 0).any() for *_, gold in parsed):
         return None
-    flat = np.concatenate([np.array(r) for _, rows, _ in parsed for r in rows])
-    owner = np.repeat(np.arange(sum(len(rows) for _, rows, _ in parsed)), [len(r) for _, rows, _ in parsed for r in rows])
-    gold = np.concatenate([g for _, _, g in parsed])
+    flat = np.concatenate([np.array(r) for _, _, rows, _ in parsed for r in rows])
+    owner = np.repeat(np.arange(sum(len(p[2]) for p in parsed)), [len(r) for p in parsed for r in p[2]])
+    gold = np.concatenate([g for *_, g in parsed])
     target = np.zeros((len(gold), len(KINDS)))
     target[gold >= 0, gold[gold >= 0]] = 1.0
-    cuts = np.cumsum([0] + [len(rows) for _, rows, _ in parsed])
+    cuts = np.cumsum([0] + [len(p[2]) for p in parsed])
     weights, scale = np.zeros((len(index), len(KINDS))), np.full((len(index), len(KINDS)), 1e-6)
     for _ in range(rounds):
         scores = np.zeros((len(gold), len(KINDS)))
         for k in range(len(KINDS)):
             scores[:, k] = np.bincount(owner, weights=weights[flat, k], minlength=len(gold))
         weight = np.logaddexp.reduce(scores, axis=1)
-        chance = np.concatenate([marginals(len(p[0].atoms), p[0].segments, weight[a:b])[0] for p, a, b in zip(parsed, cuts[:-1], cuts[1:])])
+        chance = np.concatenate([marginals(p[0], p[1], weight[a:b])[0] for p, a, b in zip(parsed, cuts[:-1], cuts[1:])])
         pull = target - chance[:, None] * np.exp(scores - weight[:, None])
         slope = np.zeros_like(weights)
         for k in range(len(KINDS)):
@@ -325,13 +352,24 @@ def all_spans(text: str | None, field: Field | None) -> tuple[list, list]:
     more = []
     if field is not None:
         for island in islands(text, base):
-            if island.segments:
-                scores = field.scores([features(text, island, s) for s in island.segments]) - MARGIN
-                if scores.max() > 0:
-                    more += [(island.atoms[i][0], island.atoms[j - 1][1], k) for i, j, k in best_segments(len(island.atoms), island.segments, scores)]
+            segments, scores = worthwhile(text, island, field)
+            if segments:
+                more += [(island.atoms[i][0], island.atoms[j - 1][1], k) for i, j, k in best_segments(len(island.atoms), segments, scores)]
     return base, sorted(base + more, key=lambda s: (s[0], s[2]))
 
 
+def worthwhile(text: str, island: Island, field: Field) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The segments that some kind scores above 0, and their scores: no other can be in the best parse. Features are dropped again every
+    ``AT_ONCE`` segments, as an island may be as long as its text."""
+    segments, kept, every = [], [], candidates(text, island)
+    while some := list(islice(every, AT_ONCE)):
+        scores = field.scores([features(text, island, s) for s in some]) - MARGIN
+        good = np.flatnonzero(scores.max(axis=1) > 0)
+        segments += [some[k] for k in good]
+        kept.append(scores[good])
+    return segments, np.concatenate(kept) if kept else np.zeros((0, len(KINDS)))
+
+
 # ---- Spark -------------------------------------------------------------------------------------------------------
 
 def snippets(df: DataFrame, text: str, key: str, max_docs: int, max_islands: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -348,7 +386,9 @@ def snippets(df: DataFrame, text: str, key: str, max_docs: int, max_islands: int
                     continue
                 spans = pattern_spans(t)
                 pieces = [(max(0, a - 60), min(len(t), b + 60)) for a, b, _ in spans]
-                pieces += [(max(0, i.atoms[0][0] - 20), min(len(t), i.atoms[-1][1] + 20)) for i in islands(t, spans)]
+                for i in islands(t, spans):  # in pieces of bounded length, as an island may be as long as its text
+                    parts = [i.atoms[k:k + PIECE] for k in range(0, len(i.atoms), PIECE)]
+                    pieces += [(max(0, p[0][0] - 20, p[-1][1] - REACH), min(len(t), p[-1][1] + 20)) for p in parts]
                 out += [t[a:b] for a, b in pieces]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["piece"])
 

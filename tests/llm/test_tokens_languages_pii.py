@@ -199,6 +199,46 @@ def test_field_keeps_base_spans_and_finds_more(spark):
         assert pii.all_spans(clean, field) == ([], [])
 
 
+@pytest.mark.parametrize("before", ["", "In 2021 write to ", "5 host name is now here ", "1 2 3 a b c d e f ", "room 12, "])
+def test_every_spelling_is_a_candidate_behind_a_number(before):
+    values = [("jane.roe@mail.example.com", 0), ("ab@c.org", 0), ("10.0.0.1", 1), ("192.168.12.200", 1), ("4111 1111 1111 1111", 2), ("+1 (620) 555-8424", 3)]
+    for value, kind in values:
+        for other, _ in pii.spellings(value, (0, len(value), kind)):
+            text = f"{before}{other} and so on\nnext line"
+            found = [text[i.atoms[a][0]:i.atoms[b - 1][1]] for i in pii.islands(text, []) for a, b in pii.candidates(text, i)]
+            assert other in found
+    for other in ("john [dot] smith [at] example [dot] com", "john dot smith at mail dot example dot com", "jane.roe (at) example.com", "jane.roe at example[.]com"):
+        text = before + other
+        assert other in [text[i.atoms[a][0]:i.atoms[b - 1][1]] for i in pii.islands(text, []) for a, b in pii.candidates(text, i)]
+
+
+def brute_candidates(text, walls):
+    """Segments of a whole line between walls that hold a sign, without any windows."""
+    marks = {a for a, _ in pii.signs(text)}
+    out, cuts = set(), sorted({0, len(text), *[x for a, b, _ in walls for x in (a, b)], *[x for m in re.finditer("\n", text) for x in m.span()]})
+    for low, high in zip(cuts, cuts[1:]):
+        if any(a <= low < b for a, b, _ in walls):
+            continue
+        atoms = [(m.start(), m.end(), "d" if m.group()[0] in "0123456789" else "a" if m.group()[0].isalpha() else m.group()[0]) for m in pii._ATOM.finditer(text, low, high)]
+        whole = pii.Island(atoms, [a in marks for a, _, _ in atoms])
+        out |= {(atoms[i][0], atoms[j - 1][1]) for i, j in pii.candidates(text, whole)}
+    return out
+
+
+def test_windows_lose_no_candidate_and_dense_numbers_stay_linear():
+    rng = random.Random(6)
+    bits = ["word", " ", " ", " ", "7", "2021", ".", " dot ", " at ", "x.org", "\n", "@", "(", ")", "-", "a@b.co", "10.0.0.1", "lorem ipsum dolor sit amet ", "é"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 120)))
+        walls = pii.pattern_spans(text)
+        got = [(i.atoms[a][0], i.atoms[b - 1][1]) for i in pii.islands(text, walls) for a, b in pii.candidates(text, i)]
+        assert len(got) == len(set(got)) and set(got) == brute_candidates(text, walls)
+    long = "12 ab " * 100_000 + "at-" * 100_000 + "\n" + "7" * 300_000
+    island, digits = pii.islands(long, [])
+    assert len(island.atoms) >= 200_000 and len(digits.atoms) == 1
+    assert [s for s in pii.candidates(long, digits)] == []
+
+
 def test_masking_and_tables_without_anything_to_learn(spark):
     assert pii.mask("mail a@b.co or +1 (620) 555-8424.", pii.pattern_spans("mail a@b.co or +1 (620) 555-8424.")) == "mail <EMAIL> or <PHONE>."
     assert pii.mask(None, []) is None
