@@ -232,12 +232,14 @@ def evaluate_forecasts(df: DataFrame, by: Sequence[str], actual: str, prediction
     return forecast_metrics(long, [*by, "model"], actual, "predicted")
 
 
-def _assembled(features: Sequence[str], scale: bool = True):
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-
-    filled = [f"__i_{f}" for f in features]
-    stages = [Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=1e-4),
-              VectorAssembler(inputCols=filled, outputCol="__x")]
+def _assembled(rows: DataFrame, features: Sequence[str], scale: bool = True):
+    """Stages that fill gaps by the exact medians of ``rows``, assemble and scale. A feature without any value is 0 everywhere."""
+    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+
+    medians = quantiles(rows, [], {f: (f, .5) for f in features}).first() if features else None
+    fill_in = [f"coalesce(nanvl(`{f}`, NULL), CAST('{0.0 if medians is None or medians[f] is None else medians[f]!r}' AS DOUBLE)) AS `__i_{f}`" for f in features]
+    stages = [SQLTransformer(statement=f"SELECT {', '.join(['*', *fill_in])} FROM __THIS__"),
+              VectorAssembler(inputCols=[f"__i_{f}" for f in features], outputCol="__x")]
     if scale:
         stages.append(StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True))
     return stages
@@ -256,10 +258,10 @@ def fit_forecaster(train: DataFrame, features: Sequence[str], target: str, kind:
     rows = _doubles(train.filter(F.col(target).isNotNull()), [*features, target])
     if kind == "trees":
         model = GBTRegressor(featuresCol="__x", labelCol=target, maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
-        return Pipeline(stages=[*_assembled(features, False), model]).fit(rows)
+        return Pipeline(stages=[*_assembled(rows, features, False), model]).fit(rows)
     # A penalty of 1 on the sum of squares is 1/n on the mean; the solver works on the label over its deviation, which takes the penalty along.
     n, spread = rows.agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop(target), F.lit(0.0))).first()
-    return Pipeline(stages=[*_assembled(features), LinearRegression(
+    return Pipeline(stages=[*_assembled(rows, features), LinearRegression(
         featuresCol="__z", labelCol=target, regParam=(0.0 if kind == "linear" else spread / max(n, 1)), standardization=False, solver="normal")]).fit(rows)
 
 
@@ -284,7 +286,7 @@ def fit_warning(train: DataFrame, features: Sequence[str], label: str, iteration
         return lambda df: df.withColumn("warning_score", F.lit(constant))
     total = sum(counts.values())
     weight = F.when(F.col(label) == 1, total / (2.0 * counts[1.0])).otherwise(total / (2.0 * counts[0.0]))
-    model = Pipeline(stages=[*_assembled(features), LogisticRegression(
+    model = Pipeline(stages=[*_assembled(rows, features), LogisticRegression(
         featuresCol="__z", labelCol=label, weightCol="__w", maxIter=iterations, regParam=1.0 / total)]).fit(rows.withColumn("__w", weight))
 
     def score(df: DataFrame) -> DataFrame:

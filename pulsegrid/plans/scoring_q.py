@@ -147,10 +147,10 @@ th AS (SELECT n AS stable_rows, greatest(l99, lm + 6 * CASE WHEN ld > 0 THEN ld
 dg AS (SELECT gr.*, coalesce(lat >= latency_threshold, false) OR sr <= success_low OR fr >= fail_high OR tr >= timeout_high AS degraded FROM gr, th)"""
 
 
-def _service(t):
-    """Daily service grid per run."""
+def _service(t, step=DAY):
+    """Service grid per run, daily unless ``step`` says otherwise; ``d`` counts the steps."""
     from pulsegrid.operators.quantiles import summarise
-    r = requests(t).withColumn("d", F.floor(F.col("us") / DAY))
+    r = requests(t).withColumn("d", F.floor(F.col("us") / step))
     return M.cut(summarise(r, ["run_id", "d"], {
         "sr": F.avg(F.col("ok").cast("double")), "fr": F.avg((~F.col("ok")).cast("double")), "tr": F.avg((~F.col("ok") & (F.col("k") < 30)).cast("double")),
         "load": F.count(F.lit(1)).cast("double"), "temp": F.avg("k"), "errors": F.sum((~F.col("ok")).cast("double"))}, {"lat": ("latency_ms", .5)}))
@@ -187,13 +187,24 @@ def _forecast_rows(t):
 FEATURES = ["lat", "lat_lag_1", "lat_lag_2", "lat_lag_5", "lat_slope_5", "sr", "fr", "load", "temp"]
 
 
+HORIZONS = [10, 30, 60]
+FORECASTS = {"persistence": "persistence", "rolling_median": "rolling_median", "ewma": "ewma", "linear": "linear", "ridge": "ridge", "boosted_trees": "trees"}
+
+
 @query("m08_fitted_forecasters")
 def _(t):
-    rows = _forecast_rows(t)
-    train, test = rows.filter("NOT is_test"), rows.filter("is_test AND future IS NOT NULL")
-    for kind in ("ridge", "trees"):
-        test = M.forecast(M.fit_forecaster(train, FEATURES, "future", kind), test, FEATURES, kind)
-    return rounded(M.evaluate_forecasts(test, [], "future", {"persistence": "persistence", "ewma": "ewma", "ridge": "ridge", "boosted_trees": "trees"}), 4)
+    """Every forecaster at every horizon, in steps of the hourly grid: runs of the shared tables have about 27 days, too few for the longer ones."""
+    rows = Q.lags_and_slopes(_service(t, HOUR), BY, ["d"], "lat", [1, 2, 5], [5], width=192, block=SMALL)
+    rows = Q.exponential_mean(rows, BY, ["d"], "lat", "ewma", 15, width=192)
+    rows = M.cut(join_on(rows, _split(t), ["run_id"]))
+    parts = []
+    for horizon in HORIZONS:
+        ahead = M.cut(Q.forecast_frame(rows, BY, ["d"], "lat", horizon, width=192, block=SMALL).withColumn("rolling_median", F.coalesce("rolling_median", "lat")))
+        train, test = ahead.filter("NOT is_test"), ahead.filter("is_test AND future IS NOT NULL")
+        for kind in ("linear", "ridge", "trees"):
+            test = M.forecast(M.fit_forecaster(train, FEATURES, "future", kind), test, FEATURES, kind)
+        parts.append(M.evaluate_forecasts(test, [], "future", FORECASTS).select(F.lit(horizon).alias("horizon"), "*"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
 
 
 def _warning_rows(t):
@@ -256,12 +267,13 @@ def _(t):
 
 @query("m13_normal_behaviour")
 def _(t):
-    g = _service(t).withColumnRenamed("lat", "latency").withColumnRenamed("sr", "success_rate")
-    rows, names = M.normal_features(g, BY, ["d"], ["latency", "success_rate", "load"], [0, 1, 3, 5], 1, width=8, block=SMALL)
-    rows = M.cut(join_on(rows, M.chronological_split(requests(t), "run_id", "us", width=HOUR), ["run_id"]))
+    """Lags, horizon and sizes of the trees are the reference's; on the hourly grid, as lag 30 is longer than the runs have days."""
+    g = _service(t, HOUR).withColumnRenamed("lat", "latency").withColumnRenamed("sr", "success_rate")
+    rows, names = M.normal_features(g, BY, ["d"], ["latency", "success_rate", "load"], [0, 1, 3, 5, 10, 30], 10, width=192, block=SMALL)
+    rows = M.cut(join_on(rows, _split(t), ["run_id"]))
     targets = ["latency", "success_rate", "load"]
     for y in targets:
-        model = M.fit_forecaster(rows.filter("NOT is_test"), names, f"target_{y}", "trees")
+        model = M.fit_forecaster(rows.filter("NOT is_test"), names, f"target_{y}", "trees", rounds=400, step=0.03, depth=5)
         rows = M.forecast(model, rows, names, f"pred_{y}").withColumn(f"res_{y}", F.col(f"target_{y}") - F.col(f"pred_{y}"))
     rows = M.cut(rows)
     limits = M.behaviour_thresholds(rows.filter("NOT is_test"), {y: f"res_{y}" for y in targets})

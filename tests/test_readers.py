@@ -62,3 +62,42 @@ def test_fits_match_the_normal_equations(spark, kind, penalty):
     z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
     w = np.linalg.solve(z.T @ z + penalty * np.eye(3), z.T @ (y - y.mean()))
     assert np.abs(np.array(got) - (z @ w + y.mean())).max() < 1e-6
+
+
+def test_gaps_are_filled_by_the_exact_median(spark):
+    from pulsegrid.operators import scoring
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (3.0, nan), (4.0, None), (None, None), (nan, nan)], "a double, b double")
+    impute = scoring._assembled(df, ["a", "b"], False)[0]
+    assert [tuple(r) for r in impute.transform(df).select("__i_a", "__i_b").collect()] == [(1.0, 0.0), (2.0, 0.0), (3.0, 0.0), (4.0, 0.0), (2.5, 0.0), (2.5, 0.0)]
+
+
+def _fits(spark, monkeypatch, name):
+    """The query with every fit noted and small: its rows, and (target, kind, features, sizes) of the fits."""
+    from pulsegrid.operators import scoring
+    from pulsegrid.plans import catalog
+
+    fit, seen = scoring.fit_forecaster, []
+
+    def small(train, features, target, kind="ridge", **sizes):
+        seen.append((target, kind, list(features), sizes))
+        return fit(train, features, target, "ridge")
+    monkeypatch.setattr(scoring, "fit_forecaster", small)
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect(), seen
+
+
+def test_forecasters_run_at_every_horizon(spark, monkeypatch):
+    rows, seen = _fits(spark, monkeypatch, "m08_fitted_forecasters")
+    models = {"persistence", "rolling_median", "ewma", "linear", "ridge", "boosted_trees"}
+    assert {(r["horizon"], r["model"]) for r in rows} == {(h, m) for h in (10, 30, 60) for m in models}
+    assert all(r["n"] > 0 for r in rows)
+    assert [kind for _, kind, _, _ in seen] == ["linear", "ridge", "trees"] * 3
+
+
+def test_normal_behaviour_uses_all_lags_and_full_trees(spark, monkeypatch):
+    rows, seen = _fits(spark, monkeypatch, "m13_normal_behaviour")
+    assert rows and len(seen) == 3
+    for _, kind, features, sizes in seen:
+        assert kind == "trees" and sizes == {"rounds": 400, "step": 0.03, "depth": 5}
+        assert {f"latency_lag{k}" for k in (0, 1, 3, 5, 10, 30)} <= set(features)
