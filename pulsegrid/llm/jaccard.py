@@ -34,6 +34,7 @@ from .shared import BLANKS, stored
 
 LONG, LOCAL_LONG = 128, 64  # longest list that is compared; longest of one level of size in a slice
 BLOCK, BLOCK_MEMBERS = 256, 1 << 18
+BUCKET_MEMBERS = 800_000  # members of all sets for each bucket
 FAN = 8
 FINE = 8  # bits per member of the bitmaps that part large groups
 LEADERS = 8  # one class in so many of a first block leads
@@ -460,13 +461,18 @@ def _block_key(c, i, d, j):
     return F.concat_ws("|", F.hex("comp"), *[x.cast("string") for x in (c, i, d, j)])
 
 
+def bucket_count(of_docs: DataFrame) -> int:
+    """Buckets by the summed sizes of the sets, however many rows they come from."""
+    return min(1 << 16, max(16, (of_docs.agg(F.sum("n")).first()[0] or 0) // BUCKET_MEMBERS))
+
+
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, tx, n_shingles, class_id, group_id, component_id``: every document with the hash of its text, the size of its set, its class
     of equal sets, its group of linked classes, and the smallest id in the group."""
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).cast("binary").alias("text"))
-    buckets = min(1 << 16, max(16, df.count() // 2000))
     late = df.sparkSession.sparkContext.broadcast(frequent(docs, width))
     of_docs = stored(profiles(docs, width), "profiles")
+    buckets = bucket_count(of_docs)
     classes = of_docs.filter("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     of_docs = of_docs.select("doc_id", "tx", "n", "cid")
 
@@ -504,8 +510,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
 
 def _sets_of(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, fine: bool) -> DataFrame:
-    """``cid, n`` and ``bits`` (fine bitmaps) or ``members`` of the classes of ``live``, from one document of each, read again. Documents that
-    only seem to be wanted bring classes that nobody asks for; joins on the class drop them."""
+    """``cid, n`` and ``bits`` (fine bitmaps) or ``members`` of the classes of ``live``, one row of each, from documents read again. Rows that
+    repeat both id and text, and documents that only seem to be wanted, pass the filter too: of a class one row is kept, where it was read and then
+    over all, and joins on the class drop the classes that nobody asks for."""
     chosen = (of_docs.join(live.select("cid"), "cid").groupBy("cid")
               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("r"))
               .select(F.xxhash64("r.doc_id", "r.tx").alias("h")))
@@ -521,7 +528,8 @@ def _sets_of(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, f
                     [pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([(bitmap(s, FINE) if fine else s).tobytes() for s in sets], pa.binary())], names=["cid", "n", name])
 
-    return docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(members, f"cid binary, n bigint, {name} binary")
+    sets = docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(members, f"cid binary, n bigint, {name} binary")
+    return sets.groupBy("cid").agg(F.first("n").alias("n"), F.first(name).alias(name))
 
 
 def _big(live: DataFrame) -> DataFrame:

@@ -104,6 +104,20 @@ def test_one_document_of_each_group(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_repeated_rows_bring_one_set_of_a_class(spark):
+    docs = spark.range(40).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(" ".join(f"w{i}" for i in range(30))).alias("text")).repartition(4)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tx"), F.col("text").cast("binary").alias("text"))
+    of_docs = jaccard.profiles(docs, 5).cache()
+    live = of_docs.select("cid", "n").distinct()
+    for fine in (True, False):
+        assert [(r["cid"], r["n"]) for r in jaccard._sets_of(docs, of_docs, live, 5, fine).collect()] == [tuple(live.first())]
+
+
+def test_buckets_follow_the_sizes_of_the_sets(spark):
+    few, many = (spark.createDataFrame(rows, "n bigint") for rows in ([(40 * jaccard.BUCKET_MEMBERS,), (None,)], [(1,)] * 1000))
+    assert [jaccard.bucket_count(x) for x in (few, many, few.limit(0))] == [40, 16, 16]
+
+
 def test_links_of_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.linked(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
