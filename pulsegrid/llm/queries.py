@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import jaccard, langid, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
+from . import jaccard, langid, merkle, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
 from .shared import new_folder, small_batches, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,73 @@ SELECT s.doc_id, len(any_value(g))::BIGINT AS n_shingles, min(r.j) AS component_
 def op5_signature_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose five-word shingles overlap by 80 per cent and more."""
     return jaccard.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def _crc_table() -> list[int]:
+    def entry(c: int) -> int:
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+    return [entry(i) for i in range(256)]
+
+
+def crc32_sql(text: str, table: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes; ``table`` is a column with the 256 values of ``_crc_table``."""
+    return (f"xor(list_reduce(list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT), "
+            f"lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)")
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """The nodes of ``levels`` levels over ``name``0 (k, pos, n, d); trees that are done stay as they are."""
+    return ",\n".join(
+        f"{name}{i + 1} AS (SELECT k, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d FROM {name}{i} GROUP BY k, pos // 16, n)"
+        for i in range(levels))
+
+
+def _siblings_sql(name: str, levels: int) -> str:
+    return ",\n".join(
+        f"{name}s{i} AS (SELECT k, pos, n, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+        f"coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i} WINDOW w AS (PARTITION BY k, pos // 16 ORDER BY pos))"
+        for i in range(levels))
+
+
+def _fold_sql(steps: list[tuple[str, str]]) -> str:
+    """One CTE per level: the node ``f`` so far and the siblings ``p`` met."""
+    out = []
+    for i, (name, on) in enumerate(steps):
+        out.append(f"x{i + 1} AS (SELECT x.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || x.f || s.r) ELSE x.f END AS f, x.p || CASE WHEN s.n > 1 THEN s.l || s.r ELSE '' END AS p) "
+                   f"FROM x{i} x JOIN {name} s ON {on})")
+    return ",\n".join(out)
+
+
+_TEXT_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_TEXT_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+GROUP_LEVELS, ROOT_LEVELS = 5, 3  # of the SQL: up to 16^5 rows of a source, 16^3 sources
+
+
+@query("op13_merkle_manifest", sql=f"""
+WITH t AS (SELECT {_crc_table()} AS t),
+c AS (SELECT doc_id AS cid, {crc32_sql("doc_id::VARCHAR", "t")} AS c FROM (SELECT DISTINCT doc_id FROM documents), t),
+h AS (SELECT d.*, sha256({_LEAF.format(text='text')}) AS leaf, CASE WHEN c.c % 5 = 0 THEN sha256({_LEAF.format(text=f"translate(text, '{_UP}', '{_LOW}')")}) END AS bad
+  FROM documents d LEFT JOIN c ON doc_id = cid),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM h),
+a0 AS (SELECT coalesce('1' || source, '0') AS k, pos, n, leaf AS d FROM d),
+{_levels_sql("a", GROUP_LEVELS)},
+{_siblings_sql("a", GROUP_LEVELS)},
+subs AS (SELECT k AS src, d, row_number() OVER (ORDER BY encode(k)) - 1 AS spos, count(*) OVER () AS n FROM a{GROUP_LEVELS}),
+b0 AS (SELECT 0 AS k, spos AS pos, n, d FROM subs),
+{_levels_sql("b", ROOT_LEVELS)},
+{_siblings_sql("b", ROOT_LEVELS)},
+x0 AS (SELECT d.doc_id, d.leaf, subs.d AS subroot, d.pos, subs.src, subs.spos, coalesce(d.bad, d.leaf) AS f, '' AS p FROM d JOIN subs ON subs.src = coalesce('1' || source, '0')),
+{_fold_sql([*[(f"as{i}", f"s.k = x.src AND s.pos = x.pos // {16 ** i}") for i in range(GROUP_LEVELS)], *[(f"bs{i}", f"s.pos = x.spos // {16 ** i}") for i in range(ROOT_LEVELS)]])}
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = root.d AS verified FROM x{GROUP_LEVELS + ROOT_LEVELS}, b{ROOT_LEVELS} root""")
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and root; of every fifth, by checksum, the text is lower-cased and then checked against the original's proof."""
+    docs = table(spark, folder, "documents")
+    changed = merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.translate("text", _UP, _LOW)])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, changed)
+    out = merkle.manifest(docs, "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], carry=[F.col("doc_id"), tampered.alias("tampered")])
+    refolded = out.withColumn("folded_root", merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("proof")))
+    return refolded.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                           (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.operators.keys import scratch_folder
 
@@ -43,3 +43,20 @@ def words(text: Column) -> Column:
 
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``df`` with ``pos``, the position of every row in its group (from 0), and ``n``, the rows of the group.
+
+    Rows are parted by ranges of ``by`` and ``order``, each task counts its own, and a row per (group, task) says how many come before: a group
+    of any size is spread over tasks. Rows that are equal in ``by`` and ``order`` stand in some order. The result is stored: a second
+    partitioning would draw its ranges anew.
+    """
+    ranges = [*by, *order]
+    parts = df.repartitionByRange(*ranges).sortWithinPartitions(*ranges)
+    held = stored(parts.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "numbered")
+    here = held.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(here.select(*by, "__part", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
+                                F.sum("__rows").over(Window.partitionBy(*by)).alias("n")), "starts")
+    return held.join(starts, [*by, "__part"]).withColumn("pos", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
