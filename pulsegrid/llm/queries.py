@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import jaccard, langid, merkle, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
+from . import importance, jaccard, langid, merkle, mix, pair_bpe, pii, quality, shards, token_count, topk, warc_zip
 from .shared import new_folder, small_batches, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +252,35 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     refolded = out.withColumn("folded_root", merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("proof")))
     return refolded.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
                            (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_RUNS = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+
+
+def _runs_sql(table: str, rid: str) -> str:
+    """Every text's words and its runs of one to three words."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = ", ".join(f"CASE WHEN len(w) >= {n} THEN {_RUNS.format(n=n)} ELSE [] END" for n in (1, 2, 3))
+    return f"(SELECT rid, w, flatten([{runs}]) AS fs FROM (SELECT {rid} AS rid, {words} AS w FROM {table}))"
+
+
+@query("op12_importance_resampling", sql=f"""
+WITH t AS (SELECT {_crc_table()} AS t),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS did, * FROM documents),
+d AS MATERIALIZED (SELECT rid AS did, len(w) AS n_words, fs FROM {_runs_sql("docs", "did")}),
+df AS MATERIALIZED (SELECT did, unnest(fs) AS f FROM d), bf AS MATERIALIZED (SELECT unnest(fs) AS f FROM {_runs_sql("benchmark", "item_id")}),
+c AS MATERIALIZED (SELECT f, {crc32_sql("f", "t")} % 10000 AS b FROM (SELECT f FROM df UNION SELECT f FROM bf), t),
+s AS (SELECT b, count(*) AS n FROM df JOIN c USING (f) GROUP BY b), u AS (SELECT b, count(*) AS n FROM bf JOIN c USING (f) GROUP BY b),
+g AS MATERIALIZED (SELECT k.b, floor(1000 * ln((coalesce(u.n, 0) + 1) * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM bf) + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS b) k LEFT JOIN s USING (b) LEFT JOIN u USING (b)),
+x AS (SELECT did, sum(gain)::BIGINT AS weight, count(*) AS n FROM df JOIN c USING (f) JOIN g USING (b) GROUP BY did),
+y AS (SELECT doc_id, n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs JOIN d USING (did) LEFT JOIN x USING (did)),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_words >= 20) OVER () AS able FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * able // 100 THEN r END AS rank FROM z""")
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of the documents of 20 words and more, drawn by their likeness to the benchmark's texts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = importance.resampled(docs, table(spark, folder, "benchmark").select("text"))
+    return out.select("row.doc_id", "n_features", "weight", "score", "rank")
