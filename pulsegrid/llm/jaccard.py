@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
@@ -39,6 +40,7 @@ FAN = 8
 FINE = 8  # bits per member of the bitmaps that part large groups
 LEADERS = 8  # one class in so many of a first block leads
 ID = 12  # bytes of a class id
+PIECE = 1 << 19  # bytes of text that are taken apart at once
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -61,30 +63,79 @@ def size_level(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / math.log(100 / percent)).astype(np.uint8)
 
 
+def _parts(texts: list[bytes | None], piece: int) -> Iterator[tuple[int, memoryview]]:
+    """Every text in parts of at most ``piece`` bytes, cut at blanks; a word longer than that is a part of its own."""
+    for which, text in enumerate(texts):
+        view, at = memoryview(text or b""), 0
+        while at < len(view):
+            upto = min(len(view), at + piece)
+            if upto < len(view):
+                blanks = np.flatnonzero(_BLANK[np.frombuffer(view[at:upto], np.uint8)])
+                if len(blanks):
+                    upto = at + int(blanks[-1]) + 1
+                else:
+                    while upto < len(view) and not len(blanks):
+                        blanks = np.flatnonzero(_BLANK[np.frombuffer(view[upto:upto + 4096], np.uint8)])
+                        upto = min(len(view), upto + (int(blanks[0]) if len(blanks) else 4096))
+            yield which, view[at:upto]
+            at = upto
+
+
+def _long_word(view: memoryview, piece: int) -> np.uint64:
+    """The hash of one word of any length."""
+    base, total = 0x100000001B3, np.zeros(1, np.uint64)
+    for at in range(0, len(view), piece):
+        values = _BYTE[_SMALL[np.frombuffer(view[at:at + piece], np.uint8)]]
+        values *= np.cumprod(np.full(len(values), base, np.uint64))
+        total += np.add.reduce(values, keepdims=True) * np.uint64(pow(base, at, 1 << 64))
+    return mix(total + np.uint64(len(view)))[0]
+
+
+def word_hashes(texts: list[bytes | None], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, text after text, and how many each text has. At most about ``piece`` bytes are taken apart at once."""
+    counts, out, held, size = np.zeros(len(texts), np.int64), [], [], 0
+
+    def hashed() -> None:
+        nonlocal held, size
+        flat = _SMALL[np.frombuffer(b" ".join([b"", *[v for _, v in held], b""]), np.uint8)]
+        begins = np.cumsum([1] + [len(v) + 1 for _, v in held[:-1]])
+        solid = ~_BLANK[flat]
+        edge = np.diff(solid.view(np.int8))
+        starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        if len(starts):
+            lengths = ends - starts
+            begin = np.cumsum(lengths) - lengths
+            values = _BYTE[flat[solid]]
+            values *= np.cumprod(np.full(int(lengths.max()), 0x100000001B3, np.uint64))[np.arange(len(values)) - np.repeat(begin, lengths)]
+            out.append(mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64)))
+            owner = np.array([w for w, _ in held])[np.searchsorted(begins, starts, side="right") - 1]
+            np.add.at(counts, owner, 1)
+        held, size = [], 0
+
+    for which, view in _parts(texts, piece):
+        if held and size + len(view) > piece:
+            hashed()
+        if len(view) > piece:
+            out.append(np.array([_long_word(view, piece)], np.uint64))
+            counts[which] += 1
+            continue
+        held.append((which, view))
+        size += len(view)
+    if held:
+        hashed()
+    return np.concatenate([np.zeros(0, np.uint64), *out]), counts
+
+
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
-    flat = _SMALL[np.frombuffer(b" " + b" ".join(t or b"" for t in texts) + b" ", np.uint8)]
-    text_at = np.cumsum(np.concatenate([[1], sizes[:-1] + 1])) if len(sizes) else np.zeros(0, np.int64)
-    solid = ~_BLANK[flat]
-    edge = np.diff(solid.view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    lengths = ends - starts
-    begin = np.cumsum(lengths) - lengths
-    letters = flat[solid]
-    power = np.cumprod(np.full(int(lengths.max()), 0x100000001B3, np.uint64))
-    values = _BYTE[letters] * power[np.arange(len(letters)) - np.repeat(begin, lengths)]
-    word = mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
-    owner = np.searchsorted(text_at, starts, side="right") - 1
-    counts = np.bincount(owner, minlength=len(texts))
+    word, counts = word_hashes(texts)
     factor = np.uint64(0xD6E8FEB86659FD93)
     out, at = [], 0
     if len(word) >= width:
         rolled = np.zeros(len(word) - width + 1, np.uint64)
         for k in range(width):
-            rolled = rolled * factor + word[k:len(word) - width + 1 + k]
+            rolled *= factor
+            rolled += word[k:len(word) - width + 1 + k]
         rolled = mix(rolled + np.uint64(width))
     for n in counts.tolist():
         if n >= width:
@@ -107,7 +158,7 @@ def class_id(members: np.ndarray) -> bytes:
     return mix(np.array([low, high], np.uint64)).tobytes()[:ID]
 
 
-def bitmap(members: np.ndarray, per: int = 5) -> np.ndarray:
+def bitmap(members: np.ndarray, per: int = 3) -> np.ndarray:
     """``per`` bits and more per member, hashed; a power of two, so that larger maps fold onto smaller ones."""
     bits = 1 << max(7, (per * len(members) - 1).bit_length())
     out = np.zeros(bits, bool)
@@ -155,12 +206,22 @@ class Tree:
         return i, j
 
 
-def ordered_tree(bits: list[np.ndarray], sizes: np.ndarray) -> tuple[Tree, np.ndarray]:
-    """A tree over all leaves; near sizes and maps with the same low bits lie side by side. Returns the leaves' order too."""
-    least = min(len(b) for b in bits)
-    maps = np.stack([folded(b, least) for b in bits])
-    order = np.lexsort((maps[:, 0], sizes))
-    return Tree(maps[order], sizes[order]), order
+def near_pairs(bits: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may reach the similarity, from one tree for each length of bitmap: over the maps of that length and those of as many more bits as a similar set may have, folded (twice as many,
+    from a similarity of a half). No small set among large ones makes their maps coarser. In each tree near sizes and maps with the same low bits
+    lie side by side."""
+    lengths = np.array([len(b) for b in bits])
+    reach = 1 << max(1, math.ceil(math.log2(100 / percent)))
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero((lengths >= length) & (lengths <= reach * length))
+        if len(at) < 2:
+            continue
+        maps = np.stack([folded(bits[k], length) for k in at.tolist()])
+        order = np.lexsort((maps[:, 0], sizes[at]))
+        i, j = Tree(maps[order], sizes[at][order]).pairs(percent)
+        i, j = at[order[i]], at[order[j]]
+        own = (lengths[i] == length) | (lengths[j] == length)  # longer maps meet in their own tree
+        yield i[own], j[own]
 
 
 class Groups:
@@ -201,7 +262,7 @@ _PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("members"
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each stay near ``size`` bytes."""
     for batch in batches:
-        lengths = np.array([len(t) if t else 0 for t in batch.column("text").to_pylist()], np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < batch.num_rows:
             upto = min(rows, int(np.searchsorted(np.cumsum(lengths[at:at + rows]), size)) + 1)
@@ -372,14 +433,13 @@ def candidate_edges(percent: int):
         maps = rows.column("bits").to_pylist()
         side = rows.column("side").to_numpy()[at] if "side" in rows.column_names else np.zeros(len(at), int)
         across = bool((side == 0).any() and (side == 1).any())
-        tree, order = ordered_tree([np.frombuffer(maps[k], np.uint64) for k in at], rows.column("n").to_numpy()[at])
         groups = Groups(len(ids))
-        i, j = tree.pairs(percent)
-        for a, b in zip(order[i].tolist(), order[j].tolist()):
-            if not across or side[a] != side[b]:
-                groups.join(a, b)
-                if groups.left == 1:
-                    break
+        for i, j in near_pairs([np.frombuffer(maps[k], np.uint64) for k in at], rows.column("n").to_numpy()[at], percent):
+            for a, b in zip(i.tolist(), j.tolist()):
+                if not across or side[a] != side[b]:
+                    groups.join(a, b)
+                    if groups.left == 1:
+                        return _edges(ids, groups)
         return _edges(ids, groups)
     return work
 
@@ -395,14 +455,13 @@ def exact_edges(percent: int):
         sets = [np.frombuffer(held[k], np.uint64) for k in at]
         side = rows.column("side").to_numpy()[at]
         across = bool((side == 0).any() and (side == 1).any())
-        tree, order = ordered_tree([bitmap(s) for s in sets], np.array([len(s) for s in sets]))
         groups = Groups(len(ids))
-        i, j = tree.pairs(percent)
-        for a, b in zip(order[i].tolist(), order[j].tolist()):
-            if (not across or side[a] != side[b]) and groups.of(a) != groups.of(b) and similar(sets[a], sets[b], percent):
-                groups.join(a, b)
-                if groups.left == 1:
-                    break
+        for i, j in near_pairs([bitmap(s) for s in sets], np.array([len(s) for s in sets]), percent):
+            for a, b in zip(i.tolist(), j.tolist()):
+                if (not across or side[a] != side[b]) and groups.of(a) != groups.of(b) and similar(sets[a], sets[b], percent):
+                    groups.join(a, b)
+                    if groups.left == 1:
+                        return _edges(ids, groups)
         return _edges(ids, groups)
     return work
 

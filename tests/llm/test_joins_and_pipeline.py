@@ -138,13 +138,27 @@ def test_tree_bounds_lose_no_pair():
     for _ in range(12):
         base = rng.integers(0, 2 ** 63, rng.integers(5, 300)).astype(np.uint64)
         sets += [np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 2 ** 63, 4).astype(np.uint64)])) for _ in range(9)]
-    tree, order = jaccard.ordered_tree([jaccard.bitmap(s) for s in sets], np.array([len(s) for s in sets]))
-    i, j = tree.pairs(80)
-    found = {tuple(sorted(p)) for p in zip(order[i].tolist(), order[j].tolist())}
+    sizes = np.array([len(s) for s in sets])
+    found = {tuple(sorted(p)) for i, j in jaccard.near_pairs([jaccard.bitmap(s) for s in sets], sizes, 80) for p in zip(i.tolist(), j.tolist())}
     real = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jaccard.similar(sets[a], sets[b], 80)}
     assert real and real <= found and len(found) < len(sets) ** 2 / 8
 
 
+def test_small_sets_do_not_make_the_maps_of_large_ones_coarser():
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 2 ** 63, 2000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 2 ** 63, 2000).astype(np.uint64)])) for _ in range(40)] + [shared[:20], shared[:5]]
+    assert not sum(len(i) for i, _ in jaccard.near_pairs([jaccard.bitmap(s) for s in sets], np.array([len(s) for s in sets]), 80))
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1000])
+def test_words_are_hashed_alike_in_pieces(piece):
+    rng = random.Random(piece)
+    texts = [None, b"", b" \n ", b"A b c d E f", b"x" * 300 + b" y " * 40 + b"z" * 3000, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(500)).encode(), b"q" * 100]
+    want, got = jaccard.word_hashes(texts), jaccard.word_hashes(texts, piece)
+    assert (want[0] == got[0]).all() and want[1].tolist() == got[1].tolist() == [len((t or b"").split()) for t in texts]
+
+
 def test_key_filter_passes_every_key(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     held = jaccard.key_filter(keys, 5000)
@@ -203,7 +217,7 @@ def test_run_matches_brute_force(spark):
         upto = 0
         for r in sorted((r for r in flat if r["lang"] == leaf), key=lambda r: r["h0"]):
             upto += r["n"]
-            if upto <= budget:
+            if upto <= budget or upto - r["n"] < budget and upto - budget < budget - (upto - r["n"]):
                 chosen.add(r["doc_id"])
     out = corpus_pipeline.run(spark, SMALL).collect()
     assert {r["doc_id"] for r in out} == chosen and len(out) == len(chosen)
