@@ -11,7 +11,7 @@ the documents themselves are filtered where they lie, by a join with one row per
 
 Defined results: null domain, language or source are nodes of their own; a null or empty text has no tokens and comes with the
 prefix or epoch that covers its hash; a leaf without any tokens gives no rows. Equal rows have equal hashes and are
-taken all together or not at all. A document that would overrun the budget ends the prefix. An empty table gives an
+taken all together or not at all. The document that would overrun the budget ends the prefix; it is taken if that comes nearer to the budget than to leave it. An empty table gives an
 empty result. The added column ``epoch`` replaces one of that name; all others pass through.
 """
 
@@ -107,9 +107,13 @@ def mixed(df: DataFrame, levels: Sequence[str], weights: Mapping[Path, float], t
     ends = (sums.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") > F.col("rest"))
             .groupBy("leaf").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("n")).alias("before")), "range").alias("e"))
             .select("leaf", "e.range", "e.before"))
+    ends = stored(ends, "ends")  # so that the join below is dealt by leaf and range, not by leaf alone
     peers = Window.partitionBy("leaf").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = (open_.join(ends, ["leaf", "range"]).withColumn("upto", F.col("before") + F.sum("n").over(peers))
-            .filter(F.col("upto") <= F.col("rest")).groupBy("leaf").agg(F.max("h").alias("h")))
+    # What ends at or before the budget, and what crosses it if less is too much than would be missing.
+    over, missing = F.col("upto") - F.col("rest"), F.col("rest") - (F.col("upto") - F.col("equal"))
+    last = (open_.join(ends, ["leaf", "range"])
+            .withColumn("upto", F.col("before") + F.sum("n").over(peers)).withColumn("equal", F.sum("n").over(Window.partitionBy("leaf", "h")))
+            .filter((over <= 0) | ((missing > 0) & (over < missing))).groupBy("leaf").agg(F.max("h").alias("h")))
     below = F.shiftleft(F.col("range").cast("bigint"), 64 - RANGE_BITS) - 1
     none = F.col("range") == -(2 ** (RANGE_BITS - 1))  # the prefix ends in the lowest range: nothing lies below it
     cuts = stored(leaves.join(ends, "leaf", "left").join(last, "leaf", "left").select(

@@ -112,7 +112,7 @@ def brute_mixture(spark, rows, weights, total, epochs, seed):
             for h in sorted({r[f"h{full}"] for r in own}):
                 peers = [r for r in own if r[f"h{full}"] == h]
                 upto += sum(r["n"] for r in peers)
-                if upto > rest:
+                if upto > rest and (upto - sum(r["n"] for r in peers) >= rest or upto - rest >= rest - (upto - sum(r["n"] for r in peers))):
                     break
                 for r in peers:
                     out[r["doc_id"], r["text"], full] += 1
@@ -130,5 +130,13 @@ def test_mixture_matches_ordering_whole_leaves(spark):
         assert Counter((r["doc_id"], r["text"], r["epoch"]) for r in out.collect()) == brute_mixture(spark, rows, weights, total, epochs, 5)
 
 
+def test_mixture_comes_near_its_budget_beside_a_very_long_document(spark):
+    rows = [(i, "w " * 1000, "en", "s", 1) for i in range(40)] + [(100, "v " * 15_000, "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for seed in range(6):
+        out = mix.mixed(df, ("lang", "source"), {}, 28_000, seed=seed)
+        assert abs(out.select(F.sum(mix.token_count(F.col("text")))).first()[0] - 28_000) <= 7_500
+
+
 def test_mixture_of_an_empty_table(spark):
     assert mix.mixed(spark.createDataFrame([], SCHEMA), ("lang", "source"), {}, 0.5).count() == 0
