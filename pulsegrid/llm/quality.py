@@ -37,7 +37,7 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words", low=50, high=1_000_000),
+    Rule("length", "n_words", low=50),
     Rule("word_length", "mean_word_chars", low=2, high=20),
     Rule("symbols", "symbol_ratio", high=0.2),
     Rule("stop_words", "stop_ratio", low=0.02),

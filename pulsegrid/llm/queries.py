@@ -53,7 +53,7 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2 AND 20 AND n_symbols / n_words <= 0.2
+  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 20 AND n_symbols / n_words <= 0.2
   AND stops / n_words >= 0.02 AND up / word_chars <= 0.5 AND n_dup_lines / lines <= 0.5 AND n_repeat_words / n_words <= 0.5 AS kept
 FROM b""")
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
