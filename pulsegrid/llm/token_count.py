@@ -3,7 +3,7 @@
 Byte-level BPE merges each pre-token for itself, so a pre-token that is a vocabulary string *and* merges to that one token
 counts as one without merging. Which strings do is proved once, on the driver, by merging every vocabulary string.
 Tasks then split texts into pre-tokens, look each up, and merge only those that are not proved. What a worker
-merged it remembers, up to ``remember`` pre-tokens. No shuffle takes place.
+merged it remembers, up to ``remember`` pre-tokens of ``LONG`` characters at most; longer ones are merged with a heap, in n log n steps. No shuffle takes place.
 
 Defined results: a null text is an empty one and has no tokens. Strings of special tokens inside a text are one token each, as the
 library has it by default. Lone surrogates cannot occur in Spark strings. Repeated rows count one by one; an empty table
@@ -12,6 +12,7 @@ gives an empty table. Other columns pass through; ``n_tokens`` replaces a column
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .vocabulary import Vocabulary, letters, load
 
+LONG = 64  # characters
+
 # The split of the GPT-2 family of vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Code points that are letters or digits only in Unicode versions after the library's (16.0). To it they are neither.
@@ -69,6 +72,27 @@ def merged(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int
     return symbols
 
 
+def merged_long(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """The same merges of a long pre-token: pairs wait in a heap by rank and place, symbols are linked to their neighbours."""
+    n = len(symbols)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    waiting = [(ranks[pair], i) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+    heapq.heapify(waiting)
+    while waiting:
+        rank, i = heapq.heappop(waiting)
+        j = after[i]
+        if symbols[i] is None or j == n or ranks.get((symbols[i], symbols[j])) != rank:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[j] = made[rank], None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < n and (r := ranks.get((symbols[k], symbols[after[k]]))) is not None:
+                heapq.heappush(waiting, (r, k))
+    return [s for s in symbols if s is not None]
+
+
 def proved_whole(v: Vocabulary) -> set[str]:
     """The vocabulary strings, as texts, that encode alone as one token."""
     back = {c: b for b, c in enumerate(map(letters, (bytes([b]) for b in range(256))))}
@@ -92,6 +116,8 @@ class Counts(dict):
         self.limit = len(self.whole) + remember
 
     def __missing__(self, token: str) -> int:
+        if len(token) > LONG:  # kept out of memory too
+            return len(merged_long([self.bytes[b] for b in token.encode()], self.ranks, self.made))
         n = len(merged([self.bytes[b] for b in token.encode()], self.ranks, self.made))
         if len(self) >= self.limit:
             self.clear()

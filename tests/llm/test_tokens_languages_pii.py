@@ -46,6 +46,14 @@ def test_whole_tokens_are_proved_and_a_full_memory_changes_nothing():
     assert [small(t) for t in odd_texts(300)] == [large(t) for t in odd_texts(300)]
 
 
+def test_long_pre_tokens_are_merged_in_good_time():
+    v, rng = vocabulary.load(BYTE), random.Random(8)
+    count, library = token_count.Counter(v, token_count.proved_whole(v)), tokenizers.Tokenizer.from_file(BYTE)
+    for text in ("".join(rng.choice("etaoinshr") for _ in range(200_000)), "a" * 70_001, "é" * 500, "ab" * 33, "the" * 400, "-=" * 5000):
+        assert count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, count.counts)) <= max(token_count.LONG, max(map(len, count.counts.whole)))
+
+
 def test_codec_matches_the_library(spark):
     rows = documents() + [(1000 + i, t, None, None, 0) for i, t in enumerate(odd_texts(3000))]
     library = tokenizers.Tokenizer.from_file(WORD)
