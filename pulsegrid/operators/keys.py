@@ -99,6 +99,23 @@ def scratch_folder(spark) -> str:
     return f"{folder}/scratch"
 
 
+def _file_system(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def delete_folder(spark, path: str) -> None:
+    """Delete a folder this library has written and nothing refers to any more."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Store an intermediate result in the shared folder, so later steps do not compute it again."""
     return df.checkpoint() if shared_folder(df.sparkSession) else df

@@ -50,23 +50,22 @@ def _(t):
     return plain(J.run(J.outage_sessions(live(t), "ts", ["run_id"], ~F.col("ok"), gap="12 hours", late="1 hour")))
 
 
-@query("j04_confirmed_state", sql=f"""WITH {REQ}, s AS (SELECT *, row_number() OVER w AS rn FROM req WINDOW w AS (PARTITION BY run_id ORDER BY us, event_id)), x AS (SELECT *, CASE WHEN NOT ok AND k < 5 THEN 'node_not_ready' WHEN NOT ok THEN 'sentinel_unreachable' WHEN latency_ms > 100 THEN 'compute_latency_high' ELSE '' END AS sr FROM s),
+@query("j04_confirmed_state", sql=f"""WITH {REQ}, {_MARK}, s AS (SELECT *, row_number() OVER w AS rn FROM req WINDOW w AS (PARTITION BY run_id ORDER BY us, event_id)), x AS (SELECT *, CASE WHEN NOT ok AND k < 5 THEN 'node_not_ready' WHEN NOT ok THEN 'sentinel_unreachable' WHEN latency_ms > 100 THEN 'compute_latency_high' ELSE '' END AS sr FROM s),
 y AS (SELECT *, rn - coalesce(max(rn) FILTER (sr <> 'sentinel_unreachable') OVER (PARTITION BY run_id ORDER BY us, event_id), 0) AS streak FROM x)
 SELECT run_id, us, event_id, streak, CASE WHEN sr = 'node_not_ready' OR (sr = 'sentinel_unreachable' AND streak >= 2) THEN 'DOWN' WHEN sr <> '' THEN 'DEGRADED' ELSE 'UP' END AS state,
- CASE WHEN sr = 'sentinel_unreachable' AND streak >= 2 THEN 'sentinel_confirmed_outage' ELSE sr END AS reason, sr = 'sentinel_unreachable' AND streak < 2 AS transient FROM y""")
+ CASE WHEN sr = 'sentinel_unreachable' AND streak >= 2 THEN 'sentinel_confirmed_outage' ELSE sr END AS reason, sr = 'sentinel_unreachable' AND streak < 2 AS transient FROM y, wm WHERE ts <= wm""")
 def _(t):
     bad = ~F.col("ok")
     sr = F.when(bad & (F.col("k") < 5), "node_not_ready").when(bad, "sentinel_unreachable").when(F.col("latency_ms") > 100, "compute_latency_high").otherwise("")
-    s = live(t).withColumn("us", F.unix_micros("ts")).withColumn("sr", sr).withColumn("ss", F.when(sr == "node_not_ready", "DOWN").when(sr != "", "DEGRADED").otherwise("UP"))
-    return J.run(J.confirmed_state(s, "run_id", ["us", "event_id"], "ss", "sr", confirm=2))
+    s = live(t).withColumn("sr", sr).withColumn("ss", F.when(sr == "node_not_ready", "DOWN").when(sr != "", "DEGRADED").otherwise("UP"))
+    return J.run(J.confirmed_state(s, "run_id", "ts", ["event_id"], "ss", "sr", confirm=2, late="1 hour"))
 
 
-@query("j05_debounced_alerts", sql="WITH RECURSIVE " + REQ + """, al AS (SELECT run_id, us, event_id, row_number() OVER (PARTITION BY run_id ORDER BY us) AS i FROM req WHERE latency_ms > 20),
+@query("j05_debounced_alerts", sql="WITH RECURSIVE " + REQ + """, wm AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS wm FROM req WHERE latency_ms > 20), al AS (SELECT run_id, us, event_id, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS i FROM req, wm WHERE latency_ms > 20 AND ts <= wm),
 db AS (SELECT run_id, i, us, event_id, us AS kept, TRUE AS keep FROM al WHERE i = 1 UNION ALL SELECT a.run_id, a.i, a.us, a.event_id, CASE WHEN a.us - d.kept >= 86400000000 THEN a.us ELSE d.kept END, a.us - d.kept >= 86400000000 FROM db d JOIN al a ON a.run_id = d.run_id AND a.i = d.i + 1)
 SELECT run_id, us, event_id FROM db WHERE keep""")
 def _(t):
-    s = live(t).filter("latency_ms > 20").withColumn("us", F.unix_micros("ts"))
-    return J.run(J.debounce_stream(s, "run_id", "us", 86400000000, ["event_id"]))
+    return J.run(J.debounce_stream(live(t).filter("latency_ms > 20"), "run_id", "ts", 86400000000, ["event_id"], late="1 hour"))
 
 
 @query("j06_stream_enrichment", sql="SELECT event_id, user_id AS run_id, coalesce(c_mktsegment, 'unknown') AS c_mktsegment FROM events LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 2000) ON c_custkey = user_id")
@@ -75,6 +74,19 @@ def _(t):
     return J.run(J.enrich_stream(live(t).select("event_id", "run_id"), inv, ["run_id"], {"c_mktsegment": "unknown"}))
 
 
+_TOL, _WIDE = 12 * 3600 * 10**6, 4 * 86400 * 10**6  # twelve hours to either side, met in buckets of four days
+
+
+@query("j07_nearest_telemetry", sql=f"""WITH {REQ}, wm AS (SELECT epoch_us(least(date_trunc('millisecond', max(ts) FILTER (event_type = 'error')), date_trunc('millisecond', max(ts) FILTER (event_type = 'view'))) - INTERVAL 1 DAY) AS wm FROM req),
+a AS (SELECT req.* FROM req, wm WHERE event_type = 'error' AND (us // {_WIDE} + 1) * {_WIDE} + {_TOL} <= wm), b AS (SELECT run_id, us AS tel_us, k AS temp, event_id AS tel_id FROM req WHERE event_type = 'view'),
+p AS (SELECT a.run_id, a.event_id, us, tel_us, temp, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(us - tel_us), tel_us, tel_id) AS o FROM a LEFT JOIN b ON a.run_id = b.run_id AND tel_us BETWEEN us - {_TOL} AND us + {_TOL})
+SELECT run_id, event_id, us, tel_us AS other_us, temp FROM p WHERE o = 1""")
+def _(t):
+    req = live(t).filter("event_type = 'error'").select("run_id", "event_id", "ts")
+    tel = live(t).filter("event_type = 'view'").select("run_id", F.col("ts").alias("tel_ts"), F.col("k").alias("temp"), F.col("event_id").alias("tel_id"))
+    return J.run(J.nearest_stream(req, tel, ["run_id"], "ts", "tel_ts", ["temp"], within_us=_TOL, late="1 day", request=["event_id"], tie="tel_id", width_us=_WIDE, unmatched=True))
+
+
 @query("j07_request_telemetry_join", sql=f"""WITH {REQ}, a AS (SELECT * FROM req WHERE event_type = 'error'), b AS (SELECT run_id, ts AS tel_ts, k AS temp, event_id AS tel_id FROM req WHERE event_type = 'view'),
 p AS (SELECT a.event_id, tel_ts, temp, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(epoch_us(a.ts) - epoch_us(tel_ts)), tel_ts, tel_id) AS o FROM a JOIN b ON a.run_id = b.run_id AND tel_ts BETWEEN a.ts - INTERVAL 12 HOUR AND a.ts + INTERVAL 12 HOUR)
 SELECT event_id, tel_ts, temp FROM p WHERE o = 1""")

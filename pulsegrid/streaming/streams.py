@@ -4,15 +4,18 @@ what is available into a table in a shared folder."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pulsegrid.operators.align import enrich  # noqa: F401  (works on a stream as it is)
-from pulsegrid.operators.keys import scratch_folder
+from pulsegrid.operators.keys import delete_folder, path_exists, scratch_folder
 from pulsegrid.operators.sequence import confirmed
 from pulsegrid.operators.summary import freshness, n_if
 
+from .stateful import NearestInBucket, in_event_order, use_state_store as _stateful
+
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Files of a folder (or one file) as a stream with the schema they have."""
@@ -63,61 +66,41 @@ def outage_sessions(stream: DataFrame, ts: str, by: Sequence[str], failed: Colum
     return out.drop("__w")
 
 
-def _batches(rows: Iterator, order: Sequence[str]):
-    import pandas as pd
-    return pd.concat(list(rows)).sort_values(list(order), kind="stable")
-
-
-def failure_streak_stream(stream: DataFrame, key: str, order: Sequence[str], failed: str, keep: Sequence[str]) -> DataFrame:
-    """Failure streak of every sample of a node, kept across batches as one number per node."""
-    fields = {f.name: f for f in stream.schema.fields}
-    names = [key, *[c for c in dict.fromkeys([*order, failed, *keep]) if c != key]]
-    schema = T.StructType([*[fields[c] for c in names], T.StructField("streak", T.LongType())])
+def failure_streak_stream(stream: DataFrame, key: str, ts: str, tie: Sequence[str], failed: str, keep: Sequence[str], *, late: str) -> DataFrame:
+    """Failure streak of every sample of a node, as ``key, us, tie, failed, keep, streak``. Samples are taken in order of event time once the watermark has
+    passed them, so those that come late within ``late`` count in their place; the state of a node is one number and what it waits for."""
+    def streaks(rows, carry):
+        bad = rows[failed].fillna(False).to_numpy(bool)
+        at = np.arange(1, len(bad) + 1)
+        good = np.maximum.accumulate(np.where(bad, 0, at))
+        streak = np.where(good > 0, at - good, at + (carry[0] if carry else 0))
+        return rows.assign(streak=streak), (int(streak[-1]),)
 
-    def step(k, rows, state):
-        pdf = _batches(rows, order)
-        streak = state.get[0] if state.exists else 0
-        out = []
-        for bad in pdf[failed]:
-            streak = streak + 1 if bad else 0
-            out.append(streak)
-        pdf["streak"] = out
-        state.update((streak,))
-        yield pdf[[*names, "streak"]]
+    return in_event_order(stream, key, ts, tie, [failed, *keep], streaks, {"streak": "bigint"}, "streak bigint", late=late)
 
-    return stream.select(*names).groupBy(key).applyInPandasWithState(step, schema, T.StructType([T.StructField("streak", T.LongType())]), "append", "NoTimeout")
 
-
-def confirmed_state(stream: DataFrame, key: str, order: Sequence[str], sample_state: str, sample_reason: str, *, confirm: int = 3) -> DataFrame:
+def confirmed_state(stream: DataFrame, key: str, ts: str, tie: Sequence[str], sample_state: str, sample_reason: str, *, confirm: int = 3, late: str = "30 seconds") -> DataFrame:
     """Effective state of every availability sample: an unreachable node is down after ``confirm`` failures in a row."""
     lost = stream.withColumn("__lost", F.coalesce(F.col(sample_reason) == "sentinel_unreachable", F.lit(False)))
-    rows = failure_streak_stream(lost, key, order, "__lost", [sample_state, sample_reason])
+    rows = failure_streak_stream(lost, key, ts, tie, "__lost", [sample_state, sample_reason], late=late)
     state, reason, transient = confirmed(F.col(sample_state), F.col(sample_reason), F.col("streak"), confirm)
-    return rows.select(key, *order, "streak", state.alias("state"), reason.alias("reason"), transient.alias("transient"))
-
-
-def debounce_stream(stream: DataFrame, key: str, t: str, refractory, keep: Sequence[str]) -> DataFrame:
-    """Alerts at least ``refractory`` after the last kept one of their key; the state is that one time.
+    return rows.select(key, "us", *tie, "streak", state.alias("state"), reason.alias("reason"), transient.alias("transient"))
 
-    Alerts of a key must arrive in order from batch to batch; inside a batch they are sorted here.
-    """
-    fields = {f.name: f for f in stream.schema.fields}
-    names = [key, t, *keep]
-    schema = T.StructType([fields[c] for c in names])
 
-    def step(k, rows, state):
-        pdf = _batches(rows, [t, *keep])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for at in pdf[t]:
-            take = last is None or at - last >= refractory
-            last = float(at) if take else last
-            kept.append(take)
-        if last is not None:
-            state.update((last,))
-        yield pdf.loc[kept, names]
+def debounce_stream(stream: DataFrame, key: str, ts: str, refractory_us: int, keep: Sequence[str], *, late: str) -> DataFrame:
+    """Alerts at least ``refractory_us`` after the last kept one of their key, as ``key, us, keep``. Alerts wait until the watermark has passed them, so
+    one that comes late within ``late`` can take the place of a later one, as it would in a batch. Of alerts at one moment the first by ``keep`` is taken."""
+    def kept(rows, carry):
+        times = rows["us"].to_numpy("int64")
+        chosen, last = [], carry[0] if carry else None
+        at = 0 if last is None else int(np.searchsorted(times, last + refractory_us))
+        while at < len(times):  # one step for every alert that is kept
+            chosen.append(at)
+            last = int(times[at])
+            at = int(np.searchsorted(times, last + refractory_us))
+        return rows.iloc[chosen], (last,)
 
-    return stream.select(*names).groupBy(key).applyInPandasWithState(step, schema, T.StructType([T.StructField("last", T.DoubleType())]), "append", "NoTimeout")
+    return in_event_order(stream, key, ts, list(keep), [], kept, {}, "last bigint", late=late)
 
 
 def enrich_stream(stream: DataFrame, table: DataFrame, on: Sequence[str], defaults: Mapping[str, str]) -> DataFrame:
@@ -142,6 +125,36 @@ def nearest_pair(pairs: DataFrame, key: Sequence[str], ts: str, other_ts: str, v
     return pairs.groupBy(*key).agg(F.min_by(F.struct(other_ts, *value), F.struct(gap, F.col(other_ts), F.col(tie))).alias("__b")).select(*key, "__b.*")
 
 
+def nearest_stream(requests: DataFrame, telemetry: DataFrame, by: Sequence[str], ts: str, other_ts: str, value: Sequence[str], *, within_us: int,
+                   late: str, request: Sequence[str], tie: str, width_us: int | None = None, unmatched: bool = False) -> DataFrame:
+    """For each request the nearest telemetry row of its key at most ``within_us`` away (then the earlier one, then the smaller ``tie``): ``by, request, us, other_us, value``.
+
+    Both sides meet per (key, time bucket); telemetry is copied to the buckets it may serve. A bucket is held until the watermark is past its end by
+    ``within_us``, when nothing that could be nearer can still come in time; then its requests are matched at once and its state is dropped. The watermark
+    is that of the slower side. ``unmatched`` gives requests without telemetry too.
+    """
+    width = width_us or max(8 * within_us, 1)
+    tag = [*request, *value, tie]
+    left_kinds, right_kinds = dict(requests.dtypes), dict(telemetry.dtypes)
+    kinds = {**{c: left_kinds[c] for c in request}, **{c: right_kinds[c] for c in (*value, tie)}}
+
+    def side(df: DataFrame, t: str, own: Sequence[str], buckets: Column, is_request: bool) -> DataFrame:
+        us = F.unix_micros(t)
+        return df.withWatermark(t, late).filter(F.col(t).isNotNull()).select(
+            *by, F.col(t).alias("__ts"), us.alias("us"), F.lit(is_request).alias("asks"), F.explode(buckets).alias("bucket"),
+            *[(F.col(c) if c in own else F.lit(None)).cast(kinds[c]).alias(f"v_{c}") for c in dict.fromkeys(tag)])
+
+    at, other = F.unix_micros(ts), F.unix_micros(other_ts)
+    both = side(requests, ts, request, F.array(F.floor(at / width)), True).unionByName(
+        side(telemetry, other_ts, [*value, tie], F.sequence(F.floor((other - within_us) / width), F.floor((other + within_us) / width)), False))
+    held = T.StructType([T.StructField("us", T.LongType()), *[both.schema[f"v_{c}"] for c in dict.fromkeys(tag)]])
+    out = T.StructType([*[both.schema[c] for c in by], *[T.StructField(c, both.schema[f"v_{c}"].dataType) for c in request], T.StructField("us", T.LongType()),
+                        T.StructField("other_us", T.LongType()), *[T.StructField(c, both.schema[f"v_{c}"].dataType) for c in value]])
+    _stateful(both.sparkSession)
+    return both.groupBy(*by, "bucket").transformWithStateInPandas(
+        NearestInBucket(held, out, list(by), list(request), list(value), tie, within_us, width, unmatched), out, "Append", "EventTime")
+
+
 def split_late(stream: DataFrame, ts: str, arrival: str, folder: str, *, allowed_s: float, strict_s: float = 5, caution_s: float = 30) -> tuple[DataFrame, DataFrame]:
     """Sample age class of every record; records older than allowed on arrival go to a side table.
 
@@ -175,29 +188,54 @@ def abort_monitor(stream: DataFrame, ts: str, by: Sequence[str], dropped: Column
         .withColumn("abort", F.col("reasons") != "")
 
 
-def snapshot_and_log(stream: DataFrame, key: Sequence[str], order: Sequence[str], folder: str) -> tuple[DataFrame, DataFrame]:
+def snapshot_and_log(stream: DataFrame, key: Sequence[str], order: Sequence[str], folder: str, *, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
     """Append every sample to a log and keep the latest sample of each key.
 
-    The snapshot of batch n is a new folder made from that of the batch before, so a repeated batch gives
-    the same result and a lost executor loses nothing.
+    Keys are dealt to ``buckets`` sets of files by hash. A batch reads and writes only the buckets its keys fall in, as a new version; a manifest per batch (one row a bucket)
+    says which version of each bucket holds. Nothing is changed in place, so a repeated batch gives the same files and a lost executor loses nothing, and a reader
+    of one manifest sees one state throughout. Versions that neither this manifest nor the one before names are deleted.
     """
     spark = stream.sparkSession
     schema = stream.schema
-    names = schema.names
+    rest = [c for c in schema.names if c not in key]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+    def held(manifest: Mapping[int, int], which) -> DataFrame | None:
+        paths = [f"{folder}/snapshot/version={manifest[b]}/bucket={b}" for b in sorted(which) if b in manifest]
+        return spark.read.schema(schema).parquet(*paths) if paths else None
 
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
         rows = spark.read.schema(schema).parquet(f"{folder}/log/batch={batch_id}")
-        if batch_id:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/snapshot/batch-{batch_id - 1}"))
-        rest = [c for c in names if c not in key]
-        latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__b")).select(*key, "__b.*").select(*names)
-        latest.write.mode("overwrite").parquet(f"{folder}/snapshot/batch-{batch_id}")
+        before = read_manifest(spark, folder, batch_id - 1)
+        touched = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]  # ``buckets`` numbers at most
+        if touched:
+            old = held(before, touched)
+            rows = rows if old is None else rows.unionByName(old)
+            latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__b")).select(*key, "__b.*").select(*schema.names)
+            latest.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/snapshot/version={batch_id}")
+        after = before | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(after.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch_id}")
+        for b, version in read_manifest(spark, folder, batch_id - 2).items():
+            if version not in (before.get(b), after[b]):
+                delete_folder(spark, f"{folder}/snapshot/version={version}/bucket={b}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(schema).parquet(f"{folder}/log"), spark.read.schema(schema).parquet(f"{folder}/snapshot/batch-{last}")
+    last = spark.read.schema("bucket int, version bigint, batch bigint").parquet(f"{folder}/manifest").agg(F.max("batch")).first()[0] if path_exists(spark, f"{folder}/manifest") else None
+    manifest = {} if last is None else read_manifest(spark, folder, last)
+    snapshot = held(manifest, manifest)
+    empty = spark.createDataFrame([], schema)
+    log = spark.read.schema(schema).parquet(f"{folder}/log").select(*schema.names) if path_exists(spark, f"{folder}/log") else empty
+    return log, empty if snapshot is None else snapshot
+
+
+def read_manifest(spark: SparkSession, folder: str, batch: int) -> dict[int, int]:
+    """Bucket to version after a batch; empty where there is none."""
+    path = f"{folder}/manifest/batch={batch}"
+    if batch < 0 or not path_exists(spark, path):
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version bigint").parquet(path).collect()}
 
 
 def without_repeats(stream: DataFrame, ts: str, key: Sequence[str], *, late: str) -> DataFrame:

@@ -93,8 +93,8 @@ def test_short_episodes_are_dropped_before_merging(spark):
 
 def test_exposition_labels_are_unescaped(spark):
     df = spark.createDataFrame([('m{a="x\\"y",b="1,2}"} 1.5e3 1700000000123',), ("# TYPE m",), ("m 3",), ("up 1 5",)], "value string")
-    got = P.exposition(df).orderBy("metric").collect()
-    assert [(r["metric"], r["labels"], r["value"]) for r in got] == [("m", {"a": 'x"y', "b": "1,2}"}, 1500.0), ("up", {}, 1.0)]
+    got = P.exposition(df).orderBy("metric", "value").collect()
+    assert [(r["metric"], r["labels"], r["value"]) for r in got] == [("m", {}, 3.0), ("m", {"a": 'x"y', "b": "1,2}"}, 1500.0), ("up", {}, 1.0)]
 
 
 def test_failure_class_order(spark):
