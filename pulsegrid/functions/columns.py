@@ -248,9 +248,20 @@ def path_get(document, path: str, default=None) -> Column:
     return F.coalesce(F.get_json_object(_c(document), f"$.{path}"), F.lit(default))
 
 
-def prune(document) -> Column:
-    """JSON text of a struct without its null fields."""
-    return F.to_json(_c(document))
+def without_nulls(value: Column, kind: T.DataType) -> Column:
+    """A typed value without the nulls in its lists and maps, at any depth; null fields of structs stay (JSON text leaves them out)."""
+    if isinstance(kind, T.ArrayType):
+        return F.filter(F.transform(value, lambda x: without_nulls(x, kind.elementType)), lambda x: x.isNotNull())
+    if isinstance(kind, T.MapType):
+        return F.map_filter(F.transform_values(value, lambda _, x: without_nulls(x, kind.valueType)), lambda _, x: x.isNotNull())
+    if isinstance(kind, T.StructType) and any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in kind.fields):
+        return F.when(value.isNotNull(), F.struct(*[without_nulls(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def prune(document, kind: T.DataType | None = None) -> Column:
+    """JSON text of a struct without its null fields; with its type also without the nulls inside its lists and maps."""
+    return F.to_json(_c(document) if kind is None else without_nulls(_c(document), kind))
 
 
 def usable_columns(df: DataFrame, drop_prefixes: Sequence[str] = (), drop_exact: Sequence[str] = ()) -> list[str]:

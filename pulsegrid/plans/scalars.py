@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
 from pulsegrid.functions.times import DAY, HOUR
-from pulsegrid.operators import filters as L
+from pulsegrid.operators import documents as D, filters as L
 
 from .registry import query, rounded
 from .summaries import _q
@@ -171,6 +171,55 @@ def _(t):
     return C.flatten_indexed(documents_of_orders(t).select("id", F.col("doc.gpus").alias("gpus")), ["id"], "gpus", ["name", "mem"])
 
 
+# One of three shapes by order: objects in lists in lists, a list at the top, a plain object with empty and null members.
+SHAPES = """CASE o_orderkey % 3 WHEN 0 THEN '{"node":{"used":' || o_custkey || ',"gpus":[[{"mem":' || o_custkey || ',"ok":true},{"mem":null}],[]]},"name":"a \\"q\\" null,"}'
+ WHEN 1 THEN '[[' || o_custkey || ',[null,"x",null]],{"deep":{"er":[[[' || o_orderkey || ']]]}}]' ELSE '{"e":{},"l":[],"s":"' || o_orderstatus || '","n":null}' END"""
+
+
+def shapes_of_orders(t):
+    """JSON texts of three shapes made of the orders."""
+    k, c = F.col("o_orderkey"), S("o_custkey")
+    first = cc(F.lit('{"node":{"used":'), c, F.lit(',"gpus":[[{"mem":'), c, F.lit(',"ok":true},{"mem":null}],[]]},"name":"a \\"q\\" null,"}'))
+    second = cc(F.lit("[["), c, F.lit(',[null,"x",null]],{"deep":{"er":[[['), S("o_orderkey"), F.lit("]]]}}]"))
+    third = cc(F.lit('{"e":{},"l":[],"s":"'), "o_orderstatus", F.lit('","n":null}'))
+    return t.orders.select(k.alias("id"), F.when(k % 3 == 0, first).when(k % 3 == 1, second).otherwise(third).alias("doc"))
+
+
+@query("b16_flatten_unknown", sql=f"""SELECT d.id, substr(j.fullkey, CASE WHEN substr(j.fullkey, 2, 1) = '.' THEN 3 ELSE 2 END) AS name, CASE WHEN j.type = 'NULL' THEN NULL WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' ELSE j.atom::VARCHAR END AS value
+ FROM (SELECT o_orderkey AS id, {SHAPES} AS doc FROM orders) d, json_tree(d.doc) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')""")
+def _(t):
+    return D.flatten_unknown(shapes_of_orders(t), ["id"], "doc").select("id", "name", "value")
+
+
+@query("b16_flatten_lists_kept", sql=f"""SELECT id, name, value FROM (SELECT o_orderkey AS id, o_orderkey % 3 AS m, o_custkey AS c, o_orderstatus AS s FROM orders) d,
+ LATERAL (SELECT unnest(CASE m WHEN 0 THEN ['node__used', 'node__gpus', 'name'] WHEN 1 THEN [''] ELSE ['l', 's', 'n'] END) AS name,
+ unnest(CASE m WHEN 0 THEN [c::VARCHAR, '[[{{"mem":' || c || ',"ok":true}},{{"mem":null}}],[]]', 'a "q" null,'] WHEN 1 THEN ['[[' || c || ',[null,"x",null]],{{"deep":{{"er":[[[' || id || ']]]}}}}]'] ELSE ['[]', s, NULL] END) AS value)""")
+def _(t):
+    return D.flatten_unknown(shapes_of_orders(t), ["id"], "doc", separator="__", lists=False).select("id", "name", "value")
+
+
+@query("b16_flatten_indexed_deep", sql="""SELECT o_orderkey AS id, 'racks[' || i || '][' || j || '].' || f AS name, CASE f WHEN 'mem' THEN (o_custkey + 2 * i + j)::VARCHAR WHEN 'up' THEN CASE WHEN (o_orderkey + j) % 2 = 0 THEN 'true' END END AS value
+ FROM orders, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest(['mem', 'up']) AS f)""")
+def _(t):
+    gpu = lambda i, j: F.struct((F.col("o_custkey") + 2 * i + j).alias("mem"), F.when((F.col("o_orderkey") + j) % 2 == 0, True).alias("up"))
+    racks = F.array(*[F.array(*[gpu(i, j) for j in (0, 1)]) for i in (0, 1)])
+    return D.flatten_indexed_deep(t.orders.select(F.col("o_orderkey").alias("id"), racks.alias("racks")), ["id"], "racks").select("id", "name", "value")
+
+
+@query("b17_prune_lists", sql="""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '{"node":{"used":' || o_custkey || ',"gpus":[[{"mem":' || o_custkey || ',"ok":true},{}],[]]},"name":"a \\"q\\" null,"}'
+ WHEN 1 THEN '[[' || o_custkey || ',["x"]],{"deep":{"er":[[[' || o_orderkey || ']]]}}]' ELSE '{"e":{},"l":[],"s":"' || o_orderstatus || '"}' END AS pruned FROM orders""")
+def _(t):
+    return shapes_of_orders(t).select("id", D.prune_text("doc").alias("pruned"))
+
+
+@query("b17_prune_typed", sql="""SELECT o_orderkey AS id, '{"gpus":[{"mem":[' || o_custkey || ']}' || CASE WHEN o_orderkey % 2 = 0 THEN ',{"mem":[]}' ELSE '' END || ']}' AS pruned FROM orders""")
+def _(t):
+    gpu = lambda *m: F.struct(F.array(*m).alias("mem"), F.lit(None).cast("int").alias("none"))
+    none = F.lit(None).cast("bigint")
+    df = t.orders.select(F.col("o_orderkey").alias("id"), F.struct(F.array(gpu(none, F.col("o_custkey")), F.when(F.col("o_orderkey") % 2 == 0, gpu(none, none))).alias("gpus")).alias("doc"))
+    return df.select("id", C.prune("doc", df.schema["doc"].dataType).alias("pruned"))
+
+
 @query("b17_path_and_prune", sql="""SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END, 'none') AS ts, o_orderstatus AS phase,
  '{"ready":' || (o_orderkey % 2 = 0)::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN ',"ts":' || o_custkey ELSE '' END || '}' AS pruned FROM orders""")
 def _(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window as W, functions as F, types as T
 
 from pulsegrid.functions import columns as C
 from pulsegrid.functions.times import DAY
@@ -58,6 +58,19 @@ def _(t):
     return X.read_jsonl(t.spark, _jsonl(t, False), "o_orderkey bigint, o_totalprice double", strict=True)
 
 
+@query("a02_bad_line_numbers", sql="SELECT line_no, value FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, CASE WHEN o_orderkey % 10 = 0 THEN '{broken ' || o_orderkey END AS value FROM orders) WHERE value IS NOT NULL")
+def _(t):
+    path = folder(t)
+    good = F.to_json(F.struct("o_orderkey", "o_totalprice"))
+    line = F.when(F.col("o_orderkey") % 10 == 0, cc(F.lit("{broken "), S("o_orderkey"))).otherwise(good)
+    t.orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(line.alias("value")).write.text(path)
+    lines = X.numbered_lines(t.spark, path)
+    # The files follow each other by name: lines are numbered through all of them, one row a file.
+    ends = lines.groupBy("file").agg(F.max("line_no").alias("n"))
+    before = ends.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return X.bad_lines(lines).join(before, "file").select((F.col("before") + F.col("line_no")).alias("line_no"), "value")
+
+
 @query("a02_bad_lines", sql="SELECT count(*) AS bad FROM orders WHERE o_orderkey % 10 = 0")
 def _(t):
     return X.bad_lines(X.read_lines(t.spark, _jsonl(t, True))).agg(F.count(F.lit(1)).alias("bad"))
@@ -258,6 +271,17 @@ def _(t):
     return out.select("s_suppkey", "overlay_loaded", "active_bitfile", "ip_count", "has_dma", "temperature_c")
 
 
+@query("a22_board_channels", sql="""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'idle' END AS dma_mm2s_state, CASE WHEN s_suppkey % 3 = 0 AND s_nationkey % 2 = 0 THEN 'halted' END AS dma_s2mm_state,
+ CASE WHEN s_suppkey % 3 = 0 THEN '{"rx":' || s_nationkey || ',"tx":[1,2]}' END AS dma_channels_status, CASE WHEN s_suppkey % 3 <> 0 THEN 1 END::INTEGER AS has_dma FROM supplier""")
+def _(t):
+    k = F.col("s_suppkey")
+    js = F.to_json(F.struct(F.lit("idle").alias("dma_mm2s_state"), F.when(F.col("s_nationkey") % 2 == 0, "halted").alias("dma_s2mm_state"),
+                            F.struct(F.col("s_nationkey").alias("rx"), F.array(F.lit(1), F.lit(2)).alias("tx")).alias("dma_channels_status")))
+    kv = F.lit("dma_mm2s_state: idle\ndma_channels_status: up")
+    out = P.board_status(t.supplier.select("s_suppkey", F.when(k % 3 == 0, js).otherwise(kv).alias("text")), "text", ["s_suppkey"])
+    return out.select("s_suppkey", "dma_mm2s_state", "dma_s2mm_state", "dma_channels_status", F.nullif("has_dma", F.lit(0)).alias("has_dma"))
+
+
 @query("a23_range_matrix", sql="SELECT o_orderkey, pod, (o_orderkey * 10 + i)::DOUBLE AS ts_s, CASE pod WHEN 'a' THEN o_totalprice ELSE o_custkey + i END AS value FROM orders, (SELECT unnest([0, 1]) AS i), (SELECT unnest(['a', 'b']) AS pod)")
 def _(t):
     k = F.col("o_orderkey")

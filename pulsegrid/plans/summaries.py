@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.times import DAY, HOUR, trunc_ntz
-from pulsegrid.operators import grid, summary as S
+from pulsegrid.operators import audits as A, grid, summary as S
 from pulsegrid.operators.quantiles import floored, nearest, quantiles, rounded as rounded_index, summarise
 
 from .registry import query, rounded
@@ -439,6 +439,85 @@ def _(t):
                                                ("latency_limit", mx <= 250, mx, "<= 250")]))
 
 
+_READY = ["normal_long_replicates", "formal_measurement_rows", "manifest_validity", "gpu_temp_internal_drift", "sm_clock_internal_drift", "service_state_normalized_latency_episodes"]
+_RUNS = f"""{REQ}, runs AS (SELECT run_id % 7 AS campaign, run_id, count(*) FILTER (ok) AS eligible, CASE WHEN max(k) = 99 AND run_id % 5 = 0 THEN 'TRUE' ELSE '0' END AS ineligible,
+ max_by(latency_ms, (us, event_id)) - min_by(latency_ms, (us, event_id)) AS t_drift, max_by(k, (us, event_id)) - min_by(k, (us, event_id)) AS c_drift, count(*) FILTER (latency_ms > 250) AS episodes FROM req GROUP BY run_id)"""
+_CHECKS = f"""{_RUNS}, f AS (SELECT campaign, count(*) AS n, sum(eligible) AS rows, count(*) FILTER (lower(ineligible) IN ('true', '1')) AS bad, max(abs(t_drift)) AS td, max(abs(c_drift)) AS cd, sum(episodes) AS ep FROM runs GROUP BY 1),
+r AS (SELECT campaign, unnest({_READY}) AS "check", unnest([n >= 20, rows >= 1000, bad = 0, td <= 150, cd <= 95, ep = 0]) AS good, unnest([n, rows, bad, td, cd, ep]::DOUBLE[]) AS observed,
+ unnest(['20', '1000', '0', '<= 150', '<= 95', '0']) AS required FROM f)"""
+
+
+def _readiness(t):
+    r = requests(t)
+    order = F.struct("us", "event_id")
+    edge = lambda c: F.max_by(c, order) - F.min_by(c, order)
+    runs = r.groupBy("run_id").agg(
+        S.n_if(F.col("ok")).alias("eligible"), F.when((F.max("k") == 99) & (F.col("run_id") % 5 == 0), "TRUE").otherwise("0").alias("ineligible"),
+        edge("latency_ms").alias("t_drift"), edge("k").alias("c_drift"), S.n_if(F.col("latency_ms") > 250).alias("episodes")).withColumn("campaign", F.col("run_id") % 7)
+    return A.readiness(runs, ["campaign"], eligible_rows="eligible", ineligible="ineligible", temperature_drift="t_drift", clock_drift="c_drift", episodes="episodes",
+                       min_replicates=20, min_rows=1000, max_temperature_drift=150, max_clock_drift=95)
+
+
+@query("e45_readiness_six", sql=f"""WITH {_CHECKS} SELECT campaign, "check", CASE WHEN good THEN 'pass' ELSE 'fail' END AS status, round(observed, 6) AS observed, required FROM r""")
+def _(t):
+    return rounded(_readiness(t))
+
+
+@query("e45_readiness_decision", sql=f"""WITH {_CHECKS} SELECT campaign, count(*) FILTER (NOT good) AS failed_checks, CASE WHEN bool_and(good) THEN 'method_ready_but_live_cooling_executor_still_fail_closed' ELSE 'not_ready_collect_more_normal_or_fix_contract' END AS decision FROM r GROUP BY 1""")
+def _(t):
+    return A.readiness_decision(_readiness(t), ["campaign"])
+
+
+_AP = "SELECT {g}sum(pos * pa / na) / max(p) AS ap FROM (SELECT *, sum(pos) OVER (PARTITION BY {p} ORDER BY s DESC) AS pa, sum(n) OVER (PARTITION BY {p} ORDER BY s DESC) AS na, sum(pos) OVER (PARTITION BY {p}) AS p, sum(n) OVER (PARTITION BY {p}) AS t FROM ({src})) WHERE p > 0 AND p < t{h}"
+
+
+@query("e45_methodology_audit", sql=f"""WITH {REQ}, x AS (SELECT *, (us - 1704067200000000) / 3.6e9 AS t, latency_ms > 40 AS label, k >= 60 AS warning, min(us) FILTER (NOT ok) OVER (PARTITION BY run_id) AS e, run_id % 3 <> 0 AS train FROM req),
+l AS (SELECT run_id, min(t) FILTER (warning) AS w, min((e - 1704067200000000) / 3.6e9) AS o FROM x GROUP BY 1),
+u AS ({_AP.format(g='', p='1', h='', src="SELECT t AS s, count(*) AS n, count(*) FILTER (label) AS pos FROM x WHERE NOT train GROUP BY 1")}),
+v AS ({_AP.format(g='', p='1', h='', src="SELECT -t AS s, count(*) AS n, count(*) FILTER (label) AS pos FROM x WHERE NOT train GROUP BY 1")}),
+q AS (SELECT quantile_cont(ap, .5) AS run_ap FROM ({_AP.format(g='run_id, ', p='run_id', h=' GROUP BY run_id', src="SELECT run_id, k AS s, count(*) AS n, count(*) FILTER (label) AS pos FROM x GROUP BY 1, 2")})),
+f AS (SELECT (SELECT CASE WHEN avg(t) FILTER (train AND label) >= avg(t) FILTER (train AND NOT label) THEN (SELECT ap FROM u) ELSE (SELECT ap FROM v) END FROM x) AS ap,
+ (SELECT avg((abs(o - w - 24) <= 1)::INTEGER) FROM l WHERE w IS NOT NULL) AS ex, (SELECT count(DISTINCT run_id) FROM x) AS runs, (SELECT count(*) FROM x WHERE NOT train AND k < 5) AS outside, (SELECT count(DISTINCT run_id % 4) FROM x) AS profiles, (SELECT run_ap FROM q) AS run_ap)
+SELECT unnest(['primary_features_exclude_template_and_control_metadata', 'rolling_features_use_past_and_current_only', 'early_warning_label_uses_future_only', 'normal_thresholds_training_only', 'timeout_error_in_endpoint',
+ 'leave_one_profile_out_feasibility', 'leave_one_cycle_out_equivalence', 'lead_time_not_only_horizon_artifact', 'template_time_only_negative_control', 'groupwise_validation_by_run']) AS "check",
+ unnest(['FAIL', 'PASS', 'PASS', CASE WHEN outside = 0 THEN 'PASS' ELSE 'FAIL' END, 'PASS', CASE WHEN profiles <= 1 THEN 'NOT_APPLICABLE' ELSE 'PENDING' END, 'PASS', CASE WHEN ex > 0.5 THEN 'WARN' ELSE 'PASS' END,
+ CASE WHEN ap >= 0.95 THEN 'WARN' ELSE 'PASS' END, 'PASS']) AS status, unnest([1, 0, 1, outside, 2, profiles, runs, round(ex, 6), round(ap, 6), round(run_ap, 6)]::DOUBLE[]) AS observed FROM f""")
+def _(t):
+    r = requests(t)
+    first = r.groupBy("run_id").agg(F.min(F.when(~F.col("ok"), F.col("us"))).alias("e"))
+    hours = lambda c: (F.col(c) - F.lit(1704067200000000)) / F.lit(3.6e9)
+    x = r.join(first, "run_id").select("run_id", F.col("run_id").alias("cycle"), (F.col("run_id") % 4).alias("profile"), hours("us").alias("t"), hours("e").alias("onset"), "k",
+                                       (F.col("latency_ms") > 40).alias("label"), (F.col("k") >= 60).alias("warning"))
+    out = A.methodology_audit(x, run="run_id", cycle="cycle", profile="profile", t="t", warning="warning", onset="onset", label="label", score="k", train=F.col("run_id") % 3 != 0, in_thresholds=F.col("k") < 5,
+                              features={"latency_mean_15": (-14, 0), "k_slope_5": (-5, 0), "elapsed_s": (0, 0)}, forbidden=["phase", "elapsed_s", "run_id"], label_frame=(1, 30),
+                              endpoint=["fail_rate_high", "timeout_rate_high", "latency_high"], required_endpoint=["fail_rate_high", "timeout_rate_high"], horizon=24)
+    return rounded(out)
+
+
+@query("e49_batch_collation", sql=f"""WITH {REQ}, g AS (SELECT run_id, ['warmup', 'normal_hold', 'fault_hold', 'other'][1 + k % 4] AS phase, round(avg(latency_ms), 6) AS client_mean, max(latency_ms) AS client_max FROM req WHERE run_id % 6 <> 1 GROUP BY 1, 2),
+m AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM req GROUP BY 1), a AS (SELECT run_id, count(*) AS rows FROM req WHERE run_id % 8 <> 2 GROUP BY 1),
+s AS (SELECT run_id, max(client_mean) FILTER (phase = 'warmup') AS warmup_client_mean, max(client_mean) FILTER (phase = 'normal_hold') AS normal_client_mean, max(client_mean) FILTER (phase = 'fault_hold') AS fault_hold_client_mean,
+ max(client_max) FILTER (phase = 'warmup') AS warmup_client_max, max(client_max) FILTER (phase = 'normal_hold') AS normal_client_max, max(client_max) FILTER (phase = 'fault_hold') AS fault_hold_client_max FROM g GROUP BY 1)
+SELECT m.run_id, status, rows, s.* EXCLUDE (run_id) FROM m JOIN a USING (run_id) LEFT JOIN s USING (run_id) WHERE status = 'ok'""")
+def _(t):
+    r = requests(t)
+    names = F.array(*[F.lit(p) for p in ("warmup", "normal_hold", "fault_hold", "other")])
+    service = r.filter("run_id % 6 <> 1").groupBy("run_id", names[F.col("k") % 4].alias("phase")).agg(F.round(F.avg("latency_ms"), 6).alias("client_mean"), F.max("latency_ms").alias("client_max"))
+    manifest = r.select("run_id").distinct().withColumn("status", F.when(F.col("run_id") % 5 == 0, "failed").otherwise("ok"))
+    aligned = r.filter("run_id % 8 <> 2").groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+    return A.collated_batch(manifest, aligned, service, "run_id", status="status", phase="phase", phases={"warmup": "warmup", "normal_hold": "normal", "fault_hold": "fault_hold"},
+                            statistics=["client_mean", "client_max"], summary=["rows"])
+
+
+@query("e48_history_counts", sql=f"""WITH {REQ}, h AS (SELECT run_id, CASE event_type WHEN 'view' THEN 'single_inference' WHEN 'click' THEN 'serving_benchmark' WHEN 'error' THEN 'controlled_batch' ELSE 'llamacpp_offline_benchmark' END AS kind FROM req),
+x AS (SELECT run_id, kind, unnest(['all', CASE kind WHEN 'single_inference' THEN 'inference' WHEN 'llamacpp_offline_benchmark' THEN 'throughput' ELSE 'serving' END]) AS filter FROM h)
+SELECT run_id, filter, least(count(*), 5) AS shown, count(*) FILTER (kind = 'single_inference') AS inferences, count(*) FILTER (kind <> 'single_inference') AS benchmarks FROM x GROUP BY 1, 2""")
+def _(t):
+    e = F.col("event_type")
+    kind = F.when(e == "view", "single_inference").when(e == "click", "serving_benchmark").when(e == "error", "controlled_batch").otherwise("llamacpp_offline_benchmark")
+    return A.history_counts(requests(t).select("run_id", kind.alias("kind")), ["run_id"], "kind")
+
+
 @query("e45_abort_conditions", sql=f"""WITH {OPEN}, b AS (SELECT run_id, floor(scheduled_s / 24) AS bin, count(*) AS n, count(*) FILTER (dropped) AS d, count(*) FILTER (error_type = 'timeout') AS t, count(*) FILTER (NOT success) AS f FROM ol GROUP BY 1, 2),
 a AS (SELECT run_id, max(d / n) AS dm, max(t / n) AS tm, max(f / n) AS fm FROM b GROUP BY 1), h AS (SELECT run_id, count(*) AS n, max(k) AS mx FROM ol WHERE event_type = 'view' AND run_id % 9 <> 0 GROUP BY 1),
 x AS (SELECT a.run_id, dm, tm, fm, coalesce(n, 0) AS n, mx FROM a LEFT JOIN h USING (run_id)), r AS (SELECT *, concat_ws(',', CASE WHEN n = 0 THEN 'missing_gpu_telemetry' END, CASE WHEN mx > 97 THEN 'gpu_temperature_over_operator_limit' END,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from pulsegrid.operators.grid import dense_bins
 from pulsegrid.operators.keys import join_on
@@ -45,13 +45,32 @@ def read_csv(spark: SparkSession, path, schema: T.StructType, run: str | None =
 
 
 def read_jsonl(spark: SparkSession, path, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines: ``strict`` stops at a bad line, otherwise bad lines are left out."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """JSON lines: ``strict`` stops at a bad line and names its file and number, otherwise bad lines are left out. Blank lines are no rows."""
+    if not strict:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    told = F.raise_error(F.concat("file", F.lit(":"), F.col("line_no").cast("string"), F.lit(": invalid JSON line")))
+    checked = F.when(_is_bad("value"), told.cast("string")).otherwise(F.col("value"))
+    return lines.select(F.from_json(checked, schema, {"mode": "PERMISSIVE"}).alias("__r")).select("__r.*")
+
+
+def _is_bad(line: str) -> Column:
+    return F.json_object_keys(F.col(line)).isNull()
 
 
 def bad_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """The lines that are not JSON objects, for a report with their place."""
-    return lines.filter((F.trim(F.col(line)) != "") & F.json_object_keys(F.col(line)).isNull())
+    return lines.filter((F.trim(F.col(line)) != "") & _is_bad(line))
+
+
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``file, line_no, value`` of text files, lines counted from 1. A file may be read in many splits: each counts its own lines, and the counts of the splits before it
+    (one row per split) say where it begins, so no file meets in one task."""
+    lines = read_lines(spark, path)
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return join_on(lines, starts, ["file", "block"]).select("file", (F.col("__before") + F.col("line_no") + 1).alias("line_no"), "value")
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:

@@ -20,6 +20,7 @@ BOARD_ALIASES = {  # Fixed values: names a board status may use for each field.
     "has_dma": ("has_dma", "dma"), "has_sysmon": ("has_sysmon", "sysmon"), "temperature_c": ("temperature_c", "sysmon_temperature_c"),
     "vccint_v": ("vccint_v", "sysmon_vccint_v"), "vccaux_v": ("vccaux_v", "sysmon_vccaux_v"),
 }
+BOARD_CHANNELS = ("dma_mm2s_state", "dma_s2mm_state", "dma_channels_status")  # Fixed values: fields of the transfer channels, in JSON only
 BOARD_FLAGS = ("xrt_device_ready", "overlay_loaded", "has_rfdc", "has_dma", "has_sysmon")
 BOARD_NUMBERS = ("temperature_c", "vccint_v", "vccaux_v")
 BOARD_HINTS = {"has_rfdc": "rfdc", "has_dma": "dma", "has_sysmon": "sysmon"}
@@ -154,8 +155,9 @@ def repair_timestamps(lines: DataFrame, by: Sequence[str], line: str, share: flo
 
 
 def board_status(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """Board status from a JSON object with aliased keys, else from ``key: value`` lines and word hints."""
-    names = sorted({a for v in BOARD_ALIASES.values() for a in v})
+    """Board status from a JSON object with aliased keys, else from ``key: value`` lines and word hints. The states of the transfer channels are told
+    in JSON only; a nested channel status stays as JSON text."""
+    names = sorted({a for v in BOARD_ALIASES.values() for a in v} | set(BOARD_CHANNELS))
     doc = F.from_json(F.col(text), ", ".join(f"{n} string" for n in names))
     pairs = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.struct(
         F.lower(C.strip(F.substring_index(x, ":", 1))).alias("key"), C.strip(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"), x.contains(":").alias("ok"))),
@@ -180,7 +182,8 @@ def board_status(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
             hint = F.regexp_extract(F.col("__t"), r"(?im)^\s*(.*bit.*?)\s*$", 1)
             v = F.coalesce(v, F.when(~F.col("__json"), F.nullif(hint, F.lit(""))))
         out.append(v.alias(field))
-    return rows.select(*keep, *out)
+    channels = [F.when(F.col("__json"), F.col("__d")[c]).alias(c) for c in BOARD_CHANNELS]
+    return rows.select(*keep, *out, *channels)
 
 
 def range_matrix(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
