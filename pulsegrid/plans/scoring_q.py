@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.times import DAY, HOUR
-from pulsegrid.operators import scoring as M, sequence as Q
+from pulsegrid.operators import boosting as B, scoring as M, sequence as Q
 from pulsegrid.operators.keys import join_on
 from pulsegrid.operators.ordered import framed
 
@@ -197,13 +197,19 @@ def _(t):
     rows = Q.lags_and_slopes(_service(t, HOUR), BY, ["d"], "lat", [1, 2, 5], [5], width=192, block=SMALL)
     rows = Q.exponential_mean(rows, BY, ["d"], "lat", "ewma", 15, width=192)
     rows = M.cut(join_on(rows, _split(t), ["run_id"]))
+    ahead = framed(rows, BY, ["d"], lambda w: {f"future_{h}": F.lead("lat", h).over(w) for h in HORIZONS}, after=max(HORIZONS), width=192, block=SMALL)
+    ahead = M.cut(Q.forecast_frame(ahead, BY, ["d"], "lat", 1, width=192, block=SMALL).withColumn("rolling_median", F.coalesce("rolling_median", "lat")))
+    train = ahead.filter("NOT is_test")
+    trees = B.fit_trees(train, FEATURES, [f"future_{h}" for h in HORIZONS])
+    told = B.with_predictions(trees, ahead.filter("is_test"), {f"future_{h}": f"trees_{h}" for h in HORIZONS})
     parts = []
     for horizon in HORIZONS:
-        ahead = M.cut(Q.forecast_frame(rows, BY, ["d"], "lat", horizon, width=192, block=SMALL).withColumn("rolling_median", F.coalesce("rolling_median", "lat")))
-        train, test = ahead.filter("NOT is_test"), ahead.filter("is_test AND future IS NOT NULL")
-        for kind in ("linear", "ridge", "trees"):
-            test = M.forecast(M.fit_forecaster(train, FEATURES, "future", kind), test, FEATURES, kind)
-        parts.append(M.evaluate_forecasts(test, [], "future", FORECASTS).select(F.lit(horizon).alias("horizon"), "*"))
+        future = f"future_{horizon}"
+        test = told.filter(F.col(future).isNotNull())
+        for kind in ("linear", "ridge"):
+            test = M.forecast(M.fit_forecaster(train, FEATURES, future, kind), test, FEATURES, kind)
+        kinds = {**FORECASTS, "boosted_trees": f"trees_{horizon}"}
+        parts.append(M.evaluate_forecasts(test, [], future, kinds).select(F.lit(horizon).alias("horizon"), "*"))
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
 
 
@@ -272,10 +278,9 @@ def _(t):
     rows, names = M.normal_features(g, BY, ["d"], ["latency", "success_rate", "load"], [0, 1, 3, 5, 10, 30], 10, width=192, block=SMALL)
     rows = M.cut(join_on(rows, _split(t), ["run_id"]))
     targets = ["latency", "success_rate", "load"]
-    for y in targets:
-        model = M.fit_forecaster(rows.filter("NOT is_test"), names, f"target_{y}", "trees", rounds=400, step=0.03, depth=5)
-        rows = M.forecast(model, rows, names, f"pred_{y}").withColumn(f"res_{y}", F.col(f"target_{y}") - F.col(f"pred_{y}"))
-    rows = M.cut(rows)
+    model = B.fit_trees(rows.filter("NOT is_test"), names, [f"target_{y}" for y in targets], rounds=400, step=0.03, depth=5)
+    rows = B.with_predictions(model, rows, {f"target_{y}": f"pred_{y}" for y in targets})
+    rows = M.cut(rows.withColumns({f"res_{y}": F.col(f"target_{y}") - F.col(f"pred_{y}") for y in targets}))
     limits = M.behaviour_thresholds(rows.filter("NOT is_test"), {y: f"res_{y}" for y in targets})
     wide = limits.groupBy().agg(*[F.max(F.when(F.col("target") == y, F.col("threshold"))).alias(f"lim_{y}") for y in targets])
     scored = join_on(rows.filter("is_test").withColumn("__k", F.lit(1)), wide.withColumn("__k", F.lit(1)), ["__k"]).drop("__k")

@@ -74,16 +74,16 @@ def test_gaps_are_filled_by_the_exact_median(spark):
 
 
 def _fits(spark, monkeypatch, name):
-    """The query with every fit noted and small: its rows, and (target, kind, features, sizes) of the fits."""
-    from pulsegrid.operators import scoring
+    """The query with every fit of trees noted and made small: its rows, and (targets, features, sizes) of the fits."""
+    from pulsegrid.operators import boosting
     from pulsegrid.plans import catalog
 
-    fit, seen = scoring.fit_forecaster, []
+    fit, seen = boosting.fit_trees, []
 
-    def small(train, features, target, kind="ridge", **sizes):
-        seen.append((target, kind, list(features), sizes))
-        return fit(train, features, target, "ridge")
-    monkeypatch.setattr(scoring, "fit_forecaster", small)
+    def small(train, features, targets, **sizes):
+        seen.append((list(targets), list(features), sizes))
+        return fit(train, features, targets, rounds=2, depth=2)
+    monkeypatch.setattr(boosting, "fit_trees", small)
     return catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect(), seen
 
 
@@ -92,12 +92,12 @@ def test_forecasters_run_at_every_horizon(spark, monkeypatch):
     models = {"persistence", "rolling_median", "ewma", "linear", "ridge", "boosted_trees"}
     assert {(r["horizon"], r["model"]) for r in rows} == {(h, m) for h in (10, 30, 60) for m in models}
     assert all(r["n"] > 0 for r in rows)
-    assert [kind for _, kind, _, _ in seen] == ["linear", "ridge", "trees"] * 3
+    assert [(targets, sizes) for targets, _, sizes in seen] == [(["future_10", "future_30", "future_60"], {})]
 
 
 def test_normal_behaviour_uses_all_lags_and_full_trees(spark, monkeypatch):
     rows, seen = _fits(spark, monkeypatch, "m13_normal_behaviour")
-    assert rows and len(seen) == 3
-    for _, kind, features, sizes in seen:
-        assert kind == "trees" and sizes == {"rounds": 400, "step": 0.03, "depth": 5}
-        assert {f"latency_lag{k}" for k in (0, 1, 3, 5, 10, 30)} <= set(features)
+    assert rows and len(seen) == 1
+    targets, features, sizes = seen[0]
+    assert targets == ["target_latency", "target_success_rate", "target_load"] and sizes == {"rounds": 400, "step": 0.03, "depth": 5}
+    assert {f"latency_lag{k}" for k in (0, 1, 3, 5, 10, 30)} <= set(features)
