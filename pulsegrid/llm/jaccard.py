@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import BLANKS, stored
+from .shared import BLANKS, lean, stored
 
 LONG, LOCAL_LONG = 128, 64  # longest list that is compared; longest of one level of size in a slice
 BLOCK, BLOCK_MEMBERS = 256, 1 << 18
@@ -280,7 +280,7 @@ def frequent(docs: DataFrame, width: int, least: int = 8, most: int = 1 << 20) -
             often = n >= 2
             yield pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["s", "n"])
 
-    table = (docs.select("text").mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    table = (docs.select("text").mapInArrow(lean(count), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
              .orderBy(F.col("n").desc(), "s").limit(most).toArrow())
     return np.sort(table.column("s").to_numpy().view(np.uint64))
 
@@ -295,7 +295,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                  pa.array([class_id(s) if len(s) else None for s in sets], pa.binary()),
                  pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "tx", "n", "cid", "bits"])
 
-    return docs.select("doc_id", "tx", "text").mapInArrow(profile, PROFILE)
+    return docs.select("doc_id", "tx", "text").mapInArrow(lean(profile), PROFILE)
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, buckets: int, late) -> DataFrame:
@@ -343,7 +343,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, buckets: int, late) -> D
                 [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
                  *[pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (short, names[owner], level, hot.astype(np.uint8))]], schema=_PREFIX)
 
-    return docs.select("text").mapInArrow(prefix, PREFIX)
+    return docs.select("text").mapInArrow(lean(prefix), PREFIX)
 
 
 # ---- lists of classes that share a prefix member -----------------------------------------------------------------
@@ -413,7 +413,7 @@ def in_runs(df: DataFrame, key: str, work: Callable[[pa.Table], pa.RecordBatch |
             if out is not None:
                 yield out
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(lean(run), schema)
 
 
 def _edges(ids: list[bytes], groups: Groups) -> pa.RecordBatch | None:
@@ -495,7 +495,7 @@ def key_filter(keys: DataFrame, count: int, most: int = 1 << 30) -> np.ndarray:
         return pa.table({"part": rows.column("part")[:1], "data": pa.array([np.bitwise_or.reduce(data, axis=0).tobytes()], pa.binary())})
 
     out = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-    table = keys.mapInArrow(parts, "part bigint, data binary").groupBy("part").applyInArrow(joined, "part bigint, data binary").toArrow()
+    table = keys.mapInArrow(lean(parts), "part bigint, data binary").groupBy("part").applyInArrow(joined, "part bigint, data binary").toArrow()
     for part, data in zip(table.column("part").to_pylist(), table.column("data").to_pylist()):
         out[part] = np.frombuffer(data, np.uint8)
     return out.ravel()
@@ -560,12 +560,18 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     """The rows of ``df``, one of every group: that with the smallest id, a null id only if there is no other. Texts without words all stay."""
     found = stored(linked(df, key, text, width, percent).select("doc_id", "tx", "group_id"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")
-    chosen = (found.filter("group_id is not null").groupBy("group_id").agg(F.min(order).alias("r")).select("r.doc_id", "r.tx")
-              .unionByName(found.filter("group_id is null").select("doc_id", "tx").distinct()))
-    rows = df.select(F.struct("*").alias("__row"), F.col(key).cast("bigint").alias("__id"), F.xxhash64(F.col(text)).alias("__tx"),
+    # The same three columns, none of them null, for the join and for what repeats: texts are shuffled once.
+    same = ["__none", "__id", "__tx"]
+
+    def named(ident, tx):
+        return [ident.isNull().alias("__none"), F.coalesce(ident, F.lit(0)).alias("__id"), tx.alias("__tx")]
+
+    chosen = (found.filter("group_id is not null").groupBy("group_id").agg(F.min(order).alias("r"))
+              .select(*named(F.col("r.doc_id"), F.col("r.tx"))))
+    rows = df.select(F.struct("*").alias("__row"), *named(F.col(key).cast("bigint"), F.xxhash64(F.col(text))),
                      F.coalesce(F.length(F.translate(F.col(text), BLANKS, "")) > 0, F.lit(False)).alias("__words"))
-    kept = rows.join(chosen, (F.col("__tx") == F.col("tx")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
-    return (kept.filter("__words").dropDuplicates(["__id", "__tx"]).unionByName(kept.filter("not __words"))).select("__row.*")
+    kept = rows.filter("__words").join(chosen, same, "left_semi").dropDuplicates(same)
+    return kept.select("__row").unionByName(rows.filter("not __words").select("__row")).select("__row.*")
 
 
 def _sets_of(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, fine: bool) -> DataFrame:
@@ -587,7 +593,7 @@ def _sets_of(docs: DataFrame, of_docs: DataFrame, live: DataFrame, width: int, f
                     [pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([(bitmap(s, FINE) if fine else s).tobytes() for s in sets], pa.binary())], names=["cid", "n", name])
 
-    sets = docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(members, f"cid binary, n bigint, {name} binary")
+    sets = docs.select(F.xxhash64("doc_id", "tx").alias("h"), "text").mapInArrow(lean(members), f"cid binary, n bigint, {name} binary")
     return sets.groupBy("cid").agg(F.first("n").alias("n"), F.first(name).alias(name))
 
 

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .shared import lean
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS, MAX_CHARS = 15, 80
 CUED, REACH = 3, 240  # atoms before a segment whose cue words count; characters about a sign that are read, well over MAX_CHARS
@@ -392,7 +394,7 @@ def snippets(df: DataFrame, text: str, key: str, max_docs: int, max_islands: int
                 out += [t[a:b] for a, b in pieces]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["piece"])
 
-    found = drawn.mapInArrow(cut, "piece string").distinct().orderBy(F.xxhash64("piece"), "piece").limit(max_islands).collect()
+    found = drawn.mapInArrow(lean(cut), "piece string").distinct().orderBy(F.xxhash64("piece"), "piece").limit(max_islands).collect()
     return [(r["piece"], pattern_spans(r["piece"])) for r in found]
 
 
@@ -445,4 +447,4 @@ def _mapped(df: DataFrame, field: Field | None, text: str, added: list[T.StructF
                     columns["spans"] = pa.array([_named(s) for _, s in spans], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([columns[n] for n in order], names=order)
 
-    return df.mapInArrow(run, T.StructType([*kept, *added]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, *added]))

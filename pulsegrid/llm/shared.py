@@ -60,3 +60,22 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) ->
     starts = stored(here.select(*by, "__part", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
                                 F.sum("__rows").over(Window.partitionBy(*by)).alias("n")), "starts")
     return held.join(starts, [*by, "__part"]).withColumn("pos", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` on the batches of a task, after which its Python worker gives back the memory it no longer uses: workers wait for their next task, and what several
+    stages leave behind would add up beside the executor's own."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+    return run
