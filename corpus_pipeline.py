@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; ``n_chars`` follows."""
-    small_batches(spark)
+    small_batches(spark, 4 << 20)
     out = pii.masked(docs, pii.learn(docs))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
 
@@ -41,8 +41,8 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again, as digests."""
-    small_batches(spark)
+    """Every document encoded and decoded again, as digests. Texts, ids and decoded texts are held side by side, so batches are small."""
+    small_batches(spark, 2 << 20)
     return token_digests(docs)
 
 

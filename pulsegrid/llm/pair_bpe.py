@@ -4,7 +4,7 @@ All words of a batch that the worker has not met yet are encoded together. Every
 is listed with all its places; ranks that have places are taken in ascending order; a merge at a place strikes the pairs
 beside it and lists the pairs it makes. Vocabularies whose merges ascend (each merge uses only what earlier ones
 made) can never get a new pair of lower rank, so this order gives each word what merging it by itself gives; for others
-loading fails. No shuffle takes place: words are remembered per worker, up to ``remember`` of them.
+loading fails. No shuffle takes place: words of up to ``LONG`` characters are remembered within a task, up to ``remember`` of them.
 
 Texts are normalised first as the vocabulary's file says: NFC, small letters one character at a time, white space dropped. Strings of special
 tokens are found in the text as it stands. Decoding joins the tokens' strings by a space, special ones included.
@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .shared import lean
 from .token_count import Splitter
 from .vocabulary import Vocabulary, letters, load
 
@@ -33,6 +34,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEW_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
                 (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
 SMALL = {c: c + by for first, last, by in NEW_CAPITALS for c in range(first, last + 1)} | {0x3A3: 0x3C3}  # no final form of sigma
+AT_ONCE = 8192  # words under one index
+LONG = 64  # characters
 SLICE = 512  # documents that Python holds at a time
 
 
@@ -105,7 +108,7 @@ def encode_words(words: list[str], v: Vocabulary) -> list[bytes]:
 class Codec:
     """Encodes and decodes with one vocabulary; remembers the ids of words, starting anew at ``remember`` of them."""
 
-    def __init__(self, v: Vocabulary, pattern: str = SPLIT, remember: int = 300_000):
+    def __init__(self, v: Vocabulary, pattern: str = SPLIT, remember: int = 100_000):
         if not v.merges_ascend():
             raise ValueError("the vocabulary's merges do not ascend: a pair index could merge out of order")
         self.v, self.remember, self.known = v, remember, {}
@@ -135,8 +138,14 @@ class Codec:
             fresh.discard(w)
             self.known[w] = np.array([self.v.specials[w[1:]]], dtype="<u4").tobytes()
         words = list(fresh)
-        self.known.update(zip(words, encode_words(words, self.v)))
-        return [b"".join(map(self.known.__getitem__, t)) for t in texts]
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at:at + AT_ONCE]
+            self.known.update(zip(part, encode_words(part, self.v)))
+        out = [b"".join(map(self.known.__getitem__, t)) for t in texts]
+        for w in words:
+            if len(w) > LONG:  # kept for its own batch only
+                del self.known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -145,31 +154,49 @@ class Codec:
 _LOADED: dict[tuple, Codec] = {}  # one codec per worker process and vocabulary
 
 
-def _mapped(df: DataFrame, path: str, source: str, target: str, kind: T.DataType, arrow: pa.DataType, work, pattern: str, remember: int) -> DataFrame:
+IDS, DECODED = ("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())
+
+
+def _mapped(df: DataFrame, path: str, source: str, targets: list[tuple], work, pattern: str, remember: int) -> DataFrame:
+    """``df`` with the columns ``targets``, of which ``work(codec, values)`` gives a list each."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))  # bounded by the vocabulary
-    kept = [f for f in df.schema.fields if f.name != target]
+    names = [t[0] for t in targets]
+    kept = [f for f in df.schema.fields if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (path, pattern, remember)
         if key not in _LOADED:
             _LOADED[key] = Codec(shared.value, pattern, remember)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                made = pa.array(work(_LOADED[key], part.column(source).to_pylist()), arrow)
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], made], names=[*[f.name for f in kept], target])
+        codec = _LOADED[key]
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    made = [pa.array(values, t[2]) for values, t in zip(work(codec, part.column(source).to_pylist()), targets)]
+                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], names=[*[f.name for f in kept], *names])
+        finally:
+            codec.known = {}  # a worker waits for its next task without them
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(target, kind)]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, *[T.StructField(t[0], t[1]) for t in targets]]))
 
 
-def encoded(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 300_000) -> DataFrame:
+def encoded(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 100_000) -> DataFrame:
     """Adds ``ids``: the token ids as little-endian 32-bit integers."""
-    return _mapped(df, path, text, "ids", T.BinaryType(), pa.binary(), _encode, pattern, remember)
+    return _mapped(df, path, text, [IDS], lambda c, texts: (_encode(c, texts),), pattern, remember)
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``: the text that the ids stand for."""
-    return _mapped(df, path, ids, "decoded", T.StringType(), pa.string(), _decode, SPLIT, 300_000)
+    return _mapped(df, path, ids, [DECODED], lambda c, ids: (_decode(c, ids),), SPLIT, 100_000)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 100_000) -> DataFrame:
+    """Adds ``ids`` and, from these alone, ``decoded``: both ways in one worker, which holds the vocabulary once."""
+    def both(codec: Codec, texts: list) -> tuple[list, list]:
+        ids = _encode(codec, texts)
+        return ids, _decode(codec, ids)
+
+    return _mapped(df, path, text, [IDS, DECODED], both, pattern, remember)
 
 
 def _encode(codec: Codec, texts: list) -> list[bytes]:

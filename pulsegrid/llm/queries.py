@@ -134,7 +134,7 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def token_digests(docs: DataFrame) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     path = tokenizer("word_bpe_49k.json")
-    back = pair_bpe.decoded(pair_bpe.encoded(docs.select("doc_id", "text"), path).drop("text"), path)
+    back = pair_bpe.round_trip(docs.select("doc_id", "text"), path)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -142,6 +142,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query("op9_pair_index_bpe")
 def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document through the encoder and the decoder."""
+    small_batches(spark, 2 << 20)  # texts, ids and decoded texts are held side by side
     return token_digests(table(spark, folder, "documents"))
 
 
