@@ -108,7 +108,7 @@ def encode_words(words: list[str], v: Vocabulary) -> list[bytes]:
 class Codec:
     """Encodes and decodes with one vocabulary; remembers the ids of words, starting anew at ``remember`` of them."""
 
-    def __init__(self, v: Vocabulary, pattern: str = SPLIT, remember: int = 100_000):
+    def __init__(self, v: Vocabulary, pattern: str = SPLIT, remember: int = 300_000):
         if not v.merges_ascend():
             raise ValueError("the vocabulary's merges do not ascend: a pair index could merge out of order")
         self.v, self.remember, self.known = v, remember, {}
@@ -180,17 +180,17 @@ def _mapped(df: DataFrame, path: str, source: str, targets: list[tuple], work, p
     return df.mapInArrow(lean(run), T.StructType([*kept, *[T.StructField(t[0], t[1]) for t in targets]]))
 
 
-def encoded(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 100_000) -> DataFrame:
+def encoded(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 300_000) -> DataFrame:
     """Adds ``ids``: the token ids as little-endian 32-bit integers."""
     return _mapped(df, path, text, [IDS], lambda c, texts: (_encode(c, texts),), pattern, remember)
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``: the text that the ids stand for."""
-    return _mapped(df, path, ids, [DECODED], lambda c, ids: (_decode(c, ids),), SPLIT, 100_000)
+    return _mapped(df, path, ids, [DECODED], lambda c, ids: (_decode(c, ids),), SPLIT, 300_000)
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 100_000) -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", pattern: str = SPLIT, remember: int = 300_000) -> DataFrame:
     """Adds ``ids`` and, from these alone, ``decoded``: both ways in one worker, which holds the vocabulary once."""
     def both(codec: Codec, texts: list) -> tuple[list, list]:
         ids = _encode(codec, texts)
