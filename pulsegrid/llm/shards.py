@@ -6,7 +6,9 @@ same bytes. The map is small (one row per slot), kept as a versioned table, and
 an edit moves as few slots as it takes. Rows meet the map by a broadcast join, bounded by the number of slots.
 
 Defined results: a null text has size 1 and checksum 0; a null id is hashed like any other value, along with the text, so
-that records without an id spread over the slots. Repeated rows share a slot and get places side by side. An empty table
+that records without an id spread over the slots. Repeated rows (equal id, checksum and size) share a slot and get places side by
+side, unless they make up a sixteenth of a shard's bytes or rows: such copies are dealt over all slots by a number they got when
+the digests were stored, for a slot cannot be split. An empty table
 gives an empty result and a map that deals the slots out evenly. Extra columns are not carried along.
 """
 
@@ -32,11 +34,26 @@ class Slot:
     first: int  # how many rows of the same shard lie in slots before this one
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """One narrow row per record: key, size, checksum of the text and virtual slot."""
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One narrow row per record: key, size, checksum of the text and a number of its own, which holds once the rows are stored."""
     checksum = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return df.select(F.col(key), (utf8_size(F.col(text)) + 1).alias("size"), checksum.alias("text_crc32")).withColumn(
-        "vslot", F.pmod(F.xxhash64(F.col(key), "text_crc32", "size"), F.lit(slots)).cast("int"))
+    return df.select(F.col(key), (utf8_size(F.col(text)) + 1).alias("size"), checksum.alias("text_crc32"), F.monotonically_increasing_id().alias("number"))
+
+
+def slotted(rows: DataFrame, key: str = "doc_id", slots: int = SLOTS, shards: int = 8) -> DataFrame:
+    """Adds the virtual slot to stored digests.
+
+    Copies of one record are counted map-side. Groups with over a sixteenth of a shard's mean bytes or rows are fewer than 32 * ``shards``, so
+    their list may be broadcast; it decides whether a row's number takes part in the hash.
+    """
+    groups = rows.groupBy(key, "text_crc32", "size").agg(F.count("*").alias("n"))
+    whole = rows.agg(F.sum("size").alias("all_bytes"), F.count("*").alias("all_rows"))
+    share = 16 * shards
+    many = groups.filter("n > 1").join(F.broadcast(whole), (F.col("n") * F.col("size") * share > F.col("all_bytes")) | (F.col("n") * share > F.col("all_rows")))
+    many = many.select(F.struct(key, "text_crc32", "size").alias("record"), F.lit(True).alias("dealt"))
+    marked = rows.withColumn("record", F.struct(key, "text_crc32", "size")).join(F.broadcast(many), "record", "left")
+    number = F.when(F.col("dealt"), F.col("number"))  # null, and without effect on the hash, for all other rows
+    return marked.select(key, "size", "text_crc32", F.pmod(F.xxhash64(key, "text_crc32", "size", number), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -121,7 +138,7 @@ def sharded(df: DataFrame, folder: str, shards: int = 8, key: str = "doc_id", te
     Returns key, size, text_crc32, vslot, shard, slot (place in the shard) and next_shard (under version 1).
     """
     spark = df.sparkSession
-    rows = stored(digests(df, key, text, slots), "digests")
+    rows = stored(slotted(stored(digests(df, key, text), "digests"), key, slots, shards), "slots")
     loads = slot_loads(rows, slots)
     now = first_map(loads, shards)
     current = save_map(spark, folder, 0, now)

@@ -62,6 +62,28 @@ def test_shards_are_even_and_places_have_no_gaps(spark):
     assert len({(r["doc_id"], r["shard"]) for r in out if r["doc_id"] == 3}) == 1
 
 
+def test_copies_of_one_record_are_dealt_over_the_slots(spark):
+    rows = [(7, "the same text again")] * 800 + [(1000 + i, f"text {i} " + "x" * (i % 90)) for i in range(1200)] + [(None, None)] * 900
+    out = shards.sharded(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), new_folder(spark, "t")).collect()
+    loads, count = [0] * shards.SLOTS, [0] * shards.SLOTS
+    for r in out:
+        loads[r["vslot"]] += r["size"]
+        count[r["vslot"]] += 1
+    assert max(count) < 20 and sum(count) == len(rows)
+    owner, held = {}, [0] * 8  # the map by brute force: largest slot first, to the shard that holds least and was filled least often
+    filled = [0] * 8
+    for s in sorted(range(shards.SLOTS), key=lambda s: (-loads[s], s)):
+        k = min(range(8), key=lambda k: (held[k], filled[k], k))
+        owner[s], held[k], filled[k] = k, held[k] + loads[s], filled[k] + 1
+    assert max(held) - min(held) <= max(r["size"] for r in out)
+    assert all(r["shard"] == owner[r["vslot"]] for r in out)
+    for k in range(8):
+        mine = sorted((r for r in out if r["shard"] == k), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(len(mine)))
+        order = [(r["vslot"], r["doc_id"] is not None, r["doc_id"] or 0) for r in mine]
+        assert order == sorted(order)
+
+
 def test_map_versions_and_edits(spark):
     loads = [((i * 7919) % 1000 + 1, 1) for i in range(512)]
     first = shards.first_map(loads, 8)
