@@ -209,6 +209,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("row")
                         ).withColumn("sha1", F.sha1("payload"))
+    rows = stored(rows, "records")  # the numbers hold once stored, whatever the input is; the grouping below reads narrow columns only
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     first = (rows.groupBy("sha1").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
              .select(F.col("sha1"), F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")))
@@ -285,10 +286,16 @@ def index_ranges(manifest: DataFrame, range_bytes: int = 1 << 22) -> DataFrame:
                      pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
                     names=["archive", "start", "length", "sizes"])
 
-    return manifest.select("archive").mapInArrow(ranges, ENTRIES)
+    archives = manifest.count()
+    return manifest.repartition(_tasks(manifest, archives, -(-archives // 64)), "archive").select("archive").mapInArrow(ranges, ENTRIES)
 
 
-def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int = 1 << 22) -> DataFrame:
+def _tasks(df: DataFrame, units: int, least: int) -> int:
+    """Enough tasks for all cores and for the bytes, but no more than there are units of work."""
+    return max(1, min(units, max(least, df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int = 1 << 22, task_bytes: int = 1 << 28) -> DataFrame:
     """The pages that the packages hold, in the columns of PAGES. Without ``payloads`` that column stays null."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -305,5 +312,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, range_bytes: int =
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], schema.field(i).type) for i in range(7)], schema=schema)
 
-    ranges = index_ranges(manifest, range_bytes)
-    return ranges.repartition(F.col("archive"), F.col("start")).mapInArrow(records, PAGES)
+    # The list of ranges is tiny beside what it stands for: the number of tasks follows the packages' bytes.
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    tasks = _tasks(manifest, -(-size // range_bytes), -(-size // task_bytes))
+    return index_ranges(manifest, range_bytes).repartition(tasks, "archive", "start").mapInArrow(records, PAGES)

@@ -124,6 +124,16 @@ def test_directory_of_other_writers_and_damage():
         warc_zip.parse_record(record.replace(b"abc", b"abd"))
 
 
+def test_archives_of_a_shuffled_input_are_read_by_many_tasks(spark):
+    rows = [(i, f"u{i}", f"page {i % 70}" * 30) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6).distinct()
+    manifest = warc_zip.write_archives(pages, new_folder(spark, "t"), package_bytes=4000)
+    back = warc_zip.read_archives(manifest, range_bytes=500)
+    assert back.rdd.getNumPartitions() > 1 and back.select(F.spark_partition_id()).distinct().count() > 1
+    kinds = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in back.collect()}
+    assert kinds == {i: ("response", None) if i < 70 else ("revisit", i % 70) for i in range(300)}
+
+
 def test_archives_of_an_empty_table(spark):
     manifest = warc_zip.write_archives(spark.createDataFrame([], PAGES), new_folder(spark, "t"))
     assert manifest.count() == 0 and warc_zip.read_archives(manifest).count() == 0
