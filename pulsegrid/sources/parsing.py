@@ -12,6 +12,7 @@ from pulsegrid.operators.keys import col, join_on
 from pulsegrid.operators.ordered import fill, running
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
+# The forms of exposition lines and their labels.
 EXPOSITION = r"^([A-Za-z_:][A-Za-z0-9_:]*)(\{.*\})?\s+(" + NUMBER + r")(?:\s+(\d+))?\s*$"
 LABEL = r'(\w+)="((?:\\.|[^"\\])*)"'
 BOARD_ALIASES = {  # Fixed values: names a board status may use for each field.
@@ -32,16 +33,20 @@ def exposition(lines: DataFrame, line: str = "value") -> DataFrame:
     x = F.col(line)
     rows = lines.filter(x.rlike(EXPOSITION) & ~x.startswith("#"))
     blob = F.regexp_extract(x, EXPOSITION, 2)
-    keys = F.regexp_extract_all(blob, F.lit(LABEL), F.lit(1))
     raw = F.regexp_extract_all(blob, F.lit(LABEL), F.lit(2))
     values = F.transform(raw, lambda v: F.replace(F.replace(F.replace(F.replace(
         v, F.lit("\\\\"), F.lit("\0")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\")))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    later = lambda i: F.slice(pairs, i + 2, F.size(pairs) - i - 1)
-    last = F.filter(pairs, lambda e, i: ~F.exists(later(i), lambda x: x["k"] == e["k"]))
+    pairs = F.arrays_zip(F.regexp_extract_all(blob, F.lit(LABEL), F.lit(1)).alias("k"), values.alias("v"))
+
+    def last(p):  # looks for later copies only where a label is repeated
+        later = lambda i: F.slice(p, i + 2, F.size(p) - i - 1)
+        repeated = F.size(F.array_distinct(F.transform(p, lambda e: e["k"]))) < F.size(p)
+        return F.when(repeated, F.filter(p, lambda e, i: ~F.exists(later(i), lambda z: z["k"] == e["k"]))).otherwise(p)
+
+    labels = F.transform(F.array(pairs), lambda p: F.map_from_entries(last(p)))[0]  # the one-element array binds the pairs once
     return rows.select(
         *[c for c in lines.columns if c != line], F.regexp_extract(x, EXPOSITION, 1).alias("metric"),
-        F.map_from_entries(last).alias("labels"), F.regexp_extract(x, EXPOSITION, 3).try_cast("double").alias("value"),
+        labels.alias("labels"), F.regexp_extract(x, EXPOSITION, 3).try_cast("double").alias("value"),
         F.timestamp_millis(F.regexp_extract(x, EXPOSITION, 4).try_cast("bigint")).cast("timestamp_ntz").alias("ts"))
 
 
