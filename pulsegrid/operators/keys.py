@@ -21,6 +21,8 @@ def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     threshold, and otherwise shuffles with adaptive skew handling. The one exception is a right side
     grouped by the constant key alone, which has one row at most.
     """
+    if not by:
+        raise ValueError("a join needs a key: keyed() gives frames without one the constant key")
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in by else F.col(c) for c in right.columns])
     if list(by) == [CONSTANT]:
         renamed = F.broadcast(renamed)
@@ -66,14 +68,14 @@ def unpacked(keys: Sequence[str]) -> list[Column]:
     return [F.col(PACKED)[c].alias(c) for c in keys]
 
 
-def value_code(value) -> Column:
+def value_code(value, steps: int = 8192) -> Column:
     """Coarse order-preserving bucket of a number: equal or larger values never get a smaller code.
 
-    A bucket spans a fixed relative width (2**-13 of an octave), so any one bucket of a large group
+    A bucket spans a fixed relative width (an octave has ``steps``), so any one bucket of a large group
     stays small whatever the unit of the values.
     """
     v = col(value).cast("double")
-    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(8192.0))
+    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(float(steps)))
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude).cast("bigint")
 
 
@@ -117,5 +119,7 @@ def delete_folder(spark, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store an intermediate result in the shared folder, so later steps do not compute it again."""
-    return df.checkpoint() if shared_folder(df.sparkSession) else df
+    """Store an intermediate result in the shared folder, so later steps do not compute it again. A cluster that names no folder gets
+    an error at once."""
+    scratch_folder(df.sparkSession)
+    return df.checkpoint()

@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task's memory. Here a group's values are
-counted, bucketed by an order-preserving code, and the bucket counts give the bucket in which each wanted
-rank falls; only the values of those buckets are then ordered. No task holds a group.
+``percentile`` keeps every distinct value of a group in one task's memory. Here a first pass counts a group's
+values by an order-preserving code, combined map-side: the shuffle carries one row per code, however many values
+there are. The counts give the buckets in which the wanted ranks fall. A second pass reads the values again and keeps
+those of the chosen buckets, told by a bitmap of fixed size before anything is shuffled; only these are ordered.
 """
 
 from __future__ import annotations
@@ -62,6 +63,28 @@ def quantiles(df: DataFrame, by: Sequence[str], specs: Mapping[str, Spec]) -> Da
     return found.select(*unpacked(keys), *specs).drop(*spare(by))
 
 
+STEPS = 1024  # codes per octave of the first pass
+WORDS = 1 << 14  # words of 64 bits in the marks of the chosen buckets
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64(PACKED, "__m", "__b"), F.lit(WORDS * 64))
+
+
+def _marks(chosen: DataFrame) -> Column:
+    """A bitmap of fixed size (128 KB) over the hashes of the chosen buckets, as a scalar subquery."""
+    bits = chosen.select(F.shiftright(_place(), 6).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(_place(), F.lit(64)).cast("int")).alias("__o"))
+    every = chosen.sparkSession.range(0, WORDS, 1, 1).select(F.col("id").alias("__w"), F.lit(0).cast("bigint").alias("__o"))
+    words = bits.unionByName(every).groupBy("__w").agg(F.bit_or("__o").alias("__o"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("__w", "__o"))), lambda x: x["__o"])).scalar()
+
+
+def _marked(marks: Column) -> Column:
+    """Whether a row may lie in a chosen bucket: never false for one that does."""
+    word = F.get(marks, F.shiftright(_place(), 6).cast("int"))
+    return F.getbit(word, F.pmod(_place(), F.lit(64)).cast("int")) == 1
+
+
 def _quantiles(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
     """``quantiles`` of a frame whose keys are packed; every step shares that key."""
     values: list[Column] = []
@@ -76,12 +99,8 @@ def _quantiles(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
     rows = df.select(PACKED, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.alias("v"))
                                                  for i, v in enumerate(values)])).alias("__x"))
     rows = rows.select(PACKED, F.col("__x.m").alias("__m"), (F.col("__x.v") + F.lit(0.0)).alias("__v")) \
-        .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    counted = rows.groupBy(PACKED, "__m", "__v").agg(F.count(F.lit(1)).alias("__n")) \
-        .withColumn("__b", value_code("__v"))
-    # Nothing is null here; saying so up front keeps both uses of the counts alike, so they share one shuffle.
-    counted = counted.filter(F.col("__m").isNotNull() & F.col("__b").isNotNull())
-    buckets = counted.groupBy(PACKED, "__m", "__b").agg(F.sum("__n").alias("__bn"))
+        .filter(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn("__b", value_code("__v", STEPS))
+    buckets = rows.groupBy(PACKED, "__m", "__b").agg(F.count(F.lit(1)).alias("__bn"))
     group = W.partitionBy(PACKED, "__m")
     ordered = group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     buckets = buckets.withColumn("__total", F.sum("__bn").over(group)) \
@@ -96,16 +115,18 @@ def _quantiles(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
 
     hit = reduce(lambda a, b: a | b,
                  [wanted(n, f(position(n))) for n in specs for f in (F.floor, F.ceil)])
-    chosen = buckets.filter(hit).select(PACKED, "__m", "__b", "__total",
+    chosen = buckets.filter(hit).select(PACKED, "__m", "__b", "__total", "__upto",
                                         (F.col("__upto") - F.col("__bn")).alias("__below"))
+    counted = rows.filter(_marked(_marks(chosen))).groupBy(PACKED, "__m", "__b", "__v").agg(F.count(F.lit(1)).alias("__n"))
     near = counted.join(chosen, [PACKED, "__m", "__b"])
     inside = W.partitionBy(PACKED, "__m", "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = near.withColumn("__end", F.col("__below") + F.sum("__n").over(inside)) \
-        .withColumn("__start", F.col("__end") - F.col("__n"))
+    near = near.withColumn("__end", F.col("__below") + F.sum("__n").over(inside))
 
     def at(name, rank):
-        here = (F.col("__m") == which[name]) & (rank >= F.col("__start")) & (rank < F.col("__end"))
-        return F.max(F.when(here, F.col("__v")))
+        # The smallest value that reaches the rank. A value computed anew may differ in its last bit and lie in the next bucket; the
+        # bucket's largest value then stands for it.
+        here = (F.col("__m") == which[name]) & (rank >= F.col("__below")) & (rank < F.col("__upto"))
+        return F.coalesce(F.min(F.when(here & (rank < F.col("__end")), F.col("__v"))), F.max(F.when(here, F.col("__v"))))
 
     parts = []
     for n in specs:
