@@ -14,17 +14,18 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner", *, small: bool = False) -> DataFrame:
     """Equi-join on ``by`` where a null key equals a null key; the key columns appear once.
 
     No side is hinted: Spark broadcasts a side only when its measured size is under the session's
-    threshold, and otherwise shuffles with adaptive skew handling. The one exception is a right side
-    grouped by the constant key alone, which has one row at most.
+    threshold, and otherwise shuffles with adaptive skew handling. The exceptions are a right side
+    grouped by the constant key alone, which has one row at most, and one that is ``small`` by construction
+    or by its counted rows: a shuffle by a handful of keys would put all rows of a key into one task.
     """
     if not by:
         raise ValueError("a join needs a key: keyed() gives frames without one the constant key")
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in by else F.col(c) for c in right.columns])
-    if list(by) == [CONSTANT]:
+    if small or list(by) == [CONSTANT]:
         renamed = F.broadcast(renamed)
     condition = None
     for c in by:
@@ -118,6 +119,14 @@ def delete_folder(spark, path: str) -> None:
     fs.delete(where, True)
 
 
+SMALL_ROWS = 500_000  # rows of a few numbers that every executor may hold
+
+
+def is_small(held: DataFrame) -> bool:
+    """Whether a stored frame (``cut``) has few enough rows to be sent to every executor."""
+    return held.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Store an intermediate result in the shared folder, so later steps do not compute it again. A cluster that names no folder gets
     an error at once."""

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .grid import ratio
-from .keys import col, cut, join_on, keyed, value_code
+from .keys import col, cut, is_small, join_on, keyed, value_code
 from .ordered import fill, framed, lagged, numbered, running
 from .quantiles import quantiles, summarise
 from .sequence import exponential_mean, first_sustained, forecast_frame, future_label, rolling, sustained
@@ -55,12 +55,22 @@ def group_folds(df: DataFrame, run: str, k: int = 5, *, width, order: str | None
     return both.select((F.pmod(F.col("__n") - F.col("__rn"), F.lit(k)) + 1).alias("fold"), run)
 
 
-def with_folds(df: DataFrame, fold_tests: DataFrame, run: str) -> DataFrame:
+FOLD_ROWS = 1_000_000  # multiplied rows of a task where rows are dealt by their keys
+
+
+def with_folds(df: DataFrame, fold_tests: DataFrame, run: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Every row once per fold with ``is_test``. The list of fold names is small by construction and is
-    read when the query is built; the rows themselves are only multiplied, not shuffled."""
-    names = [r[0] for r in fold_tests.select("fold").distinct().orderBy("fold").collect()]
-    tests = fold_tests.groupBy(run).agg(F.collect_set("fold").alias("__tests"))
-    out = join_on(df, tests, [run], "left")
+    read when the query is built; the rows themselves are only multiplied, not shuffled.
+
+    With ``keys`` rows are dealt by these before they are multiplied: a grouping by fold and these keys then
+    finds its rows in one task each, and what is shuffled and stored does not grow with the folds."""
+    held = cut(fold_tests.select("fold", run))
+    names = [r[0] for r in held.select("fold").distinct().orderBy("fold").collect()]
+    tests = held.groupBy(run).agg(F.collect_set("fold").alias("__tests"))
+    out = join_on(df, tests, [run], "left", small=is_small(held))
+    if keys:
+        parts = -(-df.count() * max(1, len(names)) // FOLD_ROWS)
+        out = out.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
     return out.withColumn("fold", F.explode(F.array(*[F.lit(n) for n in names]))) \
         .withColumn("is_test", F.coalesce(F.array_contains("__tests", F.col("fold")), F.lit(False))).drop("__tests")
 
@@ -74,15 +84,13 @@ def expected_behaviour(rows: DataFrame, features: Sequence[str], targets: Sequen
         whole = F.col(y).isNotNull()
         for x in features:
             whole &= F.col(x).isNotNull()
-        pick = lambda c: F.when(whole, F.col(c).cast("double"))
-        moments = [F.count(F.when(whole, 1)).alias("n"), F.avg(pick(y)).alias("my"),
-                   F.array(*[F.avg(pick(x)) for x in features]).cast("array<double>").alias("mx"),
-                   F.array(*[F.covar_pop(pick(x), pick(y)) for x in features]).cast("array<double>").alias("cxy"),
-                   F.array(*[F.covar_pop(pick(a), pick(b)) for a in features for b in features]).cast("array<double>").alias("cxx")]
-        parts.append(rows.filter(~F.col("is_test")).groupBy("fold").agg(*moments).withColumn("target", F.lit(y)))
-    stats = parts[0]
-    for p in parts[1:]:
-        stats = stats.unionByName(p)
+        pick = lambda c: F.when(whole, F.col(c).cast("double"))  # noqa: B023,E731
+        parts.append(F.struct(
+            F.lit(y).alias("target"), F.count(F.when(whole, 1)).alias("n"), F.avg(pick(y)).alias("my"),
+            F.array(*[F.avg(pick(x)) for x in features]).cast("array<double>").alias("mx"),
+            F.array(*[F.covar_pop(pick(x), pick(y)) for x in features]).cast("array<double>").alias("cxy"),
+            F.array(*[F.covar_pop(pick(a), pick(b)) for a in features for b in features]).cast("array<double>").alias("cxx")))
+    stats = rows.filter(~F.col("is_test")).groupBy("fold").agg(F.array(*parts).alias("__s")).select("fold", F.explode("__s").alias("__s")).select("fold", "__s.*")
     least = max(12, len(features) + 3)
     schema = T.StructType([stats.schema["fold"], T.StructField("target", T.StringType()), T.StructField("intercept", T.DoubleType()),
                            T.StructField("coefficients", T.ArrayType(T.DoubleType())), T.StructField("train_rows", T.LongType()),
@@ -112,7 +120,7 @@ def residuals(rows: DataFrame, models: DataFrame, features: Sequence[str], targe
     long = rows.select("fold", "is_test", *keep, *features, F.explode(F.array(*[F.struct(
         F.lit(y).alias("target"), F.col(y).cast("double").alias("observed")) for y in targets])).alias("__t")) \
         .select("fold", "is_test", *keep, *features, "__t.*")
-    out = join_on(long, models.select("fold", "target", "intercept", "coefficients"), ["fold", "target"])
+    out = join_on(long, models.select("fold", "target", "intercept", "coefficients"), ["fold", "target"], small=True)
     expected = F.col("intercept")
     for i, x in enumerate(features):
         expected = expected + F.col("coefficients")[i] * F.col(x).cast("double")
@@ -125,14 +133,14 @@ def residual_thresholds(scored: DataFrame, q: float = 0.99) -> DataFrame:
     train = scored.filter(~F.col("is_test"))
     base = quantiles(train, ["fold", "target"], {"threshold": (F.abs("residual"), q), "center": ("residual", .5)})
     base = cut(base)
-    spread = quantiles(join_on(train, base, ["fold", "target"]), ["fold", "target"], {"__mad": (F.abs(F.col("residual") - F.col("center")), .5)})
+    spread = quantiles(join_on(train, base, ["fold", "target"], small=True), ["fold", "target"], {"__mad": (F.abs(F.col("residual") - F.col("center")), .5)})
     scale = F.col("__mad") * 1.4826
-    return join_on(base, spread, ["fold", "target"]).withColumn("scale", F.when(scale > 1e-9, scale).otherwise(1.0)).drop("__mad")
+    return join_on(base, spread, ["fold", "target"], small=True).withColumn("scale", F.when(scale > 1e-9, scale).otherwise(1.0)).drop("__mad")
 
 
 def score_residuals(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Exceedance and robust z of every residual; a null residual is not valid and never exceeds."""
-    out = join_on(scored, thresholds, ["fold", "target"])
+    out = join_on(scored, thresholds, ["fold", "target"], small=True)
     return out.withColumn("valid", F.col("residual").isNotNull()) \
         .withColumn("exceeds", F.coalesce(F.abs("residual") > F.col("threshold"), F.lit(False))) \
         .withColumn("z", (F.col("residual") - F.col("center")) / F.col("scale"))
@@ -142,7 +150,7 @@ def composite_risk(scored: DataFrame, keys: Sequence[str], q: float = 0.99) -> D
     """Mean absolute z over the targets a row has, against the training quantile of the fold."""
     risk = scored.groupBy("fold", "is_test", *keys).agg(F.avg(F.abs("z")).alias("risk"))
     limit = quantiles(risk.filter(~F.col("is_test")), ["fold"], {"risk_threshold": ("risk", q)})
-    return join_on(risk, limit, ["fold"], "left").withColumn("risk_exceeds", F.coalesce(F.col("risk") > F.col("risk_threshold"), F.lit(False)))
+    return join_on(risk, limit, ["fold"], "left", small=True).withColumn("risk_exceeds", F.coalesce(F.col("risk") > F.col("risk_threshold"), F.lit(False)))
 
 
 def recalibrate(scored: DataFrame, t: str, run: str, window_s, latency_targets: Sequence[str]) -> DataFrame:
@@ -153,11 +161,11 @@ def recalibrate(scored: DataFrame, t: str, run: str, window_s, latency_targets:
     """
     lat = F.col("target").isin(*latency_targets)
     keys = ["fold", run, "target"]
-    start = scored.groupBy("fold", run).agg(F.min(t).alias("__t0"), F.bool_or(lat).alias("__any"))
-    rows = join_on(scored, start, ["fold", run])
+    start = cut(scored.groupBy("fold", run).agg(F.min(t).alias("__t0"), F.bool_or(lat).alias("__any")))
+    rows = join_on(scored, start, ["fold", run], small=is_small(start))
     early = F.col(t) < F.col("__t0") + window_s
-    offset = quantiles(rows.filter(lat & early & F.col("valid")), keys, {"__off": ("residual", .5)})
-    rows = join_on(rows, offset, keys, "left")
+    offset = cut(quantiles(rows.filter(lat & early & F.col("valid")), keys, {"__off": ("residual", .5)}))
+    rows = join_on(rows, offset, keys, "left", small=is_small(offset))
     limit = F.when(F.coalesce(F.col("threshold"), F.lit(0.0)) != 0, F.col("threshold")).otherwise(F.lit(float("inf")))
     scale = F.greatest(F.when(F.coalesce(F.col("scale"), F.lit(0.0)) != 0, F.col("scale")).otherwise(1.0), F.lit(1e-9))
     adj = F.col("residual") - F.when(lat, F.coalesce("__off", F.lit(0.0))).otherwise(0.0)
@@ -171,7 +179,7 @@ def recalibrated_risk(recalibrated: DataFrame, keys: Sequence[str], limits: Data
     """Composite risk of the recalibrated residuals against the fold's limit (0 or none: unlimited)."""
     risk = recalibrated.groupBy("fold", *keys).agg(F.avg(F.abs("normalized_z")).alias("risk"), F.bool_and("post_calibration").alias("post_calibration"))
     limit = F.when(F.coalesce(F.col("risk_threshold"), F.lit(0.0)) != 0, F.col("risk_threshold")).otherwise(F.lit(float("inf")))
-    return join_on(risk, limits, ["fold"], "left").withColumn("risk_exceeds", F.coalesce(F.col("risk") > limit, F.lit(False)))
+    return join_on(risk, limits, ["fold"], "left", small=True).withColumn("risk_exceeds", F.coalesce(F.col("risk") > limit, F.lit(False)))
 
 
 def residual_anomalies(df: DataFrame, residual: str, normal: Column, train: Column, phase: str) -> DataFrame:

@@ -35,11 +35,11 @@ def _(t):
 TARGETS = ["l_extendedprice", "l_tax"]
 
 
-def _fold_rows(t):
+def _fold_rows(t, keys=()):
     li = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_extendedprice", F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("l_tax"))
     li = li.withColumn("h", F.col("l_suppkey") % 4)
     tests = M.folds(li, "l_suppkey", "h", per_run=False).select("fold", "l_suppkey")
-    return M.with_folds(li, tests, "l_suppkey")
+    return M.with_folds(li, tests, "l_suppkey", keys=keys)
 
 
 _FOLD = """li AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice, CASE WHEN l_linenumber <> 3 THEN l_tax END AS l_tax FROM lineitem),
@@ -53,11 +53,14 @@ sc AS (SELECT rs.*, threshold, center, scale, coalesce(abs(residual) > threshold
 KEYS = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
 
 
-def _scored(t):
+def _scored(t, keys=()):
+    """Scored timeline, limits and models; with ``keys`` the timeline is dealt by these for groupings by fold and row."""
     rows = _fold_rows(t)
     models = M.cut(M.expected_behaviour(rows, ["l_quantity"], TARGETS))
     long = M.residuals(rows, models, ["l_quantity"], TARGETS, KEYS)
     limits = M.cut(M.residual_thresholds(long))
+    if keys:
+        long = M.residuals(_fold_rows(t, keys), models, ["l_quantity"], TARGETS, KEYS)
     return M.score_residuals(long, limits), limits, models
 
 
@@ -94,7 +97,7 @@ _RISK = _FOLD + """, rk AS (SELECT fold, is_test, l_suppkey, l_orderkey, l_linen
 
 @query("m04_composite_risk", sql=f"WITH {_RISK} SELECT fold, is_test, count(*) AS rows, round(max(lim), 6) AS risk_threshold, count(*) FILTER (risk > lim) AS exceedances, round(avg(risk), 6) AS mean_risk FROM rk JOIN rt USING (fold) GROUP BY 1, 2")
 def _(t):
-    risk = M.composite_risk(_scored(t)[0], KEYS)
+    risk = M.composite_risk(_scored(t, KEYS)[0], KEYS)
     return rounded(risk.groupBy("fold", "is_test").agg(F.count(F.lit(1)).alias("rows"), F.max("risk_threshold").alias("risk_threshold"),
                                                        M.n_if("risk_exceeds").alias("exceedances"), F.avg("risk").alias("mean_risk")))
 
@@ -114,8 +117,8 @@ def _(t):
 rc AS (SELECT fold, l_suppkey, l_orderkey, l_linenumber, l_partkey, avg(abs((residual - CASE WHEN target = 'l_extendedprice' THEN coalesce(o, 0) ELSE 0 END - center) / scale)) AS risk, bool_and(l_orderkey >= t0 + 500) AS post FROM sc JOIN st USING (fold, l_suppkey) LEFT JOIN of USING (fold, l_suppkey) WHERE is_test GROUP BY ALL)
 SELECT fold, count(*) AS rows, count(*) FILTER (post) AS post_rows, count(*) FILTER (post AND risk > lim) AS exceedances, round(avg(risk), 6) AS mean_risk FROM rc JOIN rt USING (fold) GROUP BY 1""")
 def _(t):
-    sc = _scored(t)[0]
-    limits = M.composite_risk(sc, KEYS).select("fold", "risk_threshold").distinct()
+    sc = _scored(t, KEYS)[0]
+    limits = M.cut(M.composite_risk(sc, KEYS).select("fold", "risk_threshold").distinct())
     rc = M.recalibrate(sc.filter("is_test"), "l_orderkey", "l_suppkey", 500, ["l_extendedprice"])
     out = M.recalibrated_risk(rc, KEYS, limits)
     return rounded(out.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), M.n_if("post_calibration").alias("post_rows"),
