@@ -1,7 +1,7 @@
 """Boosted regression trees over binned rows, all targets at once.
 
-Features are cut into ``bins`` by their quantiles once, and rows travel as blocks of bytes that stay cached on the executors. A tree grows level by level: every
-task adds up, for its blocks, the residuals and rows of each (target, node, feature, bin); the sums, whose size depends on the depth, the features and the bins
+Features are cut into ``bins`` by their quantiles once, and rows travel as blocks of bytes, one feature after the other, that stay cached on the executors. Tasks are
+as many as the cores keep busy, whatever the rows: every job of a level costs its tasks' start. A tree grows level by level: every task adds up, for its blocks, the residuals and rows of each (target, node, feature, bin); the sums, whose size depends on the depth, the features and the bins
 but not on the rows, go to the driver, which picks the best cut of every node. One job per level serves all targets. Predictions so far are kept beside the rows and written anew every few
 rounds; the chain of these is cut by checkpoints, so a lost executor costs a few rounds of one block.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from .keys import shared_folder
 from .quantiles import quantiles
 
-BLOCK_ROWS, TASK_ROWS = 8192, 1 << 14
+BLOCK_ROWS, TASK_ROWS, MOST_ROWS = 1 << 15, 1 << 14, 1 << 20  # rows of a block; fewest rows of a task, and most where there are more than the cores want
+NODES = 64  # up to so many nodes of a level are told apart one after the other
 HOLD, CUT = 2, 10  # rounds between written predictions; written predictions between checkpoints
 
 
@@ -36,23 +37,31 @@ class Trees:
         return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], axis=1).astype(np.uint8) if len(self.edges) else np.zeros((len(x), 0), np.uint8)
 
     def predicted(self, bins: np.ndarray) -> np.ndarray:
-        return self.start + added(bins, self.rounds, self.step, self.depth)
+        return self.start + added(np.ascontiguousarray(bins.T), self.rounds, self.step, self.depth)
 
 
-def walked(bins: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
-    """The node of every row after ``levels`` cuts."""
+def walked(columns: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
+    """The node of every row after ``levels`` cuts; ``columns`` holds the bins of one feature after the other."""
     feature, cut = tree[0], tree[1]
-    at, row = np.ones(len(bins), np.int64), np.arange(len(bins))
-    for _ in range(levels):
-        at = 2 * at + (bins[row, feature[at]] > cut[at])
+    n = columns.shape[1]
+    at = np.ones(n, np.uint16 if levels < 15 else np.int64)
+    for level in range(levels):
+        if 1 << level > NODES:
+            right = columns[feature[at], np.arange(n)] > cut[at]
+        else:
+            right = np.zeros(n, bool)
+            for i in range(1 << level, 2 << level):
+                if cut[i] < 255:
+                    right |= (columns[int(feature[i])] > int(cut[i])) & (at == i)
+        at = 2 * at + right
     return at
 
 
-def added(bins: np.ndarray, rounds: list, step: float, depth: int) -> np.ndarray:
+def added(columns: np.ndarray, rounds: list, step: float, depth: int) -> np.ndarray:
     """What some rounds of trees add to the predictions, one column a target."""
-    total = np.zeros((len(bins), 1))
+    total = np.zeros((columns.shape[1], 1))
     for trees in rounds:
-        total = total + step * np.stack([t[2][walked(bins, t, depth)] for t in trees], axis=1)
+        total = total + step * np.stack([t[2][walked(columns, t, depth)] for t in trees], axis=1)
     return total
 
 
@@ -80,24 +89,31 @@ def _grown(sums: np.ndarray, trees: list, level: int) -> None:
 
 
 def _summed(blocks: Iterator, pending: list, trees: list, level: int, width: int, step: float, depth: int) -> Iterator[np.ndarray]:
-    out = None
-    for bins, y, guess in blocks:
-        guess = guess + added(bins, pending, step, depth)
-        n, f = bins.shape
+    out, nodes = None, 1 << level
+    for columns, y, guess in blocks:
+        guess = guess + added(columns, pending, step, depth)
         if out is None:
-            out = np.zeros((y.shape[1], 1 << level, f, width, 2))
-        place = np.arange(f) * width + bins
+            out = np.zeros((y.shape[1], nodes, len(columns), width, 2))
         for t, tree in enumerate(trees):
-            known = ~np.isnan(y[:, t])
-            node = walked(bins[known], tree, level) - (1 << level)
-            cell = (node[:, None] * (f * width) + place[known]).ravel()
-            size = (1 << level) * f * width
-            out[t, ..., 0] += np.bincount(cell, minlength=size).reshape(1 << level, f, width)
-            out[t, ..., 1] += np.bincount(cell, np.repeat((y[known, t] - guess[known, t]), f), size).reshape(1 << level, f, width)
+            rest, own = y[:, t] - guess[:, t], columns
+            known = ~np.isnan(rest)
+            if not known.all():
+                rest, own = rest[known], columns[:, known]
+            first = (walked(own, tree, level).astype(np.int64) - nodes) * width
+            cell = np.empty_like(first)
+            for k in range(len(own)):  # one feature at a time: the sums of its cells stay in the processor's cache
+                np.add(first, own[k], out=cell)
+                out[t, :, k, :, 0] += np.bincount(cell, minlength=nodes * width).reshape(nodes, width)
+                out[t, :, k, :, 1] += np.bincount(cell, rest, nodes * width).reshape(nodes, width)
     if out is not None:
         yield out
 
 
+def task_count(rows: int, cores: int) -> int:
+    """Tasks of a job: two a core where there are rows enough, more only where a task would get more than ``MOST_ROWS``."""
+    return max(1, min(-(-rows // TASK_ROWS), max(2 * cores, -(-rows // MOST_ROWS))))
+
+
 def fit_trees(train: DataFrame, features: Sequence[str], targets: Sequence[str], *, rounds: int = 200, step: float = 0.05, depth: int = 4, bins: int = 32) -> Trees:
     """Trees for all ``targets``; a row without some target counts for the others. Gaps in features are filled by exact medians."""
     features, targets = list(features), list(targets)
@@ -115,21 +131,30 @@ def fit_trees(train: DataFrame, features: Sequence[str], targets: Sequence[str],
     width = max([len(e) + 1 for e in edges], default=1)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(parts: list) -> pa.RecordBatch:
+            bins, y = (np.concatenate(p) for p in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([bins.T.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["n", "x", "y"])
+
+        parts, rows = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS).to_pandas()
-                x, y = (part[c].to_numpy(float) for c in (features, targets))
-                yield pa.RecordBatch.from_arrays([pa.array([part.shape[0]], pa.int64()), pa.array([model.binned(x).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())],
-                                                 names=["n", "x", "y"])
+                parts.append((model.binned(part[features].to_numpy(float)), part[targets].to_numpy(float)))
+                rows += len(part)
+                if rows >= BLOCK_ROWS:
+                    yield block(parts)
+                    parts, rows = [], 0
+        if rows:
+            yield block(parts)
 
     def unpacked(r) -> tuple:
         y = np.frombuffer(r["y"]).reshape(r["n"], -1)
-        return np.frombuffer(r["x"], np.uint8).reshape(r["n"], -1), y, np.broadcast_to(start, y.shape).copy()
+        return np.frombuffer(r["x"], np.uint8).reshape(-1, r["n"]), y, np.broadcast_to(start, y.shape).copy()
 
     if not features or not means["n"]:
         rows.unpersist()
         return model
-    tasks = max(1, -(-means["n"] // TASK_ROWS))
+    tasks = task_count(means["n"], spark.sparkContext.defaultParallelism)
     shared_folder(spark)
     held = rows.repartition(tasks).mapInArrow(packed, "n bigint, x binary, y binary").rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
     pending, old, written = [], rows, 0
@@ -137,7 +162,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], targets: Sequence[str],
         trees = [(np.zeros(1 << depth, np.int64), np.full(1 << depth, 255, np.int64), np.zeros(2 << depth)) for _ in targets]
         for level in range(depth):
             job = held.mapPartitions(lambda b, pending=list(pending), trees=trees, level=level: _summed(b, pending, trees, level, width, step, depth))
-            _grown(job.treeReduce(operator.add) if tasks > 16 else job.reduce(operator.add), trees, level)
+            _grown(job.treeReduce(operator.add) if tasks > 64 else job.reduce(operator.add), trees, level)
             if old is not None:
                 old.unpersist()
                 old = None
