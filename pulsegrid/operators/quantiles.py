@@ -2,8 +2,10 @@
 
 ``percentile`` keeps every distinct value of a group in one task's memory. Here a first pass counts a group's
 values by an order-preserving code, combined map-side: the shuffle carries one row per code, however many values
-there are. The counts give the buckets in which the wanted ranks fall. A second pass reads the values again and keeps
-those of the chosen buckets, told by a bitmap of fixed size before anything is shuffled; only these are ordered.
+there are. The counts give the buckets in which the wanted ranks fall. A bucket whose wanted ranks are its first or last
+value is settled by its smallest and largest value, which the first pass keeps: so are nearly all of small groups. For the
+others a second pass reads the values again and keeps those of these buckets, told by a bitmap of fixed size before
+anything is shuffled; only these are ordered.
 """
 
 from __future__ import annotations
@@ -96,11 +98,15 @@ def _quantiles(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
             texts.append(text)
             values.append(col(value).cast("double"))
         which[name] = texts.index(text)
-    rows = df.select(PACKED, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.alias("v"))
-                                                 for i, v in enumerate(values)])).alias("__x"))
-    rows = rows.select(PACKED, F.col("__x.m").alias("__m"), (F.col("__x.v") + F.lit(0.0)).alias("__v")) \
-        .filter(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn("__b", value_code("__v", STEPS))
-    buckets = rows.groupBy(PACKED, "__m", "__b").agg(F.count(F.lit(1)).alias("__bn"))
+    if len(values) == 1:
+        rows = df.select(PACKED, F.lit(0).alias("__m"), (values[0] + F.lit(0.0)).alias("__v"))
+    else:
+        rows = df.select(PACKED, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.alias("v"))
+                                                     for i, v in enumerate(values)])).alias("__x"))
+        rows = rows.select(PACKED, F.col("__x.m").alias("__m"), (F.col("__x.v") + F.lit(0.0)).alias("__v"))
+    rows = rows.filter(F.col("__v").isNotNull() & ~F.isnan("__v")) \
+        .withColumn("__b", value_code("__v", STEPS))
+    buckets = rows.groupBy(PACKED, "__m", "__b").agg(F.count(F.lit(1)).alias("__bn"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     group = W.partitionBy(PACKED, "__m")
     ordered = group.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     buckets = buckets.withColumn("__total", F.sum("__bn").over(group)) \
@@ -110,23 +116,26 @@ def _quantiles(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
         return _rule(specs[name][1])(F.col("__total")).cast("double")
 
     def wanted(name, rank):
-        below = F.col("__upto") - F.col("__bn")
-        return (F.col("__m") == which[name]) & (rank >= below) & (rank < F.col("__upto"))
-
-    hit = reduce(lambda a, b: a | b,
-                 [wanted(n, f(position(n))) for n in specs for f in (F.floor, F.ceil)])
-    chosen = buckets.filter(hit).select(PACKED, "__m", "__b", "__total", "__upto",
-                                        (F.col("__upto") - F.col("__bn")).alias("__below"))
-    counted = rows.filter(_marked(_marks(chosen))).groupBy(PACKED, "__m", "__b", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    near = counted.join(chosen, [PACKED, "__m", "__b"])
+        return (F.col("__m") == which[name]) & (rank >= F.col("__below")) & (rank < F.col("__upto"))
+
+    def end(rank):
+        """The value at a rank where the ends of its bucket tell it."""
+        return F.when((rank <= F.col("__below")) | (F.col("__min") == F.col("__max")), F.col("__min")).when(rank >= F.col("__upto") - 1, F.col("__max"))
+
+    ranks = [(n, f(position(n))) for n in specs for f in (F.floor, F.ceil)]
+    chosen = buckets.withColumn("__below", F.col("__upto") - F.col("__bn")).filter(reduce(lambda a, b: a | b, [wanted(n, r) for n, r in ranks])) \
+        .select(PACKED, "__m", "__b", "__total", "__upto", "__below", "__min", "__max")
+    unsettled = chosen.filter(reduce(lambda a, b: a | b, [wanted(n, r) & end(r).isNull() for n, r in ranks]))
+    counted = rows.filter(_marked(_marks(unsettled))).groupBy(PACKED, "__m", "__b", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    near = chosen.join(counted, [PACKED, "__m", "__b"], "left")
     inside = W.partitionBy(PACKED, "__m", "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = near.withColumn("__end", F.col("__below") + F.sum("__n").over(inside))
 
     def at(name, rank):
         # The smallest value that reaches the rank. A value computed anew may differ in its last bit and lie in the next bucket; the
         # bucket's largest value then stands for it.
-        here = (F.col("__m") == which[name]) & (rank >= F.col("__below")) & (rank < F.col("__upto"))
-        return F.coalesce(F.min(F.when(here & (rank < F.col("__end")), F.col("__v"))), F.max(F.when(here, F.col("__v"))))
+        here = wanted(name, rank)
+        return F.coalesce(F.min(F.when(here, end(rank))), F.min(F.when(here & (rank < F.col("__end")), F.col("__v"))), F.max(F.when(here, F.col("__max"))))
 
     parts = []
     for n in specs:

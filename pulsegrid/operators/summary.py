@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .align import near_join
 from .grid import dense_bins, ratio
-from .keys import col, join_on, keyed
+from .keys import col, cut, is_small, join_on, keyed
 from .ordered import fill, framed, lagged, numbered, running
 from .selection import last_n
 from .quantiles import nearest, quantiles, rounded, summarise, average_rank  # noqa: F401
@@ -36,7 +36,7 @@ def phase_summary(df: DataFrame, by: Sequence[str], ok: str, values: Sequence[st
 
 def two_level_medians(df: DataFrame, inner: Sequence[str], outer: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Median per inner key, then the median of those medians per outer key."""
-    first = summarise(df, inner, {"rows": F.count(F.lit(1))}, {v: (v, .5) for v in values})
+    first = cut(summarise(df, inner, {"rows": F.count(F.lit(1))}, {v: (v, .5) for v in values}))
     return summarise(first, outer, {"groups": F.count(F.lit(1)), "rows": F.sum("rows")},
                      {f"{v}_median": (v, .5) for v in values})
 
