@@ -107,7 +107,7 @@ def in_event_order(stream: DataFrame, key: str, ts: str, tie: Sequence[str], kee
 
 
 class NearestInBucket(StatefulProcessor):
-    """Requests and telemetry of one (key, bucket), matched when no nearer row can come in time."""
+    """Requests and telemetry of one (shard of the keys, bucket), matched key by key when no nearer row can come in time."""
 
     def __init__(self, held: T.StructType, out: T.StructType, by: list, request: list, value: list, tie: str, within: int, width: int, unmatched: bool):
         self.schema, self.out, self.by, self.request, self.value, self.tie = held, out, by, request, value, tie
@@ -135,21 +135,28 @@ class NearestInBucket(StatefulProcessor):
         for state in (self.asked, self.seen, self.timer):
             state.clear()
         if len(asked):
-            out = self._matched(asked, seen.sort_values(["us", f"v_{self.tie}"], kind="stable", ignore_index=True))
+            out = self._matched(asked, seen)
             if len(out):
-                yield out.assign(**dict(zip(self.by, key[:-1])))[self.out.names]
+                yield out[self.out.names]
 
     def _matched(self, asked: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        at, times = asked["us"].to_numpy("int64"), seen["us"].to_numpy("int64")
-        out = asked[["us", *[f"v_{c}" for c in self.request]]].rename(columns=lambda c: c.removeprefix("v_"))
+        keys = [f"k_{c}" for c in self.by]
+        owner = pd.concat([asked[keys], seen[keys]], ignore_index=True).groupby(keys, dropna=False, sort=False).ngroup().to_numpy("int64")
+        asker, owner = owner[:len(asked)], owner[len(asked):]
+        seen = seen.assign(owner=owner).sort_values(["owner", "us", f"v_{self.tie}"], kind="stable", ignore_index=True)
+        at, times, owner = asked["us"].to_numpy("int64"), seen["us"].to_numpy("int64"), seen["owner"].to_numpy("int64")
+        out = asked[["us", *keys, *[f"v_{c}" for c in self.request]]].rename(columns=lambda c: c[2:] if c[:2] in ("k_", "v_") else c)
         far = np.iinfo("int64").max
         if len(times):
-            after = np.searchsorted(times, at, side="left")
+            moments, moment = np.unique(np.concatenate([at, times]), return_inverse=True)
+            places, place = owner * len(moments) + moment[len(at):], asker * len(moments) + moment[:len(at)]  # order of key and time as one number
+            after = np.searchsorted(places, place, side="left")
+            last, following = np.maximum(after - 1, 0), np.minimum(after, len(times) - 1)
             # Of rows at one moment the first by tie: the first of the moment before, the first at or after.
-            before = np.searchsorted(times, times[np.maximum(after - 1, 0)], side="left")
-            left = np.where(after > 0, at - times[before], far)
-            right = np.where(after < len(times), times[np.minimum(after, len(times) - 1)] - at, far)
-            pick, gap = np.where(left <= right, before, np.minimum(after, len(times) - 1)), np.minimum(left, right)
+            before = np.searchsorted(places, places[last], side="left")
+            left = np.where((after > 0) & (owner[last] == asker), at - times[before], far)
+            right = np.where((after < len(times)) & (owner[following] == asker), times[following] - at, far)
+            pick, gap = np.where(left <= right, before, following), np.minimum(left, right)
         else:
             pick, gap = np.zeros(len(at), int), np.full(len(at), far)
         near = gap <= self.within

@@ -125,11 +125,15 @@ def nearest_pair(pairs: DataFrame, key: Sequence[str], ts: str, other_ts: str, v
     return pairs.groupBy(*key).agg(F.min_by(F.struct(other_ts, *value), F.struct(gap, F.col(other_ts), F.col(tie))).alias("__b")).select(*key, "__b.*")
 
 
+SHARDS = 64  # groups of keys that are matched at once; fixed, as a restarted stream must find its state
+
+
 def nearest_stream(requests: DataFrame, telemetry: DataFrame, by: Sequence[str], ts: str, other_ts: str, value: Sequence[str], *, within_us: int,
                    late: str, request: Sequence[str], tie: str, width_us: int | None = None, unmatched: bool = False) -> DataFrame:
     """For each request the nearest telemetry row of its key at most ``within_us`` away (then the earlier one, then the smaller ``tie``): ``by, request, us, other_us, value``.
 
-    Both sides meet per (key, time bucket); telemetry is copied to the buckets it may serve. A bucket is held until the watermark is past its end by
+    Both sides meet per (shard of the keys, time bucket), as a group of its own for each of very many keys costs more than its few rows; telemetry is
+    copied to the buckets it may serve. A bucket is held until the watermark is past its end by
     ``within_us``, when nothing that could be nearer can still come in time; then its requests are matched at once and its state is dropped. The watermark
     is that of the slower side. ``unmatched`` gives requests without telemetry too.
     """
@@ -140,19 +144,22 @@ def nearest_stream(requests: DataFrame, telemetry: DataFrame, by: Sequence[str],
 
     def side(df: DataFrame, t: str, own: Sequence[str], buckets: Column, is_request: bool) -> DataFrame:
         us = F.unix_micros(t)
+        # Keys travel as text: beside a missing key pandas would hold whole numbers as floats.
         return df.withWatermark(t, late).filter(F.col(t).isNotNull()).select(
-            *by, F.col(t).alias("__ts"), us.alias("us"), F.lit(is_request).alias("asks"), F.explode(buckets).alias("bucket"),
+            F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(SHARDS)).alias("shard"), *[F.col(c).cast("string").alias(f"k_{c}") for c in by],
+            F.col(t).alias("__ts"), us.alias("us"), F.lit(is_request).alias("asks"), F.explode(buckets).alias("bucket"),
             *[(F.col(c) if c in own else F.lit(None)).cast(kinds[c]).alias(f"v_{c}") for c in dict.fromkeys(tag)])
 
     at, other = F.unix_micros(ts), F.unix_micros(other_ts)
     both = side(requests, ts, request, F.array(F.floor(at / width)), True).unionByName(
         side(telemetry, other_ts, [*value, tie], F.sequence(F.floor((other - within_us) / width), F.floor((other + within_us) / width)), False))
-    held = T.StructType([T.StructField("us", T.LongType()), *[both.schema[f"v_{c}"] for c in dict.fromkeys(tag)]])
-    out = T.StructType([*[both.schema[c] for c in by], *[T.StructField(c, both.schema[f"v_{c}"].dataType) for c in request], T.StructField("us", T.LongType()),
+    held = T.StructType([T.StructField("us", T.LongType()), *[both.schema[f"k_{c}"] for c in by], *[both.schema[f"v_{c}"] for c in dict.fromkeys(tag)]])
+    out = T.StructType([*[T.StructField(c, T.StringType()) for c in by], *[T.StructField(c, both.schema[f"v_{c}"].dataType) for c in request], T.StructField("us", T.LongType()),
                         T.StructField("other_us", T.LongType()), *[T.StructField(c, both.schema[f"v_{c}"].dataType) for c in value]])
     _stateful(both.sparkSession)
-    return both.groupBy(*by, "bucket").transformWithStateInPandas(
+    found = both.groupBy("shard", "bucket").transformWithStateInPandas(
         NearestInBucket(held, out, list(by), list(request), list(value), tie, within_us, width, unmatched), out, "Append", "EventTime")
+    return found.select(*[F.col(c).cast(left_kinds[c]).alias(c) if c in by else F.col(c) for c in out.names])
 
 
 def split_late(stream: DataFrame, ts: str, arrival: str, folder: str, *, allowed_s: float, strict_s: float = 5, caution_s: float = 30) -> tuple[DataFrame, DataFrame]:
