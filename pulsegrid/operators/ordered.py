@@ -31,6 +31,16 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], width, sli
     return df.select("*", packed(keys), (slice_col if slice_col is not None else slice_of(order[0], width)).alias(SLICE))
 
 
+DEALT_ROWS = 500_000  # rows of a task of a scan that holds whole lines
+
+
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str], *, width) -> DataFrame:
+    """Rows shuffled for the scans that follow by (key, slice), over as many tasks as their number asks for, so a task's rows do not grow with the table."""
+    base, keys = keyed(df, by)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // DEALT_ROWS))
+    return _sliced(base, keys, order, width, None).repartition(parts, PACKED, SLICE)
+
+
 def _order(order: Sequence[str], reverse: bool = False) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import columns as C
 from pulsegrid.operators.keys import col, join_on
-from pulsegrid.operators.ordered import fill, running
+from pulsegrid.operators.ordered import dealt, fill, running
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 # The forms of exposition lines and their labels.
@@ -80,7 +80,7 @@ STATION = r"^Station\s+([0-9a-fA-F:]{17})"
 def stations(lines: DataFrame, by: Sequence[str], order: Sequence[str], line: str, *, width, fields: Mapping[str, str] = STATION_FIELDS) -> DataFrame:
     """Station dump to one row per station block."""
     tagged = lines.withColumn("__mac", F.nullif(F.lower(F.regexp_extract(line, STATION, 1)), F.lit("")))
-    tagged = running(tagged, by, order, {"station_no": F.col("__mac").isNotNull().cast("int")}, width=width).filter("station_no > 0")
+    tagged = running(dealt(tagged, by, order, width=width), by, order, {"station_no": F.col("__mac").isNotNull().cast("int")}, width=width).filter("station_no > 0")
     text = C.strip(F.col(line))
     position = F.struct(*[F.col(c) for c in order])
     return tagged.groupBy(*by, "station_no").agg(
