@@ -306,12 +306,24 @@ def feature_profile(df: DataFrame, features: Sequence[str], load: str) -> DataFr
 
 def fold_features(df: DataFrame, folds: DataFrame, run: str, features: Sequence[str], targets: Sequence[str],
                   forbidden: Sequence[str]) -> DataFrame:
-    """Feature decision per fold from its training rows. ``folds`` is (fold, run, is_test), small per run."""
-    train = join_on(df, folds.filter(~F.col("is_test")).select("fold", run), [run])
-    long = long_form(train, ["fold"], features, "feature", "value")
-    out = long.groupBy("fold", "feature").agg(
-        F.count(F.lit(1)).alias("train_rows"), F.count("value").alias("non_missing"),
-        F.count_distinct("value").alias("unique_count"), F.stddev_samp("value").alias("std"))
+    """Feature decision per fold from its training rows. ``folds`` is (fold, run, is_test), small per run.
+
+    Runs that train the same folds are counted together; only their sums and distinct values are multiplied by the folds."""
+    alike = folds.filter(~F.col("is_test")).groupBy(run).agg(F.sort_array(F.collect_list(F.struct("fold"))).alias("__folds"))
+    first = alike.groupBy("__folds").agg(F.min(F.struct(F.col(run).alias("r"))).alias("__alike"))
+    runs = cut(join_on(alike, first, ["__folds"]).select(run, "__folds", "__alike"))
+    sets = runs.select("__alike", "__folds").distinct().select("__alike", F.explode("__folds").alias("__f")).select("__alike", F.col("__f.fold").alias("fold"))
+    long = long_form(join_on(df, runs.select(run, "__alike"), [run], small=is_small(runs)), ["__alike"], features, "feature", "value")
+    per = long.groupBy("__alike", "feature").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    per = join_on(per, sets, ["__alike"]).withColumn("__of", F.sum("k").over(W.partitionBy("fold", "feature"))) \
+        .withColumn("__mean", F.sum(F.col("m") * F.col("k")).over(W.partitionBy("fold", "feature")) / F.nullif(F.col("__of"), F.lit(0)))
+    squares = F.sum(F.col("k") * (F.col("v") + (F.col("m") - F.col("__mean")) * (F.col("m") - F.col("__mean"))))
+    sums = per.groupBy("fold", "feature").agg(F.sum("n").alias("train_rows"), F.sum("k").alias("non_missing"),
+                                              F.when(F.sum("k") > 1, F.sqrt(squares / (F.sum("k") - 1))).alias("std"))
+    values = join_on(long.filter(F.col("value").isNotNull()).distinct(), sets, ["__alike"]).select("fold", "feature", "value").distinct()
+    unique = values.groupBy("fold", "feature").agg(F.count(F.lit(1)).alias("unique_count"))
+    out = join_on(sums, unique, ["fold", "feature"], "left").select(
+        "fold", "feature", "train_rows", "non_missing", F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count"), "std")
     few = F.col("non_missing") < F.greatest(F.lit(12), F.floor(F.col("train_rows") * 0.5))
     flat = (F.col("unique_count") <= 1) | F.col("std").isNull() | (F.col("std") < 1e-9)
     return out.withColumn("missing_rate", 1 - F.col("non_missing") / F.greatest(F.col("train_rows"), F.lit(1))).withColumn(
