@@ -144,9 +144,9 @@ def nearest_stream(requests: DataFrame, telemetry: DataFrame, by: Sequence[str],
 
     def side(df: DataFrame, t: str, own: Sequence[str], buckets: Column, is_request: bool) -> DataFrame:
         us = F.unix_micros(t)
-        # Keys travel as text: beside a missing key pandas would hold whole numbers as floats.
+        # Keys travel as text that is never missing: beside a missing key pandas would hold whole numbers as floats.
         return df.withWatermark(t, late).filter(F.col(t).isNotNull()).select(
-            F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(SHARDS)).alias("shard"), *[F.col(c).cast("string").alias(f"k_{c}") for c in by],
+            F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(SHARDS)).alias("shard"), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"k_{c}") for c in by],
             F.col(t).alias("__ts"), us.alias("us"), F.lit(is_request).alias("asks"), F.explode(buckets).alias("bucket"),
             *[(F.col(c) if c in own else F.lit(None)).cast(kinds[c]).alias(f"v_{c}") for c in dict.fromkeys(tag)])
 
@@ -159,7 +159,7 @@ def nearest_stream(requests: DataFrame, telemetry: DataFrame, by: Sequence[str],
     _stateful(both.sparkSession)
     found = both.groupBy("shard", "bucket").transformWithStateInPandas(
         NearestInBucket(held, out, list(by), list(request), list(value), tie, within_us, width, unmatched), out, "Append", "EventTime")
-    return found.select(*[F.col(c).cast(left_kinds[c]).alias(c) if c in by else F.col(c) for c in out.names])
+    return found.select(*[F.when(F.col(c) != "", F.substring(F.col(c), F.lit(2), F.length(c))).cast(left_kinds[c]).alias(c) if c in by else F.col(c) for c in out.names])
 
 
 def split_late(stream: DataFrame, ts: str, arrival: str, folder: str, *, allowed_s: float, strict_s: float = 5, caution_s: float = 30) -> tuple[DataFrame, DataFrame]:

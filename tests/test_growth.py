@@ -105,3 +105,20 @@ def test_station_lines_are_dealt_by_their_number(spark, monkeypatch):
     out = parsing.stations(lines, ["host"], ["n"], "line", width=50)
     assert ", 30), REPARTITION_BY_NUM" in plan(out)
     assert out.count() == 300
+
+
+def test_nearest_rows_of_many_keys_share_a_shard(spark, tmp_path):
+    from pulsegrid.streaming import streams as J
+
+    second = 10**6
+    runs = [None, *range(40)]
+    rows = [(i, r, 100 * second + i * second, "error") for i, r in enumerate(runs)] + [(1000 + i, r, 100 * second + i * second + (i % 3 - 1) * second, "view") for i, r in enumerate(runs)]
+    rows += [(9998, -1, 10**12, "error"), (9999, -1, 10**12, "view")]
+    spark.createDataFrame(rows, "id long, run long, us long, kind string").withColumn("ts", F.timestamp_micros("us")).write.parquet(f"{tmp_path}/in")
+    live = J.read_stream(spark, f"{tmp_path}/in")
+    req = live.filter("kind = 'error'").select("id", "run", "ts")
+    tel = live.filter("kind = 'view'").select("run", F.col("ts").alias("tel_ts"), F.col("id").alias("temp"), F.col("id").alias("tel_id"))
+    out = J.nearest_stream(req, tel, ["run"], "ts", "tel_ts", ["temp"], within_us=second, late="1 hour", request=["id"], tie="tel_id", width_us=1000 * second, unmatched=True)
+    assert "shard" in out._jdf.queryExecution().analyzed().toString()
+    got = {r["id"]: (r["run"], r["temp"], r["other_us"]) for r in J.run(out).collect()}
+    assert got == {i: (r, 1000 + i, 100 * second + i * second + (i % 3 - 1) * second) for i, r in enumerate(runs)}
